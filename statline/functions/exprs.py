@@ -47,34 +47,6 @@ def fielding_team() -> Column:
     )
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Double division, NULL instead of an error for a zero divisor."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
-
-
-def half_up_units(numerator: Column, denominator: Column, scale: int) -> Column:
-    """``numerator/denominator`` as a whole number of 10^-scale units, half up.
-
-    Works on integers only, so no binary fraction can tip a tie. NULL unless
-    the denominator is positive.
-    """
-    num, den = numerator.cast("long"), denominator.cast("long")
-    units = F.call_function(
-        "div", num * F.lit(2 * 10**scale).cast("long") + den, den * F.lit(2).cast("long")
-    )
-    return F.when(den > 0, units)
-
-
-def fixed_point(units: Column, precision: int, scale: int) -> Column:
-    """Whole units of 10^-scale as ``decimal(precision, scale)``."""
-    step = F.lit(Decimal(1).scaleb(-scale))
-    return (units.cast("decimal(18,0)") * step).cast(f"decimal({precision},{scale})")
-
-
-def half_up_ratio(numerator: Column, denominator: Column, precision: int, scale: int) -> Column:
-    return fixed_point(half_up_units(numerator, denominator, scale), precision, scale)
-
-
 def non_negative(column: Column | str) -> Column:
     """A recorded count; missing (NULL or negative) becomes zero."""
     column = F.col(column) if isinstance(column, str) else column
@@ -93,18 +65,3 @@ def innings(notation: Column) -> Column:
 
 def is_left_hander(name: str = "name") -> Column:
     return F.endswith(F.col(name), F.lit(LEFT_HANDER_MARK))
-
-
-def guarded_sqrt(column: Column) -> Column:
-    """Square root, NULL (not NaN) below zero."""
-    return F.when(column >= 0, F.sqrt(column))
-
-
-def nonzero(column: Column) -> Column:
-    """The value, or one in place of zero. NULL stays NULL."""
-    return F.when(column == 0, F.lit(1.0)).otherwise(column)
-
-
-def rounded(column: Column, places: int) -> Column:
-    """Round half up by floor, the same in any IEEE engine."""
-    return F.floor(column * F.lit(float(10**places)) + F.lit(0.5)) / F.lit(float(10**places))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statline import constants as K
-from statline.functions.exprs import ratio, rounded
-from statline.operators.leagues import D
-from statline.operators.team_totals import TEAM
+from statline.functions.formulas import ratio, rounded
+from statline.operators.team_totals import TEAM, has_all_positions
 from statline.operators.win_shares import share_column
 
 CLAIM_PLACES = 6  # claim points keep this many decimals, so that sums are exact
@@ -16,91 +15,71 @@ ROW = ("Year", "Lg", "Tm", "Pos")
 RANGE_POSITIONS = tuple(p for p, w in K.CLAIM_WEIGHTS.items() if "RBP" in w)
 
 
-def _by_position(values: dict[str, Column]) -> Column:
-    out = None
-    for pos, value in values.items():
-        here = F.col("Pos") == pos
-        out = F.when(here, value) if out is None else out.when(here, value)
-    return out
+def _by_position(values: dict[str, str]) -> str:
+    return "CASE Pos " + " ".join(f"WHEN '{p}' THEN {v}" for p, v in values.items()) + " END"
 
 
-def range_bonus_plays() -> Column:
+def range_bonus_plays() -> str:
     """Plays made beyond the team's rate at the position, not below zero."""
     rates = {}
     for pos in RANGE_POSITIONS:
-        tag = pos.upper()
-        chances = D(f"PO_{tag}_TM") + D(f"A_{tag}_TM")
-        team_ip = D("IP") * K.OUTFIELDERS if pos == "of" else D("IP")
-        rates[pos] = ratio(chances, team_ip)
-    own = ratio(D("PO") + D("A"), D("Inn"))
-    extra = (own - _by_position(rates)) * D("Inn")
-    return F.when((F.col("Inn") > 0) & (extra > 0), extra).otherwise(F.lit(0.0))
+        chances = f"double(PO_{pos.upper()} + A_{pos.upper()})"
+        fielders = f"{K.OUTFIELDERS} * " if pos == "of" else ""
+        rates[pos] = ratio(chances, f"{fielders}double(IP)")
+    extra = f"({ratio('double(PO + A)', 'double(Inn)')} - {_by_position(rates)}) * Inn"
+    return f"CASE WHEN Inn > 0 AND {extra} > 0 THEN {extra} ELSE 0D END"
 
 
-def claim_value() -> Column:
+def claim_value() -> str:
     """Weighted plays of a row by its position's weights."""
-    values = {}
-    for pos, weights in K.CLAIM_WEIGHTS.items():
-        value = F.lit(0.0)
-        for stat, weight in weights.items():
-            value = value + weight * (F.col("rbp") if stat == "RBP" else D(stat))
-        values[pos] = value
-    return _by_position(values)
+    return _by_position(
+        {
+            pos: " + ".join(f"({weight}) * {stat}" for stat, weight in weights.items()) + " + 0D"
+            for pos, weights in K.CLAIM_WEIGHTS.items()
+        }
+    )
 
 
 def claim_points(
-    fielding: DataFrame, team_positions: DataFrame, team_pitching: DataFrame
+    fielding: DataFrame, fielding_totals: DataFrame, team_pitching: DataFrame
 ) -> DataFrame:
     """Claim points of every fielder in a major league since 1901.
 
     Catchers need a team pitching record, infielders beyond first base and
-    outfielders also one of fielding by position; first basemen need neither.
-    One left join to the combined team row answers all three.
+    outfielders also a team record at every position; first basemen need
+    neither. One left join to the combined team row answers all three.
     """
-    chances = [f"{s}_{p.upper()}_TM" for p in RANGE_POSITIONS for s in ("PO", "A")]
-    team = team_pitching.select(*TEAM, "IP", F.lit(True).alias("pitched")).join(
-        team_positions.select(*TEAM, *chances, F.lit(True).alias("fielded")), list(TEAM), "left"
+    chances = [f"{s}_{p.upper()}" for p in RANGE_POSITIONS for s in ("PO", "A")]
+    fielded = fielding_totals.where(F.col("Lg") != K.MULTI_LEAGUE).where(has_all_positions())
+    team = team_pitching.selectExpr(*TEAM, "IP", "true AS pitched").join(
+        fielded.selectExpr(*TEAM, *chances, "true AS fielded"), list(TEAM), "left"
     )
-    catcher = F.col("Pos") == "c"
     rows = fielding.where(
         F.col("pos").isin(*K.SHARE_POSITIONS)
         & F.col("lg").isin(*K.MAJOR_LEAGUES)
         & (F.col("year") >= K.FIRST_MODERN_SEASON)
-    ).select(
-        F.col("year").alias("Year"),
-        F.col("lg").alias("Lg"),
-        F.col("tm").alias("Tm"),
-        F.col("pos").alias("Pos"),
-        F.col("name").alias("Name"),
-        F.col("`name-additional`").alias("BBRefID"),
-        *[F.col(s.lower()).alias(s) for s in ("Inn", "PO", "A", "E", "DP")],
-        *[F.when(F.col("pos") == "c", F.col(s.lower())).alias(s) for s in K.CATCHER_STATS],
-    )
-    eligible = (
-        (F.col("Pos") == "1b")
-        | (catcher & F.col("pitched").isNotNull())
-        | (F.col("Pos").isin(*RANGE_POSITIONS) & F.col("fielded").isNotNull())
+    ).selectExpr(
+        "year AS Year", "lg AS Lg", "tm AS Tm", "pos AS Pos",
+        "name AS Name", "`name-additional` AS BBRefID",
+        *[f"{s.lower()} AS {s}" for s in ("Inn", "PO", "A", "E", "DP")],
+        *[f"CASE WHEN pos = 'c' THEN {s.lower()} END AS {s}" for s in K.CATCHER_STATS],
+    )
+    eligible = _by_position(
+        {"1b": "true", "c": "pitched"} | dict.fromkeys(RANGE_POSITIONS, "fielded")
     )
-    value = F.col("value")
+    points = f"CASE WHEN Inn > 0 AND value > 0 THEN {rounded('value', CLAIM_PLACES)} ELSE 0D END"
     return (
         rows.join(team, list(TEAM), "left")
         .where(eligible)
-        .withColumn("rbp", range_bonus_plays())
-        .withColumn("value", claim_value())
-        .select(
+        .selectExpr("*", f"{range_bonus_plays()} AS RBP")
+        .selectExpr("*", f"{claim_value()} AS value")
+        .selectExpr(
             *ROW, "Name", "BBRefID", "Inn", "PO", "A", "E", "DP", *K.CATCHER_STATS,
-            F.when((F.col("Inn") > 0) & (value > 0), rounded(value, CLAIM_PLACES))
-            .otherwise(F.lit(0.0))
-            .alias("ClaimPoints"),
+            f"{points} AS ClaimPoints",
         )
     )
 
 
-def _units() -> Column:
-    """Claim points as whole units, whose sums do not depend on order."""
-    return F.round(F.col("ClaimPoints") * 10**CLAIM_PLACES).cast("decimal(28,0)")
-
-
 def fielding_shares(claims: DataFrame, team_shares: DataFrame, starts: DataFrame) -> DataFrame:
     """Each player's part of the wins credited to his team at his position.
 
@@ -108,36 +87,28 @@ def fielding_shares(claims: DataFrame, team_shares: DataFrame, starts: DataFrame
     player rows then meet one small side, in one join whose hot keys adaptive
     execution can split. A window over each team's players would not be.
     """
-    totals = claims.groupBy(*ROW).agg(F.sum(_units()).alias("units"))
-    by_position = team_shares.select(
-        *TEAM,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("Pos"), F.col(share_column(p)).alias("wins"))
-                    for p in K.SHARE_POSITIONS
-                ]
-            )
-        ),
+    unit = 10**CLAIM_PLACES
+    # claim points as whole units: their sums do not depend on order
+    units = F.expr(f"sum(cast(round(ClaimPoints * {unit}) AS decimal(28,0)))")
+    totals = claims.groupBy(*ROW).agg(units.alias("units"))
+    wins = ", ".join(
+        f"struct('{p}' AS Pos, `{share_column(p)}` AS wins)" for p in K.SHARE_POSITIONS
     )
     pool = (
-        by_position.join(totals, list(ROW))
+        team_shares.selectExpr(*TEAM, f"inline(array({wins}))")
+        .join(totals, list(ROW))
         .join(starts, list(TEAM))
-        .select(
-            *ROW, "wins", "GS",
-            (F.col("units").cast("double") / float(10**CLAIM_PLACES)).alias("pool"),
-        )
-    )
-    fws = ratio(F.col("ClaimPoints"), F.col("pool")) * F.col("wins")
-    inn = F.when(F.col("Inn") > 0, D("Inn")).otherwise(F.lit(1.0))
+        .selectExpr(*ROW, "wins", "double(GS) AS GS", f"double(units) / {unit} AS pool")
+    )
+    season, inn = K.SCHEDULE_GAMES, "double(CASE WHEN Inn > 0 THEN Inn ELSE 1 END)"
     return (
         claims.join(pool, list(ROW))
-        .withColumn("FWS", fws)
-        .select(
+        .selectExpr("*", f"{ratio('ClaimPoints', 'pool')} * wins AS FWS")
+        .selectExpr(
             "Year", "Lg", "Tm", "Name", "Pos", "BBRefID", "Inn",
-            ratio(D("Inn") * K.SCHEDULE_GAMES, D("GS")).alias("Inn_adj"),
+            f"{ratio(f'double(Inn) * {season}', 'GS')} AS Inn_adj",
             "FWS",
-            ratio(F.col("FWS") * K.SCHEDULE_GAMES, D("GS")).alias("FWSadj"),
-            (ratio(F.col("FWS"), inn) * K.SEASON_INNINGS).alias("FWS/1458"),
+            f"{ratio(f'FWS * {season}', 'GS')} AS FWSadj",
+            f"{ratio('FWS', inn)} * {K.SEASON_INNINGS} AS `FWS/1458`",
         )
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline import constants as K
-from statline.functions.exprs import ratio
+from statline.functions.formulas import ratio
 from statline.operators.team_totals import game_sides, keyed
 
 CLUB = ("YearID", "Lg", "Tm")  # Tm is the game-log team code here
@@ -160,36 +162,34 @@ def park_factors(sides: DataFrame, parkconfig: DataFrame) -> DataFrame:
     board = seasons_with_neighbours(clubs).join(
         comparable_counts(parkconfig), ["YearID", "Tm"], "left"
     )
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-
-    def num(column: str) -> Column:
-        return F.col(column).cast("double")
-
-    def padded(stat: str, side: str) -> Column:
-        return ratio(num(f"{stat}_{side}") + K.PADDED_COUNT, num(f"games_{side}") + K.PADDED_GAMES)
+    counts = [*HOME_ROAD, *[f"near_{c}" for c in HOME_ROAD]]
+    board = board.selectExpr(
+        *CLUB, "games_home AS home", "double(coalesce(n, 0)) AS n",
+        *[f"double({c}) AS {c}" for c in counts],
+    )
 
-    def single(stat: str, side: str) -> Column:
-        return ratio(num(f"{stat}_{side}"), num(f"games_{side}"))
+    def padded(stat: str, side: str) -> str:
+        return ratio(f"{stat}_{side} + {K.PADDED_COUNT}", f"games_{side} + {K.PADDED_GAMES}")
 
-    def weighted(stat: str, side: str) -> Column:
-        def total(c: str) -> Column:
-            return n * num(c) + num(f"near_{c}")
+    def single(stat: str, side: str) -> str:
+        return ratio(f"{stat}_{side}", f"games_{side}")
 
-        return ratio(total(f"{stat}_{side}"), total(f"games_{side}"))
+    def weighted(stat: str, side: str) -> str:
+        own, games = f"{stat}_{side}", f"games_{side}"
+        return ratio(f"n * {own} + near_{own}", f"n * {games} + near_{games}")
 
-    def factor(stat: str) -> Column:
-        def over(rate) -> Column:
+    def factor(stat: str, name: str) -> str:
+        def over(rate: Callable[[str, str], str]) -> str:
             return ratio(rate(stat, "home"), rate(stat, "road"))
 
         return (
-            F.when(F.col("YearID") < K.FIRST_FULL_RECORD_SEASON, over(padded))
-            .when(n == 0, over(single))
-            .otherwise(over(weighted))
+            f"CASE WHEN YearID < {K.FIRST_FULL_RECORD_SEASON} THEN {over(padded)} "
+            f"WHEN n = 0 THEN {over(single)} ELSE {over(weighted)} END AS {name}"
         )
 
-    return board.select(
+    return board.selectExpr(
         *CLUB,
-        "games_home",
-        factor("runs").alias("park_run_factor"),
-        factor("hr").alias("park_hr_factor"),
+        "home AS games_home",
+        factor("runs", "park_run_factor"),
+        factor("hr", "park_hr_factor"),
     )

@@ -60,22 +60,16 @@ SPLIT_METRICS = (
 ALL_METRICS = (*SPLIT_METRICS[:7], "Outs", *SPLIT_METRICS[7:])
 
 
-def pitching_sums(counts: Column | None = None) -> list[Column]:
-    """Totals and by-hand splits of :func:`play_metrics`.
-
-    ``counts`` restricts the plays that count, for callers whose rows are not
-    all the responsible pitcher's own.
-    """
+def pitching_sums() -> list[Column]:
+    """Totals and by-hand splits of :func:`play_metrics`."""
     metrics = play_metrics()
-
-    def total(value: Column, condition: Column | None) -> Column:
-        return F.sum(value if condition is None else F.when(condition, value).otherwise(0))
-
-    sums = [total(metrics[name], counts).alias(name) for name in ALL_METRICS]
+    sums = [F.sum(metrics[name]).alias(name) for name in ALL_METRICS]
     for hand in K.BATTER_HANDS:
         faced = F.col("resp_bat_hand_cd") == hand
-        faced = faced if counts is None else counts & faced
-        sums += [total(metrics[name], faced).alias(f"{name}_{hand}") for name in SPLIT_METRICS]
+        sums += [
+            F.sum(F.when(faced, metrics[name]).otherwise(0)).alias(f"{name}_{hand}")
+            for name in SPLIT_METRICS
+        ]
     return sums
 
 
@@ -196,8 +190,8 @@ def pitching_events(events: DataFrame) -> DataFrame:
 
 def _by_pitcher(events: DataFrame, *sums: Column) -> DataFrame:
     return events.groupBy(
-        season_of().alias("Year"), F.col("resp_pit_id").alias("RetroID"),
-        fielding_team().alias("Team"),
+        season_of().alias("Year"), fielding_team().alias("Team"),
+        F.col("resp_pit_id").alias("RetroID"),
     ).agg(*sums)
 
 
@@ -238,7 +232,7 @@ def runs_allowed(events: DataFrame) -> DataFrame:
         events.select(
             season_of().alias("Year"), fielding_team().alias("Team"), F.inline(scored)
         )
-        .groupBy("Year", "RetroID", "Team")
+        .groupBy("Year", "Team", "RetroID")
         .agg(
             F.count(F.lit(1)).alias("R"),
             F.sum(one_if(is_earned(F.col("dest")))).alias("ER"),
@@ -246,66 +240,9 @@ def runs_allowed(events: DataFrame) -> DataFrame:
     )
 
 
-# columns the per-play counts read
-PLAY_COLUMNS = (
-    "game_id", "event_cd", "bat_event_fl", "ab_fl", "h_cd", "rbi_ct", "event_outs_ct", "dp_fl",
-    "battedball_cd", "sh_fl", "sf_fl", "resp_bat_hand_cd",
-    *[f"run{b}_{kind}_fl" for b in BASES for kind in ("sb", "cs", "pk")],
-    *[f"base{b}_run_id" for b in BASES],
-)
-
-
-def pitcher_seasons(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFrame:
-    """Everything plays say about a pitcher-season, in one pass over them.
-
-    Each play yields a row for its responsible pitcher (who gets all the
-    counts), one for the pitcher on the mound when that is somebody else, and
-    one per runner charged to another pitcher's account. Rows are summed per
-    game first: that spreads a busy pitcher over his games, and the number of
-    game rows he was on the mound for is then his games pitched. Sums of sums
-    give the season.
-
-    Extra columns: ``faced`` plays as responsible pitcher.
-    """
-    no, yes = F.lit(0), F.lit(1)
-
-    def credit(pitcher: str, own: Column, mound: Column, dest: Column) -> Column:
-        run = one_if(dest >= K.DESTINATION_SCORED)
-        return F.struct(
-            F.col(pitcher).alias("RetroID"),
-            own.alias("own"),
-            mound.alias("mound"),
-            run.alias("run"),
-            (run * one_if(is_earned(dest))).alias("earned"),
-        )
-
-    runners = [credit(f"run{b}_resp_pit_id", no, no, F.col(f"run{b}_dest_id")) for b in BASES]
-    other_pitcher = ~F.col("pit_id").eqNullSafe(F.col("resp_pit_id"))
-    credits = F.array(
-        credit("resp_pit_id", yes, yes, F.col("bat_dest_id")),
-        F.when(other_pitcher, credit("pit_id", no, yes, no)),
-        *runners,
-    )
-    kept = F.filter(
-        credits,
-        lambda c: c.isNotNull() & has_id(c["RetroID"]) & ((c["mound"] == 1) | (c["run"] == 1)),
-    )
-    own = F.col("own") == 1
+def pitcher_lines(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFrame:
+    """Batting-against counts, running game and steal chances in one pass."""
     running = {**running_metrics(pickoff_mode), "SBO": steal_chances()}
-    rows = events.select(
-        season_of().alias("Year"),
-        fielding_team().alias("Team"),
-        *PLAY_COLUMNS,
-        F.inline(kept),
-    )
-    per_game = rows.groupBy("Year", "Team", "RetroID", "game_id").agg(
-        *pitching_sums(own),
-        *[F.sum(F.when(own, v).otherwise(0)).alias(name) for name, v in running.items()],
-        F.sum("own").alias("faced"),
-        F.max("mound").alias("G"),
-        F.sum("run").alias("R"),
-        F.sum("earned").alias("ER"),
+    return _by_pitcher(
+        events, *pitching_sums(), *[F.sum(value).alias(name) for name, value in running.items()]
     )
-    keys = ("Year", "Team", "RetroID")
-    sums = [F.sum(c).alias(c) for c in per_game.columns if c not in (*keys, "game_id")]
-    return per_game.groupBy(*keys).agg(*sums).where(F.col("G") > 0)

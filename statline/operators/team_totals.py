@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline import constants as K
-from statline.functions.exprs import innings, is_left_hander, non_negative, ratio
+from statline.functions.exprs import innings, is_left_hander, non_negative
+from statline.functions.formulas import ratio
 
 TEAM = ("Year", "Lg", "Tm")
 LEAGUE = ("Year", "Lg")
@@ -88,7 +89,7 @@ def team_pitching(pitching_totals: DataFrame, sacrifices: DataFrame) -> DataFram
         *TEAM,
         "W",
         "L",
-        ratio(F.col("W"), F.col("W") + F.col("L")).alias("WPCT"),
+        F.expr(ratio("double(W)", "double(W + L)")).alias("WPCT"),
         "BF", "IP", "H", "R", "ER", "HR", "SH", "SF", "HBP", "BB", "SO", "WP", "BK",
         "IP_LHP", "SO_LHP",
     )
@@ -210,33 +211,41 @@ def fielding_team_seasons(fielding: DataFrame) -> DataFrame:
     rows at a position, so that a team missing one can be told from zeros.
     """
     sums = []
-    for pos in K.POSITIONS:
-        here, tag = F.col("pos") == pos, pos.upper()
-        stats = K.FIELDING_STATS + (K.CATCHER_STATS if pos == "c" else ())
-        sums += [F.sum(F.when(here, F.col(s.lower()))).alias(f"{s}_{tag}") for s in stats]
-        sums.append(F.count(F.when(here, 1)).alias(f"n_{tag}"))
+    for column in positional_columns():
+        stat, tag = column.split("_")
+        sums.append(f"sum(CASE WHEN pos = '{tag.lower()}' THEN {stat.lower()} END) AS {column}")
+    sums += [f"count_if(pos = '{pos}') AS n_{pos.upper()}" for pos in K.POSITIONS]
     keys = [F.col(k.lower()).alias(k) for k in TEAM]
-    return keyed(one_team(fielding), "year", "lg").groupBy(*keys).agg(*sums)
+    return keyed(one_team(fielding), "year", "lg").groupBy(*keys).agg(*map(F.expr, sums))
 
 
-def has_all_positions() -> Column:
-    condition = F.lit(True)
-    for pos in K.POSITIONS:
-        condition &= F.col(f"n_{pos.upper()}") > 0
-    return condition
+def positional_columns() -> list[str]:
+    """Sum columns of :func:`fielding_team_seasons`."""
+    return [
+        f"{s}_{pos.upper()}"
+        for pos in K.POSITIONS
+        for s in K.FIELDING_STATS + (K.CATCHER_STATS if pos == "c" else ())
+    ]
 
 
-def team_fielding_totals(fielding_totals: DataFrame, double_plays: DataFrame) -> DataFrame:
-    """Putouts, assists, errors over all positions, passed balls, double plays."""
+def has_all_positions() -> str:
+    return " AND ".join(f"n_{pos.upper()} > 0" for pos in K.POSITIONS)
 
-    def across(stat: str) -> Column:
-        total = F.col(f"{stat}_P")
-        for pos in K.SHARE_POSITIONS:
-            total = total + F.col(f"{stat}_{pos.upper()}")
-        return total.alias(stat)
 
+def team_fielding_totals(
+    fielding_totals: DataFrame, double_plays: DataFrame, by_position: bool = False
+) -> DataFrame:
+    """Putouts, assists, errors over all positions, passed balls, double plays.
+
+    ``by_position`` carries the positional sums along.
+    """
+
+    def across(stat: str) -> str:
+        return " + ".join(f"{stat}_{pos.upper()}" for pos in K.POSITIONS) + f" AS {stat}"
+
+    carried = positional_columns() if by_position else []
     return (
         fielding_totals.where(has_all_positions())
-        .select(*TEAM, across("PO"), across("A"), across("E"), F.col("PB_C").alias("PB"))
+        .selectExpr(*TEAM, *map(across, ("PO", "A", "E")), "PB_C AS PB", *carried)
         .join(double_plays, list(TEAM))
     )

@@ -1,26 +1,30 @@
 """Team stages of the fielding value split.
 
 Each stage adds columns to one wide row per team-season, so later stages join
-nothing they already have. Columns: ``b_ p_ f_ m_`` for the team's batting,
-pitching, fielding and game-log totals, ``l_`` for its league's, ``*_TM`` and
-``*_LG`` for fielding by position, ``prf``/``phf`` for park factors.
+nothing they already have. Columns, all doubles: ``b_ p_ f_ m_`` for the
+team's batting, pitching, fielding and game-log totals, ``l_`` for its
+league's, ``*_TM`` and ``*_LG`` for fielding by position, ``prf``/``phf`` for
+park factors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statline import constants as K
-from statline.functions.exprs import guarded_sqrt, nonzero, ratio
+from statline.functions.formulas import guarded_sqrt, nonzero, num, ratio
 from statline.operators.leagues import (
-    D,
+    LEAGUE_SINGLES,
+    as_doubles,
+    error_rates,
     estimate_a,
     estimate_b,
     estimate_c,
     first_base_throws,
+    with_league_factors,
 )
-from statline.operators.team_totals import LEAGUE, TEAM, with_br_code
+from statline.operators.team_totals import LEAGUE, TEAM, positional_columns, with_br_code
 
 STAGE1_OUTPUT = (
     "DER", "P-S", "MR", "MRA", "P_Pct", "OW", "DW", "PW", "FW",
@@ -29,234 +33,228 @@ STAGE1_OUTPUT = (
 STAGE2_OUTPUT = ("ROB", "EstA", "EstB", "EstC", "X", "EPO_2B", "EPO_SS", "EE", "SHR", "EA")
 
 
+def with_formulas(board: DataFrame, formulas: dict[str, str]) -> DataFrame:
+    """Add named formulas over columns the board already has."""
+    return board.selectExpr("*", *[f"{text} AS `{name}`" for name, text in formulas.items()])
+
+
 def with_league_and_park(
     book: DataFrame, totals: DataFrame, factors: DataFrame, teams: DataFrame
 ) -> DataFrame:
     """The team book with its league's totals and its park's factors."""
-    league = totals.select(
-        *LEAGUE, *[F.col(f"`{c}`").alias(f"l_{c}") for c in totals.columns if c not in LEAGUE]
-    )
     parks = with_br_code(
-        factors.select(
-            F.col("YearID").alias("Year"), "Lg", F.col("Tm").alias("retro"),
-            F.col("park_run_factor").alias("prf"), F.col("park_hr_factor").alias("phf"),
+        factors.selectExpr(
+            "YearID AS Year", "Lg", "Tm AS retro",
+            "park_run_factor AS prf", "park_hr_factor AS phf",
         ),
         teams,
     ).drop("retro")
-    return book.join(parks, list(TEAM)).join(league, list(LEAGUE))
+    return (
+        as_doubles(book)
+        .join(parks, list(TEAM))
+        .join(as_doubles(totals, "l_", LEAGUE), list(LEAGUE))
+    )
+
 
+# --------------------------------------------------------------------------
+# stage 1: offence, pitching, fielding
+# --------------------------------------------------------------------------
 
-def _per_league_inning(stat: str) -> Column:
-    return ratio(D(f"l_{stat}"), D("l_IP_p"))
+IN_PLAY = "(3 * p_IP - p_SO)"  # outs on balls in play
+LEAGUE_IN_PLAY = "(3 * l_IP_p - l_SO_p)"
+_NOT_IN_PLAY = "(p_BB + p_SO + p_HBP)"
+_LEAGUE_RUNS = ratio("l_R_p", "l_IP_p")
 
 
-def _league_singles() -> Column:
-    return D("l_H_b") - D("l_2B_b") - D("l_3B_b") - D("l_HR_b")
+def _park_adjustment() -> str:
+    homers = ratio(f"l_HR_b * {num(K.HOME_RUN_VALUE)}", "l_R_b")
+    return guarded_sqrt(ratio(f"prf - phf * {homers}", f"1 - {homers}"))
 
 
-def _out_of_play() -> Column:
-    """Plate appearances that ended without a ball in play, home runs aside."""
-    return D("p_BB") + D("p_SO") + D("p_HBP")
+def _expected_double_plays() -> str:
+    singles = ratio(LEAGUE_SINGLES, "l_H_b - l_HR_b")
+    runners = f"{singles} * (p_H - p_HR) + p_BB + p_HBP - p_SH - p_WP - p_BK"
+    # home runs, not hit batsmen, belong in this denominator
+    league_runners = f"{LEAGUE_SINGLES} + l_BB_p + l_HR_p - l_SH_p - l_WP_p - l_BK_p - l_PB"
+    assists = ratio(ratio("f_A", "p_IP"), ratio("l_A", "l_IP_p"))
+    return f"({runners}) * {ratio('l_DP', league_runners)} * {assists}"
 
 
 def stage1(board: DataFrame) -> DataFrame:
     """Split team wins into offence, pitching and fielding."""
-    prf, phf = F.col("prf"), F.col("phf")
-    raw, x = F.col("raw_share"), F.col("x_runs")
-
-    hr_share = ratio(D("l_HR_b") * K.HOME_RUN_VALUE, D("l_R_b"))
-    balls = D("p_BF") - D("p_H") - _out_of_play()
-    der_quotient = ratio(balls, D("p_BF") - D("p_HR") - _out_of_play())
-    runs_lg = _per_league_inning("R_p")
-
-    singles = _league_singles()
-    runners_on = (
-        ratio(singles, D("l_H_b") - D("l_HR_b")) * (D("p_H") - D("p_HR"))
-        + D("p_BB") + D("p_HBP") - D("p_SH") - D("p_WP") - D("p_BK")
-    )
-    # home runs, not hit batsmen, belong in this denominator
-    dp_rate = ratio(
-        D("l_DP"),
-        singles + D("l_BB_p") + D("l_HR_p") - D("l_SH_p") - D("l_WP_p") - D("l_BK_p") - D("l_PB"),
-    )
-    assist_rate = ratio(ratio(D("f_A"), D("p_IP")), ratio(D("l_A"), D("l_IP_p")))
-    in_play, league_in_play = 3 * D("p_IP") - D("p_SO"), 3 * D("l_IP_p") - D("l_SO_p")
-    lh_share = ratio(3 * D("l_IP_LHP_p") - D("l_SO_LHP_p"), league_in_play)
-
-    first = board.withColumns(
+    low, high = num(K.MARGIN_OFFENCE), num(K.MARGIN_DEFENCE)
+    homers = ratio("l_HR_p", nonzero("l_IP_p"))
+    own_homers = ratio("p_HR", f"coalesce({nonzero('phf')}, 1D)")
+    left_share = ratio("3 * l_IP_LHP_p - l_SO_LHP_p", LEAGUE_IN_PLAY)
+    board = with_formulas(
+        board,
         {
-            "DERq": der_quotient,
-            "P-S": guarded_sqrt(ratio(prf - phf * hr_share, 1 - hr_share)),
-            "MR": D("b_R")
-            - runs_lg * prf * K.MARGIN_OFFENCE * (D("p_IP") - D("m_W_HOME") + D("m_L_ROAD")),
-            "MRA": runs_lg * prf * K.MARGIN_DEFENCE * D("p_IP") - D("p_R"),
-            "CL-2": K.CL2_SLOPE * (ratio(D("p_SO") * 9, D("p_IP")) + K.CL2_OFFSET),
-            "CL-3": ratio(D("l_HBP_p") + D("l_BB_p"), D("l_IP_p")) * D("p_IP")
-            - D("p_BB")
-            - D("p_HBP")
-            + K.CL3_BASE,
-            "CL-4": K.CL4_SLOPE
-            * (
-                ratio(D("l_HR_p"), nonzero(D("l_IP_p"))) * D("p_IP")
-                - ratio(D("p_HR"), F.coalesce(nonzero(phf), F.lit(1.0)))
-            )
-            + K.CL4_BASE,
-            "EDP2": runners_on * dp_rate * assist_rate,
-            "O-0": ratio(D("l_R_b"), D("l_AB_b") - D("l_H_b") + D("l_CS_b"))
-            * K.MARGIN_OFFENCE
-            * prf,
-            "TLPOP": ratio(D("f_PO") - D("p_SO"), D("l_PO") - D("l_SO_p")),
-            "LH": 3 * D("p_IP_LHP") - D("p_SO_LHP") - lh_share * in_play,
-            "x_runs": ratio(D("l_R_p") * 9, D("l_IP_p")) * prf * K.MARGIN_DEFENCE,
-        }
+            "DERq": ratio(f"p_BF - p_H - {_NOT_IN_PLAY}", f"p_BF - p_HR - {_NOT_IN_PLAY}"),
+            "P-S": _park_adjustment(),
+            "MR": f"b_R - {_LEAGUE_RUNS} * prf * {low} * (p_IP - m_W_HOME + m_L_ROAD)",
+            "MRA": f"{_LEAGUE_RUNS} * prf * {high} * p_IP - p_R",
+            "CL-2": f"{num(K.CL2_SLOPE)} * ({ratio('p_SO * 9', 'p_IP')} + {num(K.CL2_OFFSET)})",
+            "CL-3": f"{ratio('l_HBP_p + l_BB_p', 'l_IP_p')} * p_IP - p_BB - p_HBP + {K.CL3_BASE}",
+            "CL-4": f"{K.CL4_SLOPE} * ({homers} * p_IP - {own_homers}) + {K.CL4_BASE}",
+            "CL-5": f"{K.CL5_BASE} + {ratio('l_E + 0.5D * l_PB', 'l_IP_p')} * p_IP "
+            "- 0.5D * f_PB - f_E",
+            "EDP2": _expected_double_plays(),
+            "O-0": f"{ratio('l_R_b', 'l_AB_b - l_H_b + l_CS_b')} * {low} * prf",
+            "TLPOP": ratio("f_PO - p_SO", "l_PO - l_SO_p"),
+            "LH": f"3 * p_IP_LHP - p_SO_LHP - {left_share} * {IN_PLAY}",
+            "x_runs": f"{ratio('l_R_p * 9', 'l_IP_p')} * prf * {high}",
+        },
     )
-    second = first.withColumns(
+    board = with_formulas(
+        board,
         {
-            "DER": 1 - ratio(1 - F.col("DERq"), F.col("P-S")),
-            "CL-5": K.CL5_BASE
-            + ratio(D("l_E") + 0.5 * D("l_PB"), D("l_IP_p")) * D("p_IP")
-            - 0.5 * D("f_PB")
-            - D("f_E"),
-            "CL-6": K.CL6_BASE + (D("f_DP") - F.col("EDP2")) * 4 / 3,
-            "OW": ratio(F.col("MR"), F.col("MR") + F.col("MRA"))
-            * K.WIN_SHARES_PER_WIN
-            * D("p_W"),
-        }
+            "DER": f"1 - {ratio('1 - DERq', '`P-S`')}",
+            "CL-6": f"{K.CL6_BASE} + (f_DP - EDP2) * 4 / 3",
+            "OW": f"{ratio('MR', 'MR + MRA')} * {K.WIN_SHARES_PER_WIN} * p_W",
+        },
     )
-    third = second.withColumns(
+    board = with_formulas(
+        board,
         {
-            "CL-1": K.CL1_BASE + K.CL1_SLOPE * (F.col("DER") - F.col("l_DER_LG")),
-            "DW": K.WIN_SHARES_PER_WIN * D("p_W") - F.col("OW"),
-        }
+            "CL-1": f"{K.CL1_BASE} + {K.CL1_SLOPE} * (DER - l_DER_LG)",
+            "DW": f"{K.WIN_SHARES_PER_WIN} * p_W - OW",
+        },
     )
-    cl = {i: F.col(f"CL-{i}") for i in range(1, 7)}
-    won = K.WPCT_WEIGHT * F.col("p_WPCT")
-    pitching_claim = cl[1] + cl[2] + cl[3] + cl[4] + won + K.PITCHING_BASE
-    all_claims = 2 * cl[1] + cl[2] + cl[3] + cl[4] + cl[5] + cl[6] + K.TOTAL_BASE + won
-    fourth = third.withColumn("raw_share", ratio(pitching_claim, all_claims))
-    return fourth.withColumns(
+    won = f"{K.WPCT_WEIGHT} * p_WPCT"
+    claims = "`CL-1` + `CL-2` + `CL-3` + `CL-4`"
+    raw = ratio(
+        f"{claims} + {won} + {K.PITCHING_BASE}",
+        f"2 * {claims} + `CL-5` + `CL-6` + {num(K.TOTAL_BASE)} + {won}",
+    )
+    floor, ceiling = num(K.P_PCT_FLOOR), num(K.P_PCT_CEILING)
+    return with_formulas(
+        with_formulas(board, {"raw": raw}),
         {
-            "P_Pct": F.when(raw < K.P_PCT_FLOOR, F.lit(K.P_PCT_FLOOR))
-            .when(raw > K.P_PCT_CEILING, F.lit(K.P_PCT_CEILING))
-            .otherwise(raw),
-            "PW": F.col("DW") * raw,
-            "FW": F.col("DW") - F.col("DW") * raw,
-            "P-0": x - (x - ratio(D("p_ER") * 9, D("p_IP"))) * (1 - raw),
-        }
+            "P_Pct": f"CASE WHEN raw < {floor} THEN {floor} "
+            f"WHEN raw > {ceiling} THEN {ceiling} ELSE raw END",
+            "PW": "DW * raw",
+            "FW": "DW - DW * raw",
+            "P-0": f"x_runs - (x_runs - {ratio('p_ER * 9', 'p_IP')}) * (1 - raw)",
+        },
     )
 
 
-def with_positions(
-    board: DataFrame,
-    team_positions: DataFrame,
-    league_positions: DataFrame,
-    factors: DataFrame,
-) -> DataFrame:
-    """Add fielding by position (team, league) and the league factors."""
-    return (
-        board.join(team_positions, list(TEAM))
-        .join(league_positions, list(LEAGUE))
-        .join(factors, list(LEAGUE))
+# --------------------------------------------------------------------------
+# stage 2: expected plays
+# --------------------------------------------------------------------------
+
+
+def with_positions(board: DataFrame, league_positions: DataFrame, clubs: DataFrame) -> DataFrame:
+    """Add rates by position for the team and its league, and league factors.
+
+    The team's sums by position are on the board already.
+    """
+    positional = positional_columns()
+    team = board.where(F.col("Lg") != K.MULTI_LEAGUE).selectExpr(
+        *[f"`{c}` AS {c}_TM" if c in positional else f"`{c}`" for c in board.columns]
+    )
+    league = as_doubles(league_positions.drop("SO_p"), keys=LEAGUE)
+    return with_league_factors(
+        team.selectExpr("*", *error_rates("TM", "p_SO"))
+        .join(league, list(LEAGUE))
+        .join(clubs, list(LEAGUE))
     )
 
 
+def _expected_putouts(pos: str, walks: int, left: int) -> str:
+    share = ratio(f"(f_PO - p_SO) * PO_{pos}_LG", "l_PO - l_SO_p")
+    extra_walks = f"(p_BB - {ratio('l_BB_p', 'l_IP_p')} * p_IP)"
+    return f"{share} + {extra_walks} / {walks} + LH / {left}"
+
+
 def stage2(board: DataFrame) -> DataFrame:
     """Expected plays a team's fielders faced."""
-    in_play = 3 * D("p_IP") - D("p_SO")
-    lh = F.col("LH")
-    extra_walks = D("p_BB") - _per_league_inning("BB_p") * D("p_IP")
-    putouts = D("f_PO") - D("p_SO")
-    league_putouts = D("l_PO") - D("l_SO_p")
+    singles = ratio(f"(p_H - p_HR) * {LEAGUE_SINGLES}", "l_H_b - l_HR_b")
+    board = with_formulas(board, {"ROB": f"{singles} + p_BB + p_HBP - p_WP - f_PB - p_BK"})
+    board = with_formulas(
+        board,
+        {
+            "EstA": estimate_a("TM", "ROB", IN_PLAY),
+            "EstB": estimate_b("TM", IN_PLAY),
+            "X": f"{first_base_throws('TM')} + {num(K.X_LH)} * LH",
+            "EPO_2B": _expected_putouts("2B", K.EPO_2B_WALKS, K.EPO_2B_LH),
+            "EPO_SS": _expected_putouts("SS", K.EPO_SS_WALKS, K.EPO_SS_LH),
+            "EE": f"{ratio('PO_3B_TM + PO_SS_TM', 'FA_Lg')} - PO_3B_TM - PO_SS_TM",
+            "SHR": ratio("p_SH", "p_W + 2 * p_L"),
+            "EA": f"{ratio('f_A * A_3B_LG', 'l_A')} + LH / {K.EA_LH}",
+        },
+    )
+    return with_formulas(board, {"EstC": estimate_c("EstA", "EstB")})
 
-    def expected_putouts(pos: str, walks: int, left: int) -> Column:
-        share = ratio(putouts * D(f"PO_{pos}_LG"), league_putouts)
-        return share + extra_walks / walks + lh / left
 
-    left_side = D("PO_3B_TM") + D("PO_SS_TM")
-    return (
-        board.withColumn(
-            "ROB",
-            ratio((D("p_H") - D("p_HR")) * _league_singles(), D("l_H_b") - D("l_HR_b"))
-            + D("p_BB") + D("p_HBP") - D("p_WP") - D("f_PB") - D("p_BK"),
-        )
-        .withColumns(
-            {
-                "EstA": estimate_a("TM", F.col("ROB"), in_play),
-                "EstB": estimate_b("TM", in_play),
-                "X": first_base_throws("TM") + K.X_LH * lh,
-                "EPO_2B": expected_putouts("2B", K.EPO_2B_WALKS, K.EPO_2B_LH),
-                "EPO_SS": expected_putouts("SS", K.EPO_SS_WALKS, K.EPO_SS_LH),
-                "EE": ratio(left_side, F.col("FA_Lg")) - D("PO_3B_TM") - D("PO_SS_TM"),
-                "SHR": ratio(D("p_SH"), D("p_W") + 2 * D("p_L")),
-                "EA": ratio(D("f_A") * D("A_3B_LG"), D("l_A")) + lh / K.EA_LH,
-            }
-        )
-        .withColumn("EstC", estimate_c(F.col("EstA"), F.col("EstB")))
-    )
-
-
-def positional_scores() -> dict[str, list[Column]]:
+# --------------------------------------------------------------------------
+# stage 3: positional scores
+# --------------------------------------------------------------------------
+
+
+def positional_scores() -> dict[str, list[str]]:
     """The four part scores of each position."""
-    lh, tlpop, edp2 = F.col("LH"), F.col("TLPOP"), F.col("EDP2")
-    spare_dp = D("f_DP") - edp2
-
-    def error_score(pos: str, part: tuple[float, float]) -> Column:
-        return part[0] - ratio(part[1] * F.col(f"EPct_{pos}_TM"), F.col(f"EPct_{pos}_LG"))
-
-    def caught_rate(tag: str) -> Column:
-        return ratio(D(f"CS_C_{tag}"), nonzero(D(f"SB_C_{tag}")) + D(f"CS_C_{tag}"))
-
-    s = K.SCORES
-    c, fb, sb, tb, ss, of = (s[p] for p in K.SHARE_POSITIONS)
-    est_first = F.col("EstC") + D("A_1B_TM") + K.FIRST_LH * lh
-    est_first_lg = (F.col("EstC_Lg") + D("A_1B_LG")) * tlpop
-    left_errors = D("E_3B_TM") + D("E_SS_TM")
-    left_errors_lg = (D("E_3B_LG") + D("E_SS_LG")) * tlpop
-    second_assists = D("A_2B_TM") - D("DP_2B_TM")
-    second_assists_lg = (D("A_2B_LG") - D("DP_2B_LG")) * tlpop - lh / K.SECOND_LH
-    third_dp_lg = ratio(edp2 * D("DP_3B_LG"), nonzero(D("l_DP")))
-    short_assists_lg = D("f_A") * ratio(D("A_SS_LG"), D("l_A")) + lh / K.SHORT_LH
-    caught_flies = ratio(D("PO_OF_TM"), D("f_PO") - D("f_A") - D("p_SO"))
-    caught_flies_lg = ratio(D("PO_OF_LG"), D("l_PO") - D("l_A") - D("l_SO_p"))
-    arms = D("A_OF_TM") + D("DP_OF_TM") - D("p_SF")
-    arms_lg = (D("A_OF_LG") + D("DP_OF_LG") - D("l_SF_p")) * tlpop
-    sf_rate = ratio(D("p_SF"), nonzero(D("l_SF_p")) * D("l_HR_p"))
+    c, fb, sb, tb, ss, of = (K.SCORES[p] for p in K.SHARE_POSITIONS)
+
+    def plus(gain: str, part: tuple[float, float]) -> str:
+        """Base score plus a gain in plays per scale."""
+        return f"({gain}) / {part[1]} + {part[0]}"
+
+    def minus(rate: str, part: tuple[float, float]) -> str:
+        return f"{part[0]} - {rate} * {part[1]}"
+
+    def errors(pos: str, part: tuple[float, float]) -> str:
+        """Base score less the team's error rate relative to the league's."""
+        return f"{part[0]} - {ratio(f'{part[1]} * EPct_{pos}_TM', f'EPct_{pos}_LG')}"
+
+    def caught(tag: str) -> str:
+        return ratio(f"CS_C_{tag}", f"{nonzero(f'SB_C_{tag}')} + CS_C_{tag}")
+
+    first = f"EstC + A_1B_TM + {num(K.FIRST_LH)} * LH - (EstC_Lg + A_1B_LG) * TLPOP"
+    left_errors = ratio("E_3B_TM + E_SS_TM", "(E_3B_LG + E_SS_LG) * TLPOP")
+    second = f"A_2B_TM - DP_2B_TM - ((A_2B_LG - DP_2B_LG) * TLPOP - LH / {K.SECOND_LH})"
+    third_dp = ratio("EDP2 * DP_3B_LG", nonzero("l_DP"))
+    short = f"A_SS_TM - (f_A * {ratio('A_SS_LG', 'l_A')} + LH / {K.SHORT_LH})"
+    flies = ratio("PO_OF_TM", "f_PO - f_A - p_SO")
+    league_flies = ratio("PO_OF_LG", "l_PO - l_A - l_SO_p")
+    arms = "A_OF_TM + DP_OF_TM - p_SF - (A_OF_LG + DP_OF_LG - l_SF_p) * TLPOP"
+    sf_rate = ratio("p_SF", f"({nonzero('l_SF_p')}) * l_HR_p")
     return {
         "c": [
-            c[0][0] + (caught_rate("TM") - caught_rate("LG")) * c[0][1],
-            error_score("C", c[1]),
-            c[2][0] + (D("PB_C_TM") - D("PB_C_LG") * tlpop) / c[2][1],
-            c[3][0] - sf_rate * c[3][1],
+            f"({caught('TM')} - {caught('LG')}) * {c[0][1]} + {c[0][0]}",
+            errors("C", c[1]),
+            plus("PB_C_TM - PB_C_LG * TLPOP", c[2]),
+            minus(sf_rate, c[3]),
         ],
         "1b": [
-            fb[0][0] + (est_first - est_first_lg) / fb[0][1],
-            error_score("1B", fb[1]),
-            fb[2][0] + (F.col("X") - F.col("X_Lg")) / fb[2][1],
-            fb[3][0] - fb[3][1] * ratio(left_errors, left_errors_lg),
+            plus(first, fb[0]),
+            errors("1B", fb[1]),
+            plus("X - X_Lg", fb[2]),
+            minus(left_errors, fb[3]),
         ],
         "2b": [
-            sb[0][0] + spare_dp / sb[0][1],
-            (second_assists - second_assists_lg) / sb[1][1] + sb[1][0],
-            error_score("2B", sb[2]),
-            (D("PO_2B_TM") - F.col("EPO_2B")) / sb[3][1] + sb[3][0],
+            plus("f_DP - EDP2", sb[0]),
+            plus(second, sb[1]),
+            errors("2B", sb[2]),
+            plus("PO_2B_TM - EPO_2B", sb[3]),
         ],
         "3b": [
-            (D("A_3B_TM") - F.col("EA")) / tb[0][1] + tb[0][0],
-            (F.col("EE") - D("E_3B_TM")) / tb[1][1] + tb[1][0],
-            tb[2][0] - ratio(F.col("SHR"), nonzero(F.col("SHR_Lg"))) * tb[2][1],
-            (D("DP_3B_TM") - third_dp_lg) / tb[3][1] + tb[3][0],
+            plus("A_3B_TM - EA", tb[0]),
+            plus("EE - E_3B_TM", tb[1]),
+            minus(ratio("SHR", nonzero("SHR_Lg")), tb[2]),
+            plus(f"DP_3B_TM - {third_dp}", tb[3]),
         ],
         "ss": [
-            (D("A_SS_TM") - short_assists_lg) / ss[0][1] + ss[0][0],
-            spare_dp / ss[1][1] + ss[1][0],
-            error_score("SS", ss[2]),
-            (D("PO_SS_TM") - F.col("EPO_SS")) / ss[3][1] + ss[3][0],
+            plus(short, ss[0]),
+            plus("f_DP - EDP2", ss[1]),
+            errors("SS", ss[2]),
+            plus("PO_SS_TM - EPO_SS", ss[3]),
         ],
         "of": [
-            (caught_flies - caught_flies_lg) * of[0][1] + of[0][0],
-            F.col("CL-1") * of[1][1] + of[1][0],
-            (arms - arms_lg) / of[2][1] + of[2][0],
-            error_score("OF", of[3]),
+            f"({flies} - {league_flies}) * {of[0][1]} + {of[0][0]}",
+            f"`CL-1` * {num(of[1][1])} + ({of[1][0]})",
+            plus(arms, of[2]),
+            errors("OF", of[3]),
         ],
     }
 
@@ -267,10 +265,13 @@ def claim_column(pos: str) -> str:
 
 def stage3(board: DataFrame) -> DataFrame:
     """Claim percentage of each position: its four scores over a hundred."""
-    claims = {}
-    for pos, (p1, p2, p3, p4) in positional_scores().items():
-        claims[claim_column(pos)] = (p1 + p2 + p3 + p4) / float(K.SCORE_TOTAL)
-    return board.withColumns(claims)
+    return with_formulas(
+        board,
+        {
+            claim_column(pos): f"({' + '.join(f'({p})' for p in parts)}) / {K.SCORE_TOTAL}"
+            for pos, parts in positional_scores().items()
+        },
+    )
 
 
 def share_column(pos: str) -> str:
@@ -280,12 +281,10 @@ def share_column(pos: str) -> str:
 def positional_team_shares(board: DataFrame) -> DataFrame:
     """A team's fielding wins split over positions by weighted claims."""
     weighted = {
-        pos: (F.col(claim_column(pos)) - K.SCORE_BASELINE) * K.POSITION_WEIGHTS[pos]
+        pos: f"(({claim_column(pos)} - {num(K.SCORE_BASELINE)}) * {K.POSITION_WEIGHTS[pos]})"
         for pos in K.SHARE_POSITIONS
     }
-    total = weighted["c"]
-    for pos in K.SHARE_POSITIONS[1:]:
-        total = total + weighted[pos]
-    return board.withColumn("fcr", ratio(F.col("FW"), total)).select(
-        *TEAM, *[(F.col("fcr") * weighted[p]).alias(share_column(p)) for p in K.SHARE_POSITIONS]
+    per_claim = ratio("FW", " + ".join(weighted.values()))
+    return with_formulas(board, {"fcr": per_claim}).selectExpr(
+        *TEAM, *[f"fcr * {weighted[p]} AS `{share_column(p)}`" for p in K.SHARE_POSITIONS]
     )

@@ -44,13 +44,16 @@ class FieldingWinShares:
 
     @cached_property
     def book(self) -> DataFrame:
-        """Batting, pitching, game-log and fielding totals side by side."""
+        """Batting, pitching, game-log and fielding totals side by side.
+
+        Sums by position ride along: every later stage starts from this row.
+        """
         return self.keep(
             leagues.team_book(
                 team_totals.team_batting(self.tables.batting),
                 self.team_pitching,
                 team_totals.home_wins_road_losses(self.side_totals, self.tables.teams),
-                self.team_fielding_totals,
+                self._fielding_record(by_position=True),
             )
         )
 
@@ -63,13 +66,17 @@ class FieldingWinShares:
             team_totals.opponent_sacrifices(self.side_totals, self.tables.teams),
         )
 
-    @cached_property
-    def team_fielding_totals(self) -> DataFrame:
+    def _fielding_record(self, by_position: bool) -> DataFrame:
         return team_totals.team_fielding_totals(
             self.fielding_totals,
             team_totals.team_double_plays(self.side_totals, self.tables.teams),
+            by_position,
         )
 
+    @cached_property
+    def team_fielding_totals(self) -> DataFrame:
+        return self._fielding_record(by_position=False)
+
     @cached_property
     def park_factors(self) -> DataFrame:
         return parks.park_factors(self.side_totals, self.tables.parkconfig)
@@ -89,7 +96,7 @@ class FieldingWinShares:
     @cached_property
     def league_factors(self) -> DataFrame:
         return leagues.league_factors(
-            self.league_positions, self.league_totals, self.pitching_totals
+            self.league_positions, self.league_totals, leagues.club_counts(self.pitching_totals)
         )
 
     # --- stages: one wide row per team-season -------------------------------
@@ -106,7 +113,7 @@ class FieldingWinShares:
     def _board2(self) -> DataFrame:
         return win_shares.stage2(
             win_shares.with_positions(
-                self._board1, self.team_positions, self.league_positions, self.league_factors
+                self._board1, self.league_positions, leagues.club_counts(self.pitching_totals)
             )
         )
 
@@ -141,7 +148,7 @@ class FieldingWinShares:
     @cached_property
     def claim_points(self) -> DataFrame:
         return claims.claim_points(
-            self.tables.fielding, self.team_positions, self.team_pitching
+            self.tables.fielding, self.fielding_totals, self.team_pitching
         )
 
     def report(self, year: int | None = None, player: str | None = None) -> DataFrame:

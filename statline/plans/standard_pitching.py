@@ -2,60 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statline.functions.exprs import fixed_point, half_up_ratio
-from statline.operators.pitching import events_in_years, game_log_decisions, pitcher_seasons
+from statline.functions.formulas import fixed_point, half_up_ratio
+from statline.operators.pitching import (
+    ALL_METRICS,
+    SPLIT_METRICS,
+    events_in_years,
+    game_log_decisions,
+    games_pitched,
+    pitcher_lines,
+    running_metrics,
+    runs_allowed,
+)
 from statline.sources.tables import Tables
 
 KEYS = ["Year", "Team", "RetroID"]
 
 
-def _total_bases(sfx: str) -> Column:
-    h, db, tp, hr = (F.col(f"{s}{sfx}") for s in ("H", "DB", "TP", "HR"))
-    return h + db + 2 * tp + 3 * hr
+def _total_bases(sfx: str) -> str:
+    return f"H{sfx} + DB{sfx} + 2 * TP{sfx} + 3 * HR{sfx}"
 
 
-def _rates(sfx: str) -> list[Column]:
+def _rates(sfx: str) -> list[str]:
     """Average, on-base and slugging to three places."""
-    h, ab, bb, hbp, sf = (F.col(f"{s}{sfx}") for s in ("H", "AB", "BB", "HBP", "SF"))
+    reached = f"H{sfx} + BB{sfx} + HBP{sfx}"
+    chances = f"AB{sfx} + BB{sfx} + HBP{sfx} + SF{sfx}"
     return [
-        half_up_ratio(h, ab, 5, 3).alias(f"AVG{sfx}"),
-        half_up_ratio(h + bb + hbp, ab + bb + hbp + sf, 5, 3).alias(f"OBP{sfx}"),
-        half_up_ratio(_total_bases(sfx), ab, 5, 3).alias(f"SLG{sfx}"),
+        f"{half_up_ratio(f'H{sfx}', f'AB{sfx}', 5, 3)} AS AVG{sfx}",
+        f"{half_up_ratio(reached, chances, 5, 3)} AS OBP{sfx}",
+        f"{half_up_ratio(_total_bases(sfx), f'AB{sfx}', 5, 3)} AS SLG{sfx}",
     ]
 
 
-def _split(sfx: str) -> list[Column]:
+def _split(sfx: str) -> list[str]:
     before = [f"{s}{sfx}" for s in ("PA", "AB", "H", "DB", "TP", "HR", "RBI", "BB", "SO")]
     after = [f"{s}{sfx}" for s in ("GDP", "HBP", "SH", "SF", "IBB")]
-    return [
-        *_rates(sfx),
-        *[F.col(c) for c in before],
-        _total_bases(sfx).alias(f"TB{sfx}"),
-        *[F.col(c) for c in after],
-    ]
-
+    return [*_rates(sfx), *before, f"{_total_bases(sfx)} AS TB{sfx}", *after]
 
-def _innings() -> Column:
-    """Whole innings and leftover outs, in outs notation; no limit on length."""
-    three = F.lit(3).cast("long")
-    whole = F.call_function("div", F.col("Outs"), three)
-    return fixed_point(whole * 10 + F.col("Outs") % 3, 18, 1)
 
-
-def _earned_run_average() -> list[Column]:
-    """ERA, and whether it is infinite (earned runs without an out).
-
-    NULL as well for a pitcher charged with no run at all, earned or not.
-    """
-    outs, er = F.col("Outs"), F.col("ER")
-    known = (F.col("faced") > 0) & (F.col("R") > 0)
+def _report_columns() -> list[str]:
+    # outs notation: whole innings, then the outs left over; no limit on length
+    innings = fixed_point("10 * (Outs div 3) + Outs % 3", 18, 1)
+    # unknown for a pitcher charged with no run, earned or not
+    era_known = "pitched AND charged"
     return [
-        F.when(known, half_up_ratio(27 * er, outs, 8, 2)).alias("ERA"),
-        (known & (outs == 0) & (er > 0)).alias("ERA_is_inf"),
-    ]
+        "Year", "Team", "name_last", "name_first", "RetroID",
+        "G", "GS", "Outs", f"{innings} AS IP", "R", "ER",
+        f"CASE WHEN {era_known} THEN {half_up_ratio('27 * ER', 'Outs', 8, 2)} END AS ERA",
+        f"{era_known} AND Outs = 0 AND ER > 0 AS ERA_is_inf",
+        "W", "L", "SV",
+        "PA", "AB", "H", "DB", "TP", "HR", "RBI", "SB", "CS", "BB", "SO",
+        *_rates(""), f"{_total_bases('')} AS TB", "GDP", "HBP", "SH", "SF", "IBB",
+        "'' AS PlatoonStats",
+        f"{half_up_ratio('100 * PA_L', 'PA', 3, 0)} AS PctVsLHP",
+        *_split("_L"),
+        *_split("_R"),
+        "'' AS Baserunning",
+        # a second copy sits with the running game; names must differ to be stored
+        "SB AS SB_run", "CS AS CS_run",
+        f"{half_up_ratio('100 * SB', 'SB + CS', 5, 1)} AS SBPct",
+        "SBO",
+        f"{half_up_ratio('100 * (SB + CS)', 'SBO', 6, 2)} AS JumpPct",
+        "SB2", "CS2", "SB3", "CS3", "SBH", "CSH", "PkO", "POCS",
+    ]
 
 
 def standard_pitching(
@@ -63,36 +74,33 @@ def standard_pitching(
 ) -> DataFrame:
     """One line per pitcher, team and season in ``start``..``end``, sorted.
 
-    Reads plays once and game logs once. Everything past
-    :func:`pitcher_seasons` works on pitcher-season rows.
+    Plays are summed three ways, each reading only its own columns: by the
+    pitcher responsible, by the pitcher charged with each run, and as distinct
+    games. All three and the decisions end up hashed on the same three keys,
+    so joining them moves no row again.
     """
-    plays = pitcher_seasons(events_in_years(tables.events, start, end), pickoff_mode)
+    plays = events_in_years(tables.events, start, end)
+    lines = pitcher_lines(plays, pickoff_mode).withColumn("pitched", F.lit(True))
+    runs = runs_allowed(plays).withColumn("charged", F.lit(True))
     decisions = game_log_decisions(tables.gamelogs, start, end)
-    people = tables.people.where(F.col("name_last").isNotNull()).select(
-        F.col("key_retro").alias("RetroID"), "name_last", "name_first"
+    people = tables.people.where("name_last IS NOT NULL").selectExpr(
+        "key_retro AS RetroID", "name_last", "name_first"
     )
+    counts = [
+        *ALL_METRICS,
+        *[f"{m}_{hand}" for m in SPLIT_METRICS for hand in "LR"],
+        *running_metrics(),
+        "SBO", "R", "ER", "GS", "W", "L", "SV",
+    ]
     board = (
-        plays.join(decisions, KEYS, "left")
-        .na.fill(0, subset=["GS", "W", "L", "SV"])
+        games_pitched(plays)
+        .join(lines, KEYS, "left")
+        .join(runs, KEYS, "left")
+        .join(decisions, KEYS, "left")
+        .na.fill(0, subset=counts)
+        .na.fill(False, subset=["pitched", "charged"])
         .join(people, "RetroID")
     )
-    steals, caught, chances = F.col("SB"), F.col("CS"), F.col("SBO")
-    report = board.select(
-        "Year", "Team", "name_last", "name_first", "RetroID",
-        "G", "GS", "Outs", _innings().alias("IP"), "R", "ER", *_earned_run_average(),
-        "W", "L", "SV",
-        "PA", "AB", "H", "DB", "TP", "HR", "RBI", "SB", "CS", "BB", "SO",
-        *_rates(""), _total_bases("").alias("TB"), "GDP", "HBP", "SH", "SF", "IBB",
-        F.lit("").alias("PlatoonStats"),
-        half_up_ratio(100 * F.col("PA_L"), F.col("PA"), 3, 0).alias("PctVsLHP"),
-        *_split("_L"),
-        *_split("_R"),
-        F.lit("").alias("Baserunning"),
-        # a second copy sits with the running game; names must differ to be stored
-        steals.alias("SB_run"), caught.alias("CS_run"),
-        half_up_ratio(100 * steals, steals + caught, 5, 1).alias("SBPct"),
-        "SBO",
-        half_up_ratio(100 * (steals + caught), chances, 6, 2).alias("JumpPct"),
-        "SB2", "CS2", "SB3", "CS3", "SBH", "CSH", "PkO", "POCS",
-    )
-    return report.orderBy("Year", "Team", "name_last", "name_first", "RetroID")
+    return board.selectExpr(*_report_columns()).orderBy(
+        "Year", "Team", "name_last", "name_first", "RetroID"
+    )

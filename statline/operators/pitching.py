@@ -23,6 +23,7 @@ from statline.functions.exprs import (
 )
 
 BASES = (1, 2, 3)
+RUN_TO = ("2", "3", "H")  # base a runner from first, second, third tries for
 PICKOFF_MODES = ("as_caught", "flag")
 
 
@@ -60,21 +61,34 @@ SPLIT_METRICS = (
 ALL_METRICS = (*SPLIT_METRICS[:7], "Outs", *SPLIT_METRICS[7:])
 
 
-def pitching_sums() -> list[Column]:
-    """Totals and by-hand splits of :func:`play_metrics`."""
-    metrics = play_metrics()
-    sums = [F.sum(metrics[name]).alias(name) for name in ALL_METRICS]
-    for hand in K.BATTER_HANDS:
-        faced = F.col("resp_bat_hand_cd") == hand
-        sums += [
-            F.sum(F.when(faced, metrics[name]).otherwise(0)).alias(f"{name}_{hand}")
-            for name in SPLIT_METRICS
-        ]
-    return sums
+def _by_hand(events: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """Sums per responsible pitcher and batter hand.
+
+    The hand as a key lets one sum per metric serve totals and both splits;
+    :func:`_fold_hands` works on what is left, a few rows per pitcher-season.
+    """
+    return events.groupBy(
+        season_of().alias("Year"),
+        fielding_team().alias("Team"),
+        F.col("resp_pit_id").alias("RetroID"),
+        F.col("resp_bat_hand_cd").alias("hand"),
+    ).agg(*[F.sum(value).alias(name) for name, value in metrics.items()])
+
+
+def _fold_hands(by_hand: DataFrame) -> DataFrame:
+    """One row per pitcher-season: totals over all hands, then each split."""
+    keys = ("Year", "Team", "RetroID")
+    sums = [f"sum({c}) AS {c}" for c in by_hand.columns if c not in (*keys, "hand")]
+    sums += [
+        f"sum(CASE WHEN hand = '{hand}' THEN {c} ELSE 0 END) AS {c}_{hand}"
+        for hand in K.BATTER_HANDS
+        for c in SPLIT_METRICS
+    ]
+    return by_hand.groupBy(*keys).agg(*map(F.expr, sums))
 
 
 def running_metrics(pickoff_mode: str = "as_caught") -> dict[str, Column]:
-    """What one play adds to the running-game counts; several runners add up.
+    """What one play adds to the sums behind :data:`RUNNING_COLUMNS`.
 
     ``as_caught`` counts a plain pickoff wherever a runner is caught without
     the pickoff flag, which makes pickoffs equal caught stealings. ``flag``
@@ -82,27 +96,24 @@ def running_metrics(pickoff_mode: str = "as_caught") -> dict[str, Column]:
     """
     if pickoff_mode not in PICKOFF_MODES:
         raise ValueError(f"pickoff_mode must be one of {PICKOFF_MODES}, not {pickoff_mode!r}")
-    steal = {b: one_if(is_true(f"run{b}_sb_fl")) for b in BASES}
-    caught, picked, both = {}, {}, {}
-    for b in BASES:
+    metrics: dict[str, Column] = {}
+    for b, to in zip(BASES, RUN_TO):
         cs, pk = F.col(f"run{b}_cs_fl"), F.col(f"run{b}_pk_fl")
-        plain = one_if((cs == "T") & (pk == "F"))
-        both[b] = one_if((cs == "T") & (pk == "T"))
-        caught[b] = plain + both[b]
-        bare = plain if pickoff_mode == "as_caught" else one_if((cs == "F") & (pk == "T"))
-        picked[b] = bare + both[b]
-    return {
-        "SB": steal[1] + steal[2] + steal[3],
-        "CS": caught[1] + caught[2] + caught[3],
-        "SB2": steal[1],
-        "SB3": steal[2],
-        "SBH": steal[3],
-        "CS2": caught[1],
-        "CS3": caught[2],
-        "CSH": caught[3],
-        "PkO": picked[1] + picked[2] + picked[3],
-        "POCS": both[1] + both[2] + both[3],
-    }
+        metrics[f"SB{to}"] = one_if(is_true(f"run{b}_sb_fl"))
+        metrics[f"CS{to}"] = one_if((cs == "T") & pk.isin("F", "T"))
+        metrics[f"POCS{to}"] = one_if((cs == "T") & (pk == "T"))
+        bare = cs == "T" if pickoff_mode == "as_caught" else cs == "F"
+        wanted = "F" if pickoff_mode == "as_caught" else "T"
+        metrics[f"PkO{to}"] = one_if(bare & (pk == wanted))
+    metrics["POCS"] = metrics.pop("POCS2") + metrics.pop("POCS3") + metrics.pop("POCSH")
+    bare_pickoffs = metrics.pop("PkO2") + metrics.pop("PkO3") + metrics.pop("PkOH")
+    return {**metrics, "bare_pickoffs": bare_pickoffs}
+
+
+RUNNING_COLUMNS = (
+    "SB2 + SB3 + SBH AS SB", "CS2 + CS3 + CSH AS CS", "SB2", "SB3", "SBH", "CS2", "CS3", "CSH",
+    "bare_pickoffs + POCS AS PkO", "POCS",
+)
 
 
 def steal_chances() -> Column:
@@ -182,10 +193,10 @@ def game_log_decisions(gamelogs: DataFrame, start: int | str, end: int | str) ->
 
 def pitching_events(events: DataFrame) -> DataFrame:
     """Batting-against totals and splits per responsible pitcher."""
-    return events.groupBy(
-        season_of().alias("Year"), F.col("resp_pit_id").alias("Resp_pit_id"),
-        fielding_team().alias("Team"),
-    ).agg(*pitching_sums())
+    splits = [f"{m}_{hand}" for hand in K.BATTER_HANDS for m in SPLIT_METRICS]
+    return _fold_hands(_by_hand(events, play_metrics())).selectExpr(
+        "Year", "RetroID AS Resp_pit_id", "Team", *ALL_METRICS, *splits
+    )
 
 
 def _by_pitcher(events: DataFrame, *sums: Column) -> DataFrame:
@@ -202,7 +213,11 @@ def running_game(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFram
     flagged = any_of(is_true(f"run{b}_{kind}_fl") for b in BASES for kind in kinds)
     sums = [F.sum(value).alias(name) for name, value in metrics.items()]
     # a caught stealing without a pickoff flag either way counts as nothing
-    return _by_pitcher(events.where(flagged), *sums).where("SB + CS + PkO > 0")
+    return (
+        _by_pitcher(events.where(flagged), *sums)
+        .selectExpr("Year", "RetroID", "Team", *RUNNING_COLUMNS)
+        .where("SB + CS + PkO > 0")
+    )
 
 
 def reached_on_error(events: DataFrame) -> DataFrame:
@@ -242,7 +257,8 @@ def runs_allowed(events: DataFrame) -> DataFrame:
 
 def pitcher_lines(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFrame:
     """Batting-against counts, running game and steal chances in one pass."""
-    running = {**running_metrics(pickoff_mode), "SBO": steal_chances()}
-    return _by_pitcher(
-        events, *pitching_sums(), *[F.sum(value).alias(name) for name, value in running.items()]
-    )
+    running = running_metrics(pickoff_mode)
+    metrics = {**play_metrics(), **running, "SBO": steal_chances()}
+    lines = _fold_hands(_by_hand(events, metrics))
+    kept = [c for c in lines.columns if c not in running]
+    return lines.selectExpr(*kept, *RUNNING_COLUMNS)

@@ -13,7 +13,6 @@ from statline.operators.pitching import (
     game_log_decisions,
     games_pitched,
     pitcher_lines,
-    running_metrics,
     runs_allowed,
 )
 from statline.sources.tables import Tables
@@ -89,8 +88,8 @@ def standard_pitching(
     counts = [
         *ALL_METRICS,
         *[f"{m}_{hand}" for m in SPLIT_METRICS for hand in "LR"],
-        *running_metrics(),
-        "SBO", "R", "ER", "GS", "W", "L", "SV",
+        "SB", "CS", "SB2", "SB3", "SBH", "CS2", "CS3", "CSH", "PkO", "POCS", "SBO",
+        "R", "ER", "GS", "W", "L", "SV",
     ]
     board = (
         games_pitched(plays)

@@ -65,11 +65,37 @@ def _count(condition: str) -> str:
     return f"sum(case when {condition} then 1 else 0 end)"
 
 
+# event codes of plays by the play number modulo 100: (first number past the band, code)
+EVENT_BANDS = (
+    (18, 3), (27, 14), (28, 15), (29, 16), (31, 18), (46, 20), (51, 21), (52, 22), (55, 23),
+    (60, 4), (63, 6), (65, 8), (100, 2),
+)
+
+
+def _event_code() -> str:
+    arms = " ".join(f"when m < {high} then {code}" for high, code in EVENT_BANDS)
+    return f"case {arms} end"
+
+
+def _is(*codes: int) -> str:
+    """Test of a play's event code on its number, which filters can repeat cheaply."""
+    bands, low = [], 0
+    for high, code in EVENT_BANDS:
+        if code in codes and bands and bands[-1][1] == low:
+            bands[-1] = (bands[-1][0], high)
+        elif code in codes:
+            bands.append((low, high))
+        low = high
+    tests = [f"m >= {a} and m < {b}" if a else f"m < {b}" for a, b in bands]
+    return f"({' or '.join(tests)})"
+
+
 def _card_slot(i: int) -> dict[str, str]:
-    names = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF")
-    arms = " ".join(f"when {n} then '{name}'" for n, name in enumerate(names))
+    names = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "")  # none for the last
+    table = "".join(f"{name:2}" for name in names)
+    place = f"cast(2*((c + {i}*y) % 9) + 1 as int)"
     return {
-        f"pos{i}": f"case (c + {i}*y) % 9 {arms} else null end",
+        f"pos{i}": f"nullif(rtrim(substr('{table}', {place}, 2)), '')",
         f"rg{i}": f"cast(1 + (c*{i}+y) % 5 as varchar(1))",
     }
 
@@ -109,11 +135,12 @@ VIEWS: dict[str, View] = {
     ),
     "fx_play3": View(
         "{fx_play2} p",
+        # home, away codes and the start of the fielding side's person ids
         {
-            "event_cd": "case when m<18 then 3 when m<27 then 14 when m<28 then 15 "
-            "when m<29 then 16 when m<31 then 18 when m<46 then 20 when m<51 then 21 "
-            "when m<52 then 22 when m<55 then 23 when m<60 then 4 when m<63 then 6 "
-            "when m<65 then 8 else 2 end"
+            "home": _team("hm"),
+            "away": _team("aw"),
+            "side": f"'p' || {_two('fld')} || 's'",
+            "arm": "l_suppkey % 5",
         },
         ("fx_play2",),
         keep="p.*",
@@ -121,53 +148,53 @@ VIEWS: dict[str, View] = {
     "fx_events": View(
         "{fx_play3} p",
         {
-            "game_id": f"{_team('hm')} || {_ymd('o_orderdate')} "
-            "|| cast(l_orderkey % 10 as varchar(1))",
+            "game_id": f"home || {_ymd('o_orderdate')} || cast(l_orderkey % 10 as varchar(1))",
             "bat_home_id": "l_linenumber % 2",
-            "away_team_id": _team("aw"),
-            "pit_id": f"case when k = 7 then null else {_person('fld', 'l_suppkey % 5')} end",
+            "away_team_id": "away",
+            "pit_id": "case when k = 7 then null else side || cast(arm as varchar(1)) end",
             "resp_pit_id": "case when k = 11 then null when k = 13 then ' ' "
-            f"when k % 50 = 3 then {_person('fld', '(l_suppkey + 1) % 5')} "
-            f"else {_person('fld', 'l_suppkey % 5')} end",
-            "run1_resp_pit_id": _person("fld", "(l_suppkey + qty) % 5"),
-            "run2_resp_pit_id": _person("fld", "(l_suppkey + qty + 1) % 5"),
-            "run3_resp_pit_id": _person("fld", "(l_suppkey + 2) % 5"),
-            "event_cd": "event_cd",
-            "bat_event_fl": "case when event_cd in (4,6,8) then 'F' else 'T' end",
-            "h_cd": "case when event_cd in (20,21,22,23) then event_cd - 19 else 0 end",
-            "sh_fl": _flag("event_cd = 2 and qty % 20 = 1"),
-            "sf_fl": _flag("event_cd = 2 and qty % 20 = 2"),
+            "else side || cast((case when k % 50 = 3 then (l_suppkey + 1) % 5 else arm end) "
+            "as varchar(1)) end",
+            "run1_resp_pit_id": "side || cast((l_suppkey + qty) % 5 as varchar(1))",
+            "run2_resp_pit_id": "side || cast((l_suppkey + qty + 1) % 5 as varchar(1))",
+            "run3_resp_pit_id": "side || cast((l_suppkey + 2) % 5 as varchar(1))",
+            "event_cd": _event_code(),
+            "bat_event_fl": _flag(f"not {_is(4, 6, 8)}"),
+            "h_cd": f"case when not {_is(20, 21, 22, 23)} then 0 when {_is(20)} then 1 "
+            f"when {_is(21)} then 2 when {_is(22)} then 3 else 4 end",
+            "sh_fl": _flag(f"{_is(2)} and qty % 20 = 1"),
+            "sf_fl": _flag(f"{_is(2)} and qty % 20 = 2"),
             "ab_fl": _flag(
-                "event_cd in (3,18,20,21,22,23) or (event_cd = 2 and qty % 20 not in (1,2))"
+                f"{_is(3, 18, 20, 21, 22, 23)} or ({_is(2)} and qty % 20 not in (1,2))"
             ),
-            "dp_fl": _flag("event_cd = 2 and qty % 9 = 0"),
-            "battedball_cd": "case when event_cd = 2 "
+            "dp_fl": _flag(f"{_is(2)} and qty % 9 = 0"),
+            "battedball_cd": f"case when {_is(2)} "
             "then (case when qty % 3 = 0 then 'G' else 'F' end) else '' end",
-            "rbi_ct": "case when event_cd = 23 then 1 + qty % 4 "
-            "when event_cd in (20,21,22) then qty % 2 else 0 end",
-            "event_outs_ct": "case when event_cd in (3,6,8) then 1 when event_cd = 2 "
+            "rbi_ct": f"case when {_is(23)} then 1 + qty % 4 "
+            f"when {_is(20, 21, 22)} then qty % 2 else 0 end",
+            "event_outs_ct": f"case when {_is(3, 6, 8)} then 1 when {_is(2)} "
             "then (case when qty % 9 = 0 then 2 else 1 end) else 0 end",
             "resp_bat_hand_cd": "case when l_partkey % 5 < 2 then 'L' "
             "when l_partkey % 5 < 4 then 'R' else 'B' end",
             "base1_run_id": "case when qty % 3 = 0 then 'r1' else '' end",
             "base2_run_id": "case when qty % 4 = 0 then 'r2' else '' end",
             "base3_run_id": "case when qty % 5 = 0 then 'r3' else '' end",
-            "run1_sb_fl": _flag("event_cd=4 and qty % 3 = 0"),
-            "run2_sb_fl": _flag("event_cd=4 and qty % 4 = 0"),
-            "run3_sb_fl": _flag("event_cd=4 and qty % 5 = 0"),
-            "run1_cs_fl": _flag("event_cd=6 and qty % 3 = 0"),
-            "run2_cs_fl": _flag("event_cd=6 and qty % 3 = 1"),
-            "run3_cs_fl": _flag("event_cd=6 and qty % 3 = 2"),
-            "run1_pk_fl": _flag("event_cd in (6,8) and qty % 2 = 0"),
-            "run2_pk_fl": _flag("event_cd in (6,8) and qty % 4 = 0"),
-            "run3_pk_fl": _flag("event_cd in (6,8) and qty % 8 = 0"),
-            "bat_dest_id": "case when event_cd = 23 then 4 + qty % 3 "
-            "when event_cd=20 then 1 else 0 end",
-            "run1_dest_id": "case when qty % 3 = 0 and event_cd in (22,23) "
+            **{
+                f"run{b}_sb_fl": _flag(f"{_is(4)} and qty % {mod} = 0")
+                for b, mod in ((1, 3), (2, 4), (3, 5))
+            },
+            **{f"run{b}_cs_fl": _flag(f"{_is(6)} and qty % 3 = {b - 1}") for b in (1, 2, 3)},
+            **{
+                f"run{b}_pk_fl": _flag(f"{_is(6, 8)} and qty % {mod} = 0")
+                for b, mod in ((1, 2), (2, 4), (3, 8))
+            },
+            "bat_dest_id": f"case when {_is(23)} then 4 + qty % 3 "
+            f"when {_is(20)} then 1 else 0 end",
+            "run1_dest_id": f"case when qty % 3 = 0 and {_is(22, 23)} "
             "then 4 + qty % 2 else 0 end",
-            "run2_dest_id": "case when qty % 4 = 0 and event_cd in (21,22,23) "
+            "run2_dest_id": f"case when qty % 4 = 0 and {_is(21, 22, 23)} "
             "then 4 + qty % 3 else 0 end",
-            "run3_dest_id": "case when qty % 5 = 0 and event_cd in (20,21,22,23) "
+            "run3_dest_id": f"case when qty % 5 = 0 and {_is(20, 21, 22, 23)} "
             "then 4 + qty % 4 else 0 end",
         },
         ("fx_play3",),
@@ -396,17 +423,36 @@ class SampleTables(Tables):
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark = spark
         self._path = path.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
         super().__init__(lambda name: conform(self._view(f"fx_{name}"), name))
 
     def _view(self, name: str) -> DataFrame:
-        sql = " WITH " + ", ".join(
+        views = _closure((name,))
+        sql = "WITH " + ", ".join(
             f"{n} AS ({select(n, '`', lambda t: f'{{{t}}}' if t in BASE_TABLES else t)})"
-            for n in _closure((name,))
+            for n in views
         )
-        used = {n for v in _closure((name,)) for n in VIEWS[v].needs if n in BASE_TABLES}
-        frames = {n: self._spark.read.parquet(f"{self._path}/{n}.parquet") for n in used}
+        used = {n for v in views for n in VIEWS[v].needs if n in BASE_TABLES}
+        frames = {n: self._base(n) for n in used}
+        for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+            if table in used:  # the larger one drives the work
+                frames[table] = self._spread(frames[table], key)
+                break
         return self._spark.sql(f"{sql} SELECT * FROM {name}", **frames)
 
+    def _base(self, name: str) -> DataFrame:
+        if name not in self._read:  # each read looks into the files once
+            self._read[name] = self._spark.read.parquet(f"{self._path}/{name}.parquet")
+        return self._read[name]
+
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Use every core on input stored as one or few small files.
+
+        Inputs large enough to give every core a split are left alone.
+        """
+        cores = self._spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def fielding(self) -> DataFrame:
         return conform(self._view("fx_fielding"), "fielding_c", keep=("pos",))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,14 @@ class FieldingWinShares:
         self.tables = tables
         self.keep = keep
 
+    def _store_totals(self) -> None:
+        """Run the passes over the base tables side by side: none needs another."""
+        names = ("pitching_totals", "fielding_totals", "side_totals")
+        missing = [n for n in names if n not in self.__dict__]
+        if len(missing) > 1:
+            with ThreadPoolExecutor(len(missing)) as pool:
+                list(pool.map(lambda name: getattr(self, name), missing))
+
     # --- stored totals: one pass over each base table -----------------------
 
     @cached_property
@@ -48,6 +57,7 @@ class FieldingWinShares:
 
         Sums by position ride along: every later stage starts from this row.
         """
+        self._store_totals()
         return self.keep(
             leagues.team_book(
                 team_totals.team_batting(self.tables.batting),
@@ -147,6 +157,7 @@ class FieldingWinShares:
 
     @cached_property
     def claim_points(self) -> DataFrame:
+        self._store_totals()
         return claims.claim_points(
             self.tables.fielding, self.fielding_totals, self.team_pitching
         )

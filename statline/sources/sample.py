@@ -129,18 +129,25 @@ VIEWS: dict[str, View] = {
     ),
     "fx_play2": View(
         "{fx_play} p",
-        {"fld": "case when l_linenumber % 2 = 1 then aw else hm end", "m": "k % 100"},
+        {
+            "fld": "case when l_linenumber % 2 = 1 then aw else hm end",
+            "m": "k % 100",
+            **{f"q{n}": f"qty % {n}" for n in (3, 4, 5, 20)},
+        },
         ("fx_play",),
         keep="p.*",
     ),
     "fx_play3": View(
         "{fx_play2} p",
-        # home, away codes and the start of the fielding side's person ids
+        # home, away codes, the start of the fielding side's person ids, kinds of play
         {
             "home": _team("hm"),
             "away": _team("aw"),
             "side": f"'p' || {_two('fld')} || 's'",
             "arm": "l_suppkey % 5",
+            "ball_out": _is(2),
+            "homer": _is(23),
+            "caught": _is(6),
         },
         ("fx_play2",),
         keep="p.*",
@@ -162,40 +169,40 @@ VIEWS: dict[str, View] = {
             "bat_event_fl": _flag(f"not {_is(4, 6, 8)}"),
             "h_cd": f"case when not {_is(20, 21, 22, 23)} then 0 when {_is(20)} then 1 "
             f"when {_is(21)} then 2 when {_is(22)} then 3 else 4 end",
-            "sh_fl": _flag(f"{_is(2)} and qty % 20 = 1"),
-            "sf_fl": _flag(f"{_is(2)} and qty % 20 = 2"),
+            "sh_fl": _flag(f"ball_out and q20 = 1"),
+            "sf_fl": _flag(f"ball_out and q20 = 2"),
             "ab_fl": _flag(
-                f"{_is(3, 18, 20, 21, 22, 23)} or ({_is(2)} and qty % 20 not in (1,2))"
+                f"{_is(3, 18, 20, 21, 22, 23)} or (ball_out and q20 not in (1,2))"
             ),
-            "dp_fl": _flag(f"{_is(2)} and qty % 9 = 0"),
-            "battedball_cd": f"case when {_is(2)} "
-            "then (case when qty % 3 = 0 then 'G' else 'F' end) else '' end",
-            "rbi_ct": f"case when {_is(23)} then 1 + qty % 4 "
+            "dp_fl": _flag(f"ball_out and qty % 9 = 0"),
+            "battedball_cd": f"case when ball_out "
+            "then (case when q3 = 0 then 'G' else 'F' end) else '' end",
+            "rbi_ct": f"case when homer then 1 + q4 "
             f"when {_is(20, 21, 22)} then qty % 2 else 0 end",
-            "event_outs_ct": f"case when {_is(3, 6, 8)} then 1 when {_is(2)} "
+            "event_outs_ct": f"case when {_is(3, 6, 8)} then 1 when ball_out "
             "then (case when qty % 9 = 0 then 2 else 1 end) else 0 end",
             "resp_bat_hand_cd": "case when l_partkey % 5 < 2 then 'L' "
             "when l_partkey % 5 < 4 then 'R' else 'B' end",
-            "base1_run_id": "case when qty % 3 = 0 then 'r1' else '' end",
-            "base2_run_id": "case when qty % 4 = 0 then 'r2' else '' end",
-            "base3_run_id": "case when qty % 5 = 0 then 'r3' else '' end",
+            "base1_run_id": "case when q3 = 0 then 'r1' else '' end",
+            "base2_run_id": "case when q4 = 0 then 'r2' else '' end",
+            "base3_run_id": "case when q5 = 0 then 'r3' else '' end",
             **{
-                f"run{b}_sb_fl": _flag(f"{_is(4)} and qty % {mod} = 0")
+                f"run{b}_sb_fl": _flag(f"{_is(4)} and q{mod} = 0")
                 for b, mod in ((1, 3), (2, 4), (3, 5))
             },
-            **{f"run{b}_cs_fl": _flag(f"{_is(6)} and qty % 3 = {b - 1}") for b in (1, 2, 3)},
+            **{f"run{b}_cs_fl": _flag(f"caught and q3 = {b - 1}") for b in (1, 2, 3)},
             **{
                 f"run{b}_pk_fl": _flag(f"{_is(6, 8)} and qty % {mod} = 0")
                 for b, mod in ((1, 2), (2, 4), (3, 8))
             },
-            "bat_dest_id": f"case when {_is(23)} then 4 + qty % 3 "
+            "bat_dest_id": f"case when homer then 4 + q3 "
             f"when {_is(20)} then 1 else 0 end",
-            "run1_dest_id": f"case when qty % 3 = 0 and {_is(22, 23)} "
+            "run1_dest_id": f"case when q3 = 0 and {_is(22, 23)} "
             "then 4 + qty % 2 else 0 end",
-            "run2_dest_id": f"case when qty % 4 = 0 and {_is(21, 22, 23)} "
-            "then 4 + qty % 3 else 0 end",
-            "run3_dest_id": f"case when qty % 5 = 0 and {_is(20, 21, 22, 23)} "
-            "then 4 + qty % 4 else 0 end",
+            "run2_dest_id": f"case when q4 = 0 and {_is(21, 22, 23)} "
+            "then 4 + q3 else 0 end",
+            "run3_dest_id": f"case when q5 = 0 and {_is(20, 21, 22, 23)} "
+            "then 4 + q4 else 0 end",
         },
         ("fx_play3",),
     ),
@@ -242,44 +249,51 @@ VIEWS: dict[str, View] = {
         },
         ("fx_gl0",),
     ),
+    # everybody who started a home game; named after a nation and a region
+    "fx_starters": View(
+        "{orders} o", {"team": "o_custkey % 25", "slot": "o_orderkey % 5"}, ("orders",),
+        distinct=True,
+    ),
     "fx_people": View(
-        "{nation} n cross join {region} r",
+        "{fx_starters} s join {nation} n on n.n_nationkey = s.team "
+        "join {region} r on r.r_regionkey = s.slot",
         {
-            "key_retro": _person("n_nationkey", "r_regionkey"),
-            "name_last": "case when n_nationkey=24 and r_regionkey=4 then null else n_name end",
+            "key_retro": _person("team", "slot"),
+            "name_last": "case when team = 24 and slot = 4 then null else n_name end",
             "name_first": "r_name",
         },
-        ("nation", "region"),
+        ("fx_starters", "nation", "region"),
     ),
-    "fx_years": View(
-        "{orders} o", {"yr": "year(o_orderdate)"}, ("orders",), distinct=True
+    # every season a team had a home game in
+    "fx_seasons": View(
+        "{orders} o", {"yr": "year(o_orderdate)", "n": "o_custkey % 25"}, ("orders",),
+        distinct=True,
     ),
     "fx_teams": View(
-        "{fx_years} y cross join {nation} n",
+        "{fx_seasons} y",
         {
             "yearid": "yr",
-            "lgid": _league("n_nationkey"),
-            "teamidretro": _team("n_nationkey"),
-            "teamidbr": _br_team("n_nationkey"),
+            "lgid": _league("n"),
+            "teamidretro": _team("n"),
+            "teamidbr": _br_team("n"),
         },
-        ("fx_years", "nation"),
+        ("fx_seasons",),
     ),
     "fx_parkconfig": View(
-        "{fx_years} y cross join {nation} n",
+        "{fx_seasons} y",
         {
             "year": "yr",
-            "parkid": f"'PK' || {_two('n_nationkey')} || 'A'",
-            "retrotm": _team("n_nationkey"),
-            "lg": _league("n_nationkey"),
-            "lf_dim": "330 + n_nationkey "
-            "+ (case when yr >= 1998 and n_nationkey % 3 = 0 then 5 else 0 end)",
+            "parkid": f"'PK' || {_two('n')} || 'A'",
+            "retrotm": _team("n"),
+            "lg": _league("n"),
+            "lf_dim": "330 + n + (case when yr >= 1998 and n % 3 = 0 then 5 else 0 end)",
             "cf_dim": "400",
-            "rf_dim": "325 + n_nationkey",
+            "rf_dim": "325 + n",
             "lf_w": "8",
-            "cf_w": "8 + yr % 2 * (case when n_nationkey % 7 = 0 then 1 else 0 end)",
+            "cf_w": "8 + yr % 2 * (case when n % 7 = 0 then 1 else 0 end)",
             "rf_w": "10",
         },
-        ("fx_years", "nation"),
+        ("fx_seasons",),
     ),
     "fx_ps": View(
         "{fx_play} p",

@@ -13,7 +13,6 @@ from statline.functions.exprs import season_of
 from statline.sources.schemas import DDL, schema
 
 SEASON = "season"  # partition column of stored plays
-FILES_PER_SEASON = 16
 
 
 def conform(df: DataFrame, name: str, keep: tuple[str, ...] = (SEASON,)) -> DataFrame:
@@ -122,8 +121,9 @@ class Tables:
 def write_tables(tables: Tables, path: str) -> None:
     """Store every base table as parquet, plays partitioned by season.
 
-    Rows are first gathered by season, spread over several tasks each, so that
-    a season is neither one giant file nor one file per task.
+    Plays are rebalanced by season first: adaptive execution joins small
+    seasons and splits large ones by size, so files come out even whatever the
+    mix of seasons.
     """
     for name in DDL:
         if name.startswith("fielding_"):
@@ -134,8 +134,7 @@ def write_tables(tables: Tables, path: str) -> None:
         writer = df.write
         if name == "events":
             df = df if SEASON in df.columns else df.withColumn(SEASON, season_of())
-            spread = F.crc32(F.col("game_id")) % FILES_PER_SEASON
-            writer = df.repartition(SEASON, spread).write.partitionBy(SEASON)
+            writer = df.hint("rebalance", SEASON).write.partitionBy(SEASON)
         writer.mode("overwrite").parquet(f"{path}/{name}")
 
 

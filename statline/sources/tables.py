@@ -47,13 +47,20 @@ class Tables:
     # --- sources --------------------------------------------------------------
 
     @classmethod
-    def from_directory(cls, spark: SparkSession, path: str, format: str = "parquet") -> Tables:
-        """One file or folder per table under ``path``: parquet, orc, csv or json."""
+    def from_directory(
+        cls, spark: SparkSession, path: str, format: str = "parquet", declared: bool = False
+    ) -> Tables:
+        """One file or folder per table under ``path``: parquet, orc, csv or json.
+
+        ``declared`` promises files of exactly the declared types, as
+        :func:`write_tables` leaves them, and saves looking into them first.
+        Text formats are always read that way.
+        """
 
         def load(name: str) -> DataFrame:
             where = f"{path.rstrip('/')}/{name}"
             reader = spark.read
-            if format in ("csv", "json"):  # no type inference: that is a pass of its own
+            if declared or format in ("csv", "json"):
                 reader = reader.schema(schema(name))
             if format == "csv":
                 reader = reader.option("header", True).option("enforceSchema", False)

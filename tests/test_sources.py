@@ -32,8 +32,10 @@ def test_stored_tables_read_back(spark, stored):
     assert rows(standard_pitching(back, 1995, 1997)) == rows(standard_pitching(ours, 1995, 1997))
 
 
-def test_season_filter_prunes_partitions(spark, stored):
-    events = Tables.from_directory(spark, stored).events
+@pytest.mark.parametrize("declared", [False, True])
+def test_season_filter_prunes_partitions(spark, stored, declared):
+    events = Tables.from_directory(spark, stored, declared=declared).events
+    assert events_in_years(events, 1996, 1996).count() > 0
     plan = events_in_years(events, 1996, 1996)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
 

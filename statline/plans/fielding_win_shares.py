@@ -6,6 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ class FieldingWinShares:
         names = ("pitching_totals", "fielding_totals", "side_totals")
         missing = [n for n in names if n not in self.__dict__]
         if len(missing) > 1:
+            run = inheritable_thread_target(lambda name: getattr(self, name))
             with ThreadPoolExecutor(len(missing)) as pool:
-                list(pool.map(lambda name: getattr(self, name), missing))
+                list(pool.map(run, missing))
 
     # --- stored totals: one pass over each base table -----------------------
 

@@ -146,12 +146,13 @@ def events_in_years(events: DataFrame, start: int | str, end: int | str) -> Data
 
 def games_pitched(events: DataFrame) -> DataFrame:
     """Distinct games per pitcher, as pitcher of record on the play or in fact."""
+    on_the_play = F.filter(F.array_distinct(F.array("pit_id", "resp_pit_id")), has_id)
     appearances = events.select(
         season_of().alias("Year"),
         fielding_team().alias("Team"),
         "game_id",
-        F.explode(F.array_distinct(F.array("pit_id", "resp_pit_id"))).alias("RetroID"),
-    ).where(has_id("RetroID"))
+        F.explode(on_the_play).alias("RetroID"),
+    )
     return (
         appearances.distinct()
         .groupBy("Year", "Team", "RetroID")

@@ -12,7 +12,8 @@ marks for spaces. Decoding joins the pieces, turns marks into spaces and takes
 the first space away again. It restores every text but one with U+2581, the mark
 itself, in it, which comes back as a space.
 
-A null text encodes to null, an empty one to no ids; null ids decode to null;
+A null text encodes to null, an empty one to no ids; null ids decode to null, and
+a null among ids to nothing;
 repeated rows are handled each; an empty table gives an empty result. Input
 columns are kept, but for one named like the added column, which it replaces.
 """
@@ -198,7 +199,9 @@ def decode_ids(
 
     def make(codec: Codec) -> Callable[[pa.RecordBatch], pa.Array]:
         def text_of(values: pa.ListScalar) -> str | None:
-            return codec.decode(values.values.to_pylist()) if values.is_valid else None
+            if not values.is_valid:
+                return None
+            return codec.decode(values.values.drop_null().to_numpy().tolist())
 
         return lambda batch: pa.array([text_of(v) for v in batch.column(ids)], pa.string())
 

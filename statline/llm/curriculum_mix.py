@@ -34,7 +34,7 @@ from statline.llm.common import WORD, checkpointed
 
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST = 1.5, 2.0
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 4_000
 
 Knots = Sequence[tuple[float, float]]  # (time from 0 to 1, weight)
 #: By weight: heavy sources fade, light ones grow, the middle stays and then tapers.

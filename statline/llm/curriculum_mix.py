@@ -130,8 +130,9 @@ def mix(
     budget: float = BUDGET,
     most: float = MOST,
     payload: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
-    """What the mix takes of each document, sorted by training position.
+    """What the mix takes of each document, sorted by training position if ``ordered``.
 
     Returns key, source, size, source_size, target (the source's), taken (words,
     repeats counted) and positions: one for each pass over the document. With
@@ -186,18 +187,15 @@ def mix(
     positions = F.when(
         F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), due)
     )
-    return (
-        placed.select(
-            F.col("key").alias(key), "source", "size", "source_size", "target", "taken",
-            positions.alias("positions"), *(["row"] if payload else []),
-        )
-        .withColumn("position", F.get("positions", F.lit(0)))
-        .orderBy(F.col("position").asc_nulls_last(), key)
-    )
+    mixed = placed.select(
+        F.col("key").alias(key), "source", "size", "source_size", "target", "taken",
+        positions.alias("positions"), *(["row"] if payload else []),
+    ).withColumn("position", F.get("positions", F.lit(0)))
+    return mixed.orderBy(F.col("position").asc_nulls_last(), key) if ordered else mixed
 
 
 def training_rows(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` as the mix trains on them: one for each pass, by position."""
-    mixed = mix(docs, payload=True, **options)
+    mixed = mix(docs, payload=True, ordered=False, **options)
     passes = mixed.where("taken > 0").select("row", F.explode("positions").alias("position"))
     return passes.orderBy("position").select("row.*")

@@ -295,7 +295,8 @@ def _levels(queries: DataFrame, kth: DataFrame, norm2: float) -> DataFrame:
     spread = queries.select("q_region", "q_part", "q_ids", "q_points").mapInArrow(
         of_block, "q_region int, q_part int, query_id long, size2 double"
     )
-    left = F.coalesce(F.greatest(F.lit(0.0), F.col("size2") + norm2 - 2 * F.col("score")), F.lit(float("inf")))
+    found = F.greatest(F.lit(0.0), F.col("size2") + norm2 - 2 * F.col("score"))
+    left = F.when(F.col("score").isNull(), F.lit(float("inf"))).otherwise(found)
     known = F.when(F.col("score").isNotNull(), F.struct("query_id", "score"))
     grouped = (
         spread.join(kth.select("query_id", "score"), "query_id", "left")

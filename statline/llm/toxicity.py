@@ -98,17 +98,18 @@ class Model:
 
 
 def fit_logistic(
-    x: np.ndarray, y: np.ndarray, swapped: np.ndarray, penalty: float, ridge: float = 1e-4,
+    x: np.ndarray, y: np.ndarray, swapped: np.ndarray, penalty: float, ridge: float = 1.0,
     rounds: int = 30,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise mean log loss, ridge and counterfactual change.
 
     ``swapped`` holds, for each text with an identity term, the change of its
-    features when the term is swapped. Newton steps, halved while they do not help.
+    features when the term is swapped. ``ridge`` counts once, not for each text, so few
+    texts leave weights small. Newton steps, halved while they do not help.
     """
     n, k = x.shape
     ones = np.hstack([x, np.ones((n, 1))])
-    fixed = ridge * np.eye(k + 1)
+    fixed = ridge / n * np.eye(k + 1)
     fixed[k, k] = 1e-6
     fixed[:k, :k] += 2 * penalty / n * (swapped.T @ swapped)
 
@@ -188,7 +189,7 @@ def fit(
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not ones or not zeros or len(seen) < 2:
         share = ones / max(1, ones + zeros)
-        return Model({}, math.log(share / (1 - share)) if 0 < share < 1 else 700.0 * (2 * share - 1))
+        return Model({}, math.log(share / (1 - share)) if 0 < share < 1 else math.inf * (2 * share - 1))
     p, q = [(F.col(c) + 0.5) / (seen[y] + 1) for c, y in (("ones", 1), ("zeros", 0))]
     told = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
     counts = _feature_counts(sample).where(F.col("ones") + F.col("zeros") >= LEAST_DOCS)

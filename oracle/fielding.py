@@ -474,7 +474,6 @@ def _errors(pos: str, base: int, scale: int) -> str:
     return f"{base} - {div(f'{scale}*t.EPct_{pos}_TM', f'g.EPct_{pos}_LG')}"
 
 
-_caught = "{0}".join(["", ""])
 _cs = {
     tag: div(f"{a}.CS_C_{tag}", f"{_one(f'{a}.SB_C_{tag}')} + {a}.CS_C_{tag}")
     for tag, a in (("TM", "t"), ("LG", "g"))

@@ -47,7 +47,11 @@ def games() -> str:
     )
 
 
-def decisions(start: str, end: str) -> str:
+def _years(column: str, start: str | None, end: str | None) -> str:
+    return "true" if start is None else f"{column} BETWEEN '{start}' AND '{end}'"
+
+
+def decisions(start: str | None, end: str | None) -> str:
     sides = (("homteam", "homspid", ">", "<"), ("visteam", "visspid", "<", ">"))
     rows = []
     for team, starter, won, lost in sides:
@@ -66,7 +70,7 @@ def decisions(start: str, end: str) -> str:
     )
     return (
         f'SELECT "Year", "Team", "RetroID", {counts} FROM ({" UNION ALL ".join(rows)}) '
-        f"WHERE rtrim(\"RetroID\") <> '' AND \"Year\" BETWEEN '{start}' AND '{end}' GROUP BY ALL"
+        f"WHERE rtrim(\"RetroID\") <> '' AND {_years('\"Year\"', start, end)} GROUP BY ALL"
     )
 
 
@@ -155,7 +159,7 @@ def runs() -> str:
     )
 
 
-def report(start: str, end: str, pickoff: str = "as_caught") -> str:
+def report(start: str | None, end: str | None, pickoff: str = "as_caught") -> str:
     def rates(sfx: str) -> list[str]:
         h, db, tp, hr, ab, bb, hbp, sf = (
             f'e."{c}{sfx}"' for c in ("H", "DB", "TP", "HR", "AB", "BB", "HBP", "SF")
@@ -206,14 +210,14 @@ def report(start: str, end: str, pickoff: str = "as_caught") -> str:
     sql = (
         f"SELECT {', '.join(columns)} FROM part_g g {' '.join(joins)} "
         'JOIN fx_people p ON p.key_retro = g."RetroID" '
-        f"WHERE p.name_last IS NOT NULL AND g.\"Year\" BETWEEN '{start}' AND '{end}' "
+        f"WHERE p.name_last IS NOT NULL AND {_years('g.\"Year\"', start, end)} "
         'ORDER BY g."Year", g."Team", name_last, name_first, g."RetroID"'
     )
     return with_(sql, "fx_events", "fx_gamelogs", "fx_people", extra=extra)
 
 
 def statements() -> dict[str, str]:
-    every = ("1900", "2099")
+    every = (None, None)
     return {
         "p1_events_in_years": with_(
             f"SELECT * FROM fx_events WHERE {YEAR} >= '1996' AND {YEAR} <= '1999'", "fx_events"

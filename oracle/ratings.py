@@ -8,7 +8,7 @@ from statline.sources.sample import ctes
 def slots(pos: str) -> str:
     pairs = ", ".join(f"{{'p': pos{i}, 'r': rg{i}}}" for i in range(1, 9))
     return (
-        "SELECT lastname, firstname, retroid, age, CAST(slot.r AS DOUBLE) AS rg FROM "
+        "SELECT lastname, firstname, retroid, age, TRY_CAST(slot.r AS DOUBLE) AS rg FROM "
         "(SELECT lastname, firstname, retroid, age, "
         f"unnest([{pairs}]) AS slot FROM fx_allbatters WHERE year >= 1997) "
         f"WHERE slot.p = '{pos}'"

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from statline.constants import LEFT_HANDER_MARK, THIRD_CORRECTION
 
 
+SEASON_PARTITION = "season partition"  # a loader's name for the season in stored plays' paths
+
+
 def is_true(column: str) -> Column:
     """A 'T'/'F' flag as a predicate; NULL counts as not set when summed."""
     return F.col(column) == "T"

@@ -158,8 +158,9 @@ def park_factors(sides: DataFrame, parkconfig: DataFrame) -> DataFrame:
     park-season their own rates; all others weigh their own season by the
     number of comparable ones and add the neighbouring seasons.
     """
-    clubs = keyed(home_road_stats(sides), *CLUB)
-    board = seasons_with_neighbours(clubs).join(
+    # a season without a league is a neighbour, too, but has no factor of its own
+    clubs = keyed(seasons_with_neighbours(home_road_stats(sides)), *CLUB)
+    board = clubs.join(
         comparable_counts(parkconfig), ["YearID", "Tm"], "left"
     )
     counts = [*HOME_ROAD, *[f"near_{c}" for c in HOME_ROAD]]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from statline import constants as K
 from statline.functions.exprs import (
+    SEASON_PARTITION,
     any_of,
     fielding_team,
     has_id,
@@ -133,15 +134,34 @@ def is_earned(destination: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def events_in_years(events: DataFrame, start: int | str, end: int | str) -> DataFrame:
-    """Plays of the seasons ``start``..``end``.
+Bound = int | str | None
 
-    A stored ``season`` partition column prunes files; without one the season
-    comes out of the game id.
+
+def _within(column: Column, start: Bound, end: Bound) -> Column:
+    """Whether a year lies in ``start``..``end``; None leaves a side open."""
+    inside = F.lit(True)
+    if start is not None:
+        inside &= column >= F.lit(start)
+    return inside if end is None else inside & (column <= F.lit(end))
+
+
+def _text(bound: Bound) -> str | None:
+    return None if bound is None else str(bound)
+
+
+def events_in_years(events: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
+    """Plays of the seasons ``start``..``end``, all by default.
+
+    The season comes out of the game id. Where the loader knows that files lie by
+    season, the same bounds prune these first.
     """
-    partitioned = "season" in events.columns
-    season = F.col("season").cast("string") if partitioned else season_of()
-    return events.where(season.between(str(start), str(end)))
+    plays = events
+    if SEASON_PARTITION in events.columns:
+        bounds = [None if b is None else int(b) for b in (start, end)]
+        plays = plays.where(_within(F.col(SEASON_PARTITION), *bounds)).drop(SEASON_PARTITION)
+    if start is None and end is None:
+        return plays
+    return plays.where(_within(season_of(), _text(start), _text(end)))
 
 
 def games_pitched(events: DataFrame) -> DataFrame:
@@ -160,8 +180,11 @@ def games_pitched(events: DataFrame) -> DataFrame:
     )
 
 
-def game_log_decisions(gamelogs: DataFrame, start: int | str, end: int | str) -> DataFrame:
-    """Starts, wins, losses and saves from game logs; ties give starts only."""
+def game_log_decisions(gamelogs: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
+    """Starts, wins, losses and saves from game logs; ties give starts only.
+
+    ``start`` and ``end`` bound the season; None leaves a side open.
+    """
     year = F.substring("yyyymmdd", 1, 4)
     home_won = F.col("homscore") > F.col("visscore")
     decided = F.col("homscore") != F.col("visscore")
@@ -184,8 +207,10 @@ def game_log_decisions(gamelogs: DataFrame, start: int | str, end: int | str) ->
         F.when(decided, credit(winner, "svpitid", "SV")),
     )
     named = F.filter(credits, lambda c: c.isNotNull() & has_id(c["RetroID"]))
+    # the bounds once more on the whole date, which files keep ranges of
+    dated = _within(F.col("yyyymmdd"), _text(start), None if end is None else f"{end}~")
     return (
-        gamelogs.where(year.between(str(start), str(end)))
+        gamelogs.where(_within(year, _text(start), _text(end)) & dated)
         .select(year.alias("Year"), F.inline(named))
         .groupBy("Year", "Team", "RetroID")
         .agg(*[F.sum(s).alias(s) for s in stats])

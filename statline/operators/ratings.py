@@ -18,8 +18,8 @@ def position_slots(
 ) -> DataFrame:
     """Ratings at ``pos`` from any of a card's position slots.
 
-    A card naming the position twice gives two rows. The slot test is repeated
-    on the whole card so that it can reach the scan.
+    A card naming the position twice gives two rows; a rating that is no number is
+    NULL. The slot test is repeated on the whole card so that it can reach the scan.
     """
     slots = range(1, K.CARD_SLOTS + 1)
     listed = any_of(F.col(f"pos{i}") == pos for i in slots)
@@ -29,7 +29,7 @@ def position_slots(
     return (
         cards.where((F.col("year") >= min_year) & listed)
         .select(*PLAYER, "age", F.inline(F.filter(pairs, lambda p: p["pos"] == pos)))
-        .select(*PLAYER, "age", F.col("rating").cast("double").alias("rg"))
+        .select(*PLAYER, "age", F.col("rating").try_cast("double").alias("rg"))
     )
 
 

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +19,16 @@ class FieldingWinShares:
 
     The stages form a graph in which team-season totals are used many times.
     ``keep`` stores such a total once, after its single pass over the player or
-    game rows; everything later reads the small stored rows. The default is a
-    reliable checkpoint, so a lost executor costs no recomputation from the
-    base tables. Pass ``keep=lambda df: df`` for a purely lazy plan.
+    game rows; everything later reads the small stored rows, whose true sizes
+    plans then know. The default stores in the folder that the session names in
+    ``spark.checkpoint.dir``; without one, as with ``keep=lambda df: df``, the
+    plan is lazy and building it runs nothing.
     """
 
     def __init__(self, tables: Tables, keep: Callable[[DataFrame], DataFrame] = durable) -> None:
         self.tables = tables
         self.keep = keep
 
-    def _store_totals(self) -> None:
-        """Run the passes over the base tables side by side: none needs another."""
-        names = ("pitching_totals", "fielding_totals", "side_totals")
-        missing = [n for n in names if n not in self.__dict__]
-        if len(missing) > 1:
-            run = inheritable_thread_target(lambda name: getattr(self, name))
-            with ThreadPoolExecutor(len(missing)) as pool:
-                list(pool.map(run, missing))
-
     # --- stored totals: one pass over each base table -----------------------
 
     @cached_property
@@ -59,7 +49,6 @@ class FieldingWinShares:
 
         Sums by position ride along: every later stage starts from this row.
         """
-        self._store_totals()
         return self.keep(
             leagues.team_book(
                 team_totals.team_batting(self.tables.batting),
@@ -159,7 +148,6 @@ class FieldingWinShares:
 
     @cached_property
     def claim_points(self) -> DataFrame:
-        self._store_totals()
         return claims.claim_points(
             self.tables.fielding, self.fielding_totals, self.team_pitching
         )

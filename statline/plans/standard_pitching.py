@@ -9,6 +9,7 @@ from statline.functions.formulas import fixed_point, half_up_ratio
 from statline.operators.pitching import (
     ALL_METRICS,
     SPLIT_METRICS,
+    Bound,
     events_in_years,
     game_log_decisions,
     games_pitched,
@@ -50,7 +51,7 @@ def _report_columns() -> list[str]:
         "Year", "Team", "name_last", "name_first", "RetroID",
         "G", "GS", "Outs", f"{innings} AS IP", "R", "ER",
         f"CASE WHEN {era_known} THEN {half_up_ratio('27 * ER', 'Outs', 8, 2)} END AS ERA",
-        f"{era_known} AND Outs = 0 AND ER > 0 AS ERA_is_inf",
+        f"coalesce({era_known} AND no_outs AND ER > 0, false) AS ERA_is_inf",
         "W", "L", "SV",
         "PA", "AB", "H", "DB", "TP", "HR", "RBI", "SB", "CS", "BB", "SO",
         *_rates(""), f"{_total_bases('')} AS TB", "GDP", "HBP", "SH", "SF", "IBB",
@@ -69,9 +70,9 @@ def _report_columns() -> list[str]:
 
 
 def standard_pitching(
-    tables: Tables, start: int | str, end: int | str, pickoff_mode: str = "as_caught"
+    tables: Tables, start: Bound = None, end: Bound = None, pickoff_mode: str = "as_caught"
 ) -> DataFrame:
-    """One line per pitcher, team and season in ``start``..``end``, sorted.
+    """One line per pitcher, team and season in ``start``..``end``, by default all, sorted.
 
     Plays are summed three ways, each reading only its own columns: by the
     pitcher responsible, by the pitcher charged with each run, and as distinct
@@ -96,6 +97,7 @@ def standard_pitching(
         .join(lines, KEYS, "left")
         .join(runs, KEYS, "left")
         .join(decisions, KEYS, "left")
+        .withColumn("no_outs", F.col("Outs") == 0)  # before unknown outs are filled
         .na.fill(0, subset=counts)
         .na.fill(False, subset=["pitched", "charged"])
         .join(people, "RetroID")

@@ -1,34 +1,28 @@
-"""Cutting lineage in a way that survives lost executors."""
+"""Storing a frame's rows as files, so that later plans know their true size."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, set up if need be.
+def named_folder(spark: SparkSession) -> str | None:
+    """The shared folder the session names for intermediate data, if any."""
+    return spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary one.
+
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written once to ``folder`` and read back; as it is if no folder is named.
+
+    The default folder is the session's. Rows survive lost executors and the
+    session; whoever names the folder clears it.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get(SETTING, None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="statline-checkpoint-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = folder or named_folder(df.sparkSession)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

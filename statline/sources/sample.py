@@ -386,7 +386,7 @@ VIEWS: dict[str, View] = {
         "{fx_ab0} a",
         {
             "year": "y",
-            "retroid": "'b' || lpad(cast(c as varchar(6)),6,'0')",
+            "retroid": "'b' || lpad(cast(c as varchar(19)),19,'0')",
             "lastname": "'Last' || cast(c % 97 as varchar(2))",
             "firstname": "'First' || cast(c % 13 as varchar(2))",
             "age": "case when c % 101 = 0 then 55 else 17 + c % 20 + (y - 1995) end",
@@ -438,7 +438,7 @@ class SampleTables(Tables):
         self._spark = spark
         self._path = path.rstrip("/")
         self._read: dict[str, DataFrame] = {}
-        super().__init__(lambda name: conform(self._view(f"fx_{name}"), name))
+        super().__init__(lambda name: conform(self._view(f"fx_{name}"), name, trimmed=True))
 
     def _view(self, name: str) -> DataFrame:
         views = _closure((name,))
@@ -448,10 +448,6 @@ class SampleTables(Tables):
         )
         used = {n for v in views for n in VIEWS[v].needs if n in BASE_TABLES}
         frames = {n: self._base(n) for n in used}
-        for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
-            if table in used:  # the larger one drives the work
-                frames[table] = self._spread(frames[table], key)
-                break
         return self._spark.sql(f"{sql} SELECT * FROM {name}", **frames)
 
     def _base(self, name: str) -> DataFrame:
@@ -459,14 +455,6 @@ class SampleTables(Tables):
             self._read[name] = self._spark.read.parquet(f"{self._path}/{name}.parquet")
         return self._read[name]
 
-    def _spread(self, df: DataFrame, key: str) -> DataFrame:
-        """Use every core on input stored as one or few small files.
-
-        Inputs large enough to give every core a split are left alone.
-        """
-        cores = self._spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
     @cached_property
     def fielding(self) -> DataFrame:
-        return conform(self._view("fx_fielding"), "fielding_c", keep=("pos",))
+        return conform(self._view("fx_fielding"), "fielding_c", keep={"pos": "pos"}, trimmed=True)

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statline.constants import POSITIONS
-from statline.functions.exprs import season_of
+from statline.functions.exprs import SEASON_PARTITION, season_of
 from statline.sources.schemas import DDL, schema
 
 SEASON = "season"  # partition column of stored plays
 
 
-def conform(df: DataFrame, name: str, keep: tuple[str, ...] = (SEASON,)) -> DataFrame:
+def conform(
+    df: DataFrame, name: str, keep: Mapping[str, str] | None = None, trimmed: bool = False
+) -> DataFrame:
     """Declared columns of table ``name``, cast where a source types them otherwise.
 
-    Columns named in ``keep`` stay if present, by default the season plays are
-    partitioned by. Catcher-only counts may be absent at other positions.
+    Trailing blanks of texts go, as comparisons ignore them; ``trimmed`` promises
+    that there are none, which lets filters on texts reach the files. Columns named
+    in ``keep`` stay, if present, under the names given there. Catcher-only counts
+    may be absent at other positions.
     """
     present = {f.name.lower(): f for f in df.schema}
     columns = []
@@ -29,12 +34,14 @@ def conform(df: DataFrame, name: str, keep: tuple[str, ...] = (SEASON,)) -> Data
             source = f"`{found.name}`"
             if found.dataType != field.dataType:
                 source = f"cast({source} as {field.dataType.simpleString()})"
+            if not trimmed and isinstance(field.dataType, T.StringType):
+                source = f"rtrim({source})"
         elif name.startswith("fielding_") and field.name in ("pb", "sb", "cs"):
             source = f"cast(null as {field.dataType.simpleString()})"
         else:
             raise ValueError(f"table {name} lacks column {field.name}")
         columns.append(f"{source} AS `{field.name}`")
-    columns += [f"`{present[k].name}` AS `{k}`" for k in keep if k in present]
+    columns += [f"`{present[k].name}` AS `{v}`" for k, v in (keep or {}).items() if k in present]
     return df.selectExpr(*columns)
 
 
@@ -64,7 +71,9 @@ class Tables:
                 reader = reader.schema(schema(name))
             if format == "csv":
                 reader = reader.option("header", True).option("enforceSchema", False)
-            return conform(reader.format(format).load(where), name)
+            # only files of write_tables are known to have the plays' season as a partition
+            keep = {SEASON: SEASON_PARTITION} if declared and name == "events" else None
+            return conform(reader.format(format).load(where), name, keep, trimmed=declared)
 
         return cls(load)
 
@@ -140,7 +149,7 @@ def write_tables(tables: Tables, path: str) -> None:
             df = getattr(tables, "cards" if name == "allbatters" else name)
         writer = df.write
         if name == "events":
-            df = df if SEASON in df.columns else df.withColumn(SEASON, season_of())
+            df = df.drop(SEASON_PARTITION).withColumn(SEASON, season_of())
             writer = df.hint("rebalance", SEASON).write.partitionBy(SEASON)
         writer.mode("overwrite").parquet(f"{path}/{name}")
 

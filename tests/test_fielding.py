@@ -11,6 +11,7 @@ from build import by, games, table
 from statline import FieldingWinShares
 from statline.constants import PARK_DIMENSIONS, POSITIONS
 from statline.operators import claims, leagues, parks, team_totals
+from statline.sources.durable import durable
 from statline.sources.sample import SampleTables
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -161,6 +162,12 @@ def test_comparable_seasons_weigh_and_add_neighbours(spark):
     assert got["park_run_factor"] == ((n * 10 + 7) / (n + 1)) / ((n * 5 + 3) / (n + 1))
 
 
+def test_neighbour_without_a_league_counts(spark):
+    other = [{**g, "homleague": None, "visleague": None} for g in season(1951, 7, 3)]
+    got = factors(spark, season(1950, 10, 5) + other, [park(1950), park(1951), park(1952)])
+    assert got[(1950, "AAA")]["park_run_factor"] == ((2 * 10 + 7) / 3) / ((2 * 5 + 3) / 3)
+
+
 def test_comparable_but_alone_is_unknown(spark):
     got = factors(spark, season(1950, 10, 5), [park(1950), park(1951)])[(1950, "AAA")]
     assert got["park_run_factor"] is None
@@ -260,8 +267,9 @@ def test_who_may_claim(spark):
 
 
 @pytest.fixture(scope="module")
-def shares(spark):
-    return FieldingWinShares(SampleTables(spark, SF_DIR))
+def shares(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("stored"))
+    return FieldingWinShares(SampleTables(spark, SF_DIR), keep=lambda df: durable(df, folder))
 
 
 def close(a, b):

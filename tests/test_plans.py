@@ -14,7 +14,7 @@ def tables(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     for name in DDL:
         table(spark, name, []).write.parquet(str(path / name))
-    return Tables.from_directory(spark, str(path))
+    return Tables.from_directory(spark, str(path), declared=True)
 
 
 def plan(df):
@@ -82,14 +82,14 @@ def test_no_nested_loops_windows_or_python(tables, spark):
             assert bad not in text
 
 
-def test_stored_stages_scan_each_base_table_once(tables):
+def test_stored_stages_scan_each_base_table_once(tables, tmp_path):
     kept = []
 
     def keep(df):
         kept.append(plan(df))
         from statline.sources.durable import durable
 
-        return durable(df)
+        return durable(df, str(tmp_path))
 
     shares = FieldingWinShares(tables, keep=keep)
     text = "\n".join([plan(shares.positional_team_shares), *kept])

@@ -165,7 +165,8 @@ def test_comparable_seasons_weigh_and_add_neighbours(spark):
 def test_neighbour_without_a_league_counts(spark):
     other = [{**g, "homleague": None, "visleague": None} for g in season(1951, 7, 3)]
     got = factors(spark, season(1950, 10, 5) + other, [park(1950), park(1951), park(1952)])
-    assert got[(1950, "AAA")]["park_run_factor"] == ((2 * 10 + 7) / 3) / ((2 * 5 + 3) / 3)
+    # home games count; a road record is matched by league, so a missing one matches none
+    assert got[(1950, "AAA")]["park_run_factor"] == ((2 * 10 + 7) / 3) / (2 * 5 / 2)
 
 
 def test_comparable_but_alone_is_unknown(spark):

@@ -156,33 +156,44 @@ def incremental(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Best (scores, ids) of one query in one block, by projected distance until the test stops it.
 
-    ``limit`` is the chi-square quantile; ``kth`` the k-th best score found elsewhere.
+    ``limit`` is the chi-square quantile; ``kth`` the k-th best score found elsewhere,
+    below which nothing is returned.
     """
     size2 = float(query @ query)
+    rounding = 4 * len(query) * np.finfo(np.float64).eps * np.sqrt(size2 * norm2)
     outside = np.maximum(0, np.maximum(boxes[0] - image, image - boxes[1]))
     away = (outside**2).sum(axis=1)
     order = np.argsort(away, kind="stable")
+    sizes = leaves[:, 1] - leaves[:, 0]
     scores, found = np.empty(0), np.empty(0, np.int64)
 
+    def least() -> float:
+        """The score that a row must reach to be of use."""
+        return max(kth, scores[-1]) if len(scores) == k else kth
+
     def reach() -> float:
         """Squared projected distance at which the test holds."""
-        worst = max(kth, scores[-1]) if len(scores) == k else kth
-        if worst == -np.inf:
+        if least() == -np.inf:
             return np.inf
-        left = max(0.0, size2 + norm2 - 2 * worst)
+        left = max(0.0, size2 + norm2 - 2 * least())
         return limit * left + 1e-9 * (size2 + norm2)
 
-    at, step = 0, 2
+    at, step = 0, 8
     while at < len(order):
         some = order[at : at + step]
         some = some[away[some] <= reach()]
         if not len(some):
             break
-        rows = np.concatenate([np.arange(lo, hi) for lo, hi in leaves[some]])
-        near = ((projected[rows] - image) ** 2).sum(axis=1) <= reach()
-        rows = rows[near]
+        chosen = np.zeros(len(leaves), bool)
+        chosen[some] = True
+        rows = np.flatnonzero(np.repeat(chosen, sizes))
+        gap = projected[rows] - image
+        rows = rows[np.einsum("ij,ij->i", gap, gap) <= reach()]
+        # a fast product first; the ordered sum is only needed for what may count
+        rows = rows[points[rows] @ query >= least() - rounding]
         values = np.cumsum(points[rows] * query, axis=1)[:, -1] if len(rows) else np.empty(0)
-        scores, found = keep_best(np.r_[scores, values], np.r_[found, ids[rows]], k)
+        count = values >= kth
+        scores, found = keep_best(np.r_[scores, values[count]], np.r_[found, ids[rows[count]]], k)
         at, step = at + step, step * 2
     return scores, found
 

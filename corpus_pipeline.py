@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of near-duplicates stays."""
+    """The first document, by id, of each group of texts at a similarity of 0.8 or more stays."""
     return one_of_each(docs)
 
 

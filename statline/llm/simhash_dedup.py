@@ -18,6 +18,10 @@ Long lists are cut into blocks of ``BLOCK`` fingerprints, and each pair of block
 is a task's work. What leaves a task is not the pairs but a star for each of its
 components, so a dense group of n fingerprints gives about n rows.
 
+Similar texts: the links above are of the strict kind. Where documents are to go
+at a similarity of 0.8, :func:`similar_texts` applies the same method to wider
+fingerprints.
+
 Defined results: a null text counts as one without words; such documents link as
 any others. The group's id is its smallest key, nulls aside; repeated rows share
 a group. An empty table gives an empty result; further columns are not read.
@@ -40,16 +44,18 @@ from statline.llm.components import components
 
 SHINGLE, MOST_BITS, LEAST_BYTES, BLOCK = 3, 3, 5, 4096
 ROWS_AT_ONCE = 512
+# words of a wide fingerprint, those compared bit by bit, and the most bits in which these differ
+WIDE, COMPARED, MOST_WIDE_BITS = 8, 2, 20
+STIR = 0x9E3779B97F4A7C15  # an odd number
 TRIPLES = [
     triple for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for triple in combinations(half, SHINGLE)
 ]
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as an unsigned number."""
+def _shingle_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII, both
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = ends - [len(w) + 1 for w in words]
@@ -59,15 +65,36 @@ def fingerprint(text: str | None) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends - 1).tolist())]
+    return np.array(hashes, dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
-        part = np.array(hashes[at : at + 8192], dtype="<u8")
+        part = np.ascontiguousarray(hashes[at : at + 8192])
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * votes > len(hashes), bitorder="little")
     return int(packed.view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The fingerprint as an unsigned number."""
+    return _majority(_shingle_hashes(text))
+
+
+def wide_fingerprint(text: str | None) -> list[int]:
+    """``WIDE`` words of 64 bits: the fingerprint, then those of the hashes stirred anew."""
+    hashes = _shingle_hashes(text)
+    words = [_majority(hashes)]
+    for n in range(1, WIDE):
+        stirred = (hashes ^ np.uint64(n)) * np.uint64(STIR)
+        stirred = (stirred ^ (stirred >> np.uint64(29))) * np.uint64(STIR)
+        words.append(_majority(stirred ^ (stirred >> np.uint64(32))))
+    return words
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, fp): the fingerprint of each document as a signed 64-bit number."""
     docs = docs.select(F.col(key), F.col(text).alias("the text"))
@@ -165,11 +192,11 @@ def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return work.mapInArrow(run, "u long, v long")
 
 
-def _bytes_at(triple: tuple[int, ...]) -> F.Column:
-    """The bytes of ``fp`` at three positions as one number."""
+def _bytes_at(triple: tuple[int, ...], word: F.Column | None = None) -> F.Column:
+    """The bytes of ``fp``, or another ``word``, at three positions as one number."""
     mask = sum(0xFF << 8 * i for i in triple)
     signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-    return F.col("fp").bitwiseAND(F.lit(signed).cast("long"))
+    return (F.col("fp") if word is None else word).bitwiseAND(F.lit(signed).cast("long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,14 +214,134 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def _wide_prints(docs: DataFrame) -> DataFrame:
+    """(key, node: the words compared, words) of rows of (key, text)."""
+    schema = T.StructType([
+        docs.schema["key"], T.StructField("node", T.BinaryType()),
+        T.StructField("words", T.ArrayType(T.LongType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS_AT_ONCE):
+            found = np.array([wide_fingerprint(v.as_py()) for v in batch.column(1)], dtype="<u8")
+            found = found.reshape(-1, WIDE)
+            words = pa.array(list(found.view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _nodes(found[:, :COMPARED]), words], names=["key", "node", "words"]
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
+def _nodes(words: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(words)], pa.binary())
+
+
+def _similar_stars(list_of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similar rows of whole sorted lists, as (place, least place of its group)."""
+    n = len(words)
+    first = np.flatnonzero(np.r_[True, list_of[1:] != list_of[:-1]]) if n else np.empty(0, int)
+    last = np.searchsorted(list_of, list_of, side="right") - 1
+    root, rows, shift = np.arange(n), np.arange(n), 0
+    while True:
+        shift += 1
+        rows = rows[rows + shift <= last[rows]]
+        if shift & (shift - 1) == 0 and len(rows):
+            # lists whose rows are all of one group hold nothing more to find
+            whole = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+            rows = rows[~np.repeat(whole, np.diff(np.r_[first, n]))[rows]]
+        if not len(rows):
+            break
+        keep = root[rows] != root[rows + shift]
+        a, b = rows[keep], rows[keep] + shift
+        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= MOST_WIDE_BITS
+        if near.any():
+            root = _roots(np.r_[np.arange(n), a[near]], np.r_[root, b[near]], n)
+    tied = np.flatnonzero(root != np.arange(n))
+    return tied, root[tied]
+
+
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """(u, v): links between different nodes of (node, words), dense groups as stars.
+
+    Lists and blocks are those of :func:`links`, over all words; each row carries
+    the words compared.
+    """
+    compared = [F.get("words", F.lit(n)) for n in range(COMPARED)]
+    keys = [
+        F.xxhash64(F.lit(n), F.lit(i), _bytes_at(t, F.get("words", F.lit(n))))
+        for n in range(WIDE) for i, t in enumerate(TRIPLES)
+    ]
+    index = distinct.select(
+        *[c.alias(f"word{n}") for n, c in enumerate(compared)], F.explode(F.array(*keys)).alias("key")
+    )
+    names = [f"word{n}" for n in range(COMPARED)]
+    lists = index.groupBy("key").count().where("count > 1")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
+    )
+    work = (
+        index.join(lists, "key")
+        .withColumn("blocks", blocks).withColumn("mine", mine)
+        .select("key", *names, F.explode(pair).alias("pair"))
+        .select(F.xxhash64("key", "pair.i", "pair.j").alias("list"), *names)
+    )
+    work = work.repartition("list").sortWithinPartitions("list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_list, held = np.empty(0, np.int64), np.empty((0, COMPARED), np.uint64)
+
+        def result(lists: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+            u, v = _similar_stars(lists, words)
+            return pa.RecordBatch.from_arrays([_nodes(words[u]), _nodes(words[v])], names=["u", "v"])
+
+        for batch in slices(batches, 1 << 16):
+            held_list = np.r_[held_list, batch.column(0).to_numpy()]
+            words = [batch.column(1 + n).to_numpy().view(np.uint64) for n in range(COMPARED)]
+            held = np.r_[held, np.stack(words, axis=1)]
+            whole = np.searchsorted(held_list, held_list[-1]) if len(held_list) else 0
+            if whole:
+                yield result(held_list[:whole], held[:whole])
+                held_list, held = held_list[whole:], held[whole:]
+        yield result(held_list, held)
+
+    return work.mapInArrow(run, "u binary, v binary")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, component_id: the smallest key of the group) at a similarity of about 0.8 or more.
+
+    Copies in which one word in fifty is another one, a similarity of 0.8 of
+    five-word shingles, differ in some 12 % of a fingerprint's bits, far over 3 of
+    64. So the fingerprint is ``WIDE`` words wide. Two texts meet where the words
+    share 3 of 4 bytes in place in any half, and link if the first ``COMPARED`` words
+    differ in ``MOST_WIDE_BITS`` bits or fewer. Texts without words link as copies.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prints = checkpointed(_wide_prints(rows))
+    first = prints.groupBy("node").agg(F.min("key").alias("first"), F.first("words").alias("words"))
+    group_of = components(similar_links(checkpointed(first.select("node", "words"))))
+    group_of = group_of.select(F.col("u").alias("node"), F.col("v").alias("group"))
+    grouped = first.select("node", "first").join(group_of, "node", "left").withColumn(
+        "group", F.coalesce("group", "node")
+    )
+    ids = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    by_node = grouped.join(ids, "group").select("node", "component_id")
+    return prints.join(by_node, "node").select(F.col("key").alias(key), "component_id")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the first document, by key, of each group of near-duplicates.
+    """``docs`` with only the first document, by key, of each group of similar texts
+    (:func:`similar_texts`).
 
     Of repeated rows one stays.
     """
     columns = docs.columns
     marked = docs.withColumn("row id", F.struct(F.col(key).alias("k"), F.xxhash64(*columns).alias("h")))
-    groups = near_duplicates(marked, "row id", text)
+    groups = similar_texts(marked, "row id", text)
     first = groups.where(F.col("`row id`") == F.col("component_id")).select("row id").distinct()
     kept = marked.join(first.withColumnRenamed("row id", "kept id"),
                        F.col("`row id`").eqNullSafe(F.col("`kept id`")), "left_semi")

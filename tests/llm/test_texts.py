@@ -270,6 +270,55 @@ def test_links_of_dense_groups(spark, block, monkeypatch):
     assert {s: got.get(s, s) for s in signed} == expected
 
 
+def shingles_of_five(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts(spark, docs):
+    """A changed copy of each longer text is found; unlike texts stay apart."""
+    rng = random.Random(2)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id < 120").collect()]
+    for i, text in list(rows):
+        words = text.split()
+        if len(words) > 100:
+            for at in rng.sample(range(len(words)), len(words) // 70):
+                words[at] = "changed"
+            rows.append((1_000_000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    group = as_dict(simhash_dedup.similar_texts(df), "component_id")
+    sets = {i: shingles_of_five(t) for i, t in rows}
+    assert len(group) == len(rows)
+    pairs = missed = 0
+    for i, a in sets.items():
+        for j, b in sets.items():
+            share = len(a & b) / max(1, len(a | b)) if i < j else 0
+            if share >= 0.8 or i < j and a == b:
+                pairs, missed = pairs + 1, missed + (group[i] != group[j])
+            elif i < j and share < 0.3:
+                assert group[i] != group[j], (i, j, share)
+    assert pairs > 60 and missed <= 0.05 * pairs
+
+
+def test_similar_texts_by_any_block(spark, monkeypatch):
+    base = [f"word{n}" for n in range(200)]
+    rows = [(n, " ".join(base[:n] + ["other"] + base[n + 1 :])) for n in range(90)]
+    rows += [(500 + n, " ".join(f"w{n}x{m}" for m in range(80))) for n in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 16):
+        monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        group = as_dict(simhash_dedup.similar_texts(df), "component_id")
+        assert group == {i: (0 if i < 90 else i,) for i, _ in rows}
+
+
+def test_similar_texts_of_odd_rows(odd_docs, no_docs):
+    group = simhash_dedup.similar_texts(odd_docs.where("doc_id is not null")).collect()
+    found = {(r["doc_id"], r["component_id"]) for r in group}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (7, 3), (6, 6), (8, 8)} <= found
+    assert simhash_dedup.similar_texts(odd_docs).count() == odd_docs.count()
+    assert simhash_dedup.similar_texts(no_docs).count() == 0
+
+
 def test_simhash_of_odd_rows(odd_docs, no_docs):
     found = simhash_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

@@ -46,7 +46,8 @@ SHINGLE, MOST_BITS, LEAST_BYTES, BLOCK = 3, 3, 5, 4096
 ROWS_AT_ONCE = 512
 # words of a wide fingerprint, those compared bit by bit, and the most bits in which these differ
 WIDE, COMPARED, MOST_WIDE_BITS = 8, 2, 20
-STIR = 0x9E3779B97F4A7C15  # an odd number
+STIR = np.uint64(0x9E3779B97F4A7C15)  # an odd number
+ONE_A_BYTE = np.uint64(0x0101010101010101)
 TRIPLES = [
     triple for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for triple in combinations(half, SHINGLE)
 ]
@@ -68,31 +69,35 @@ def _shingle_hashes(text: str | None) -> np.ndarray:
     return np.array(hashes, dtype="<u8")
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes."""
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = np.ascontiguousarray(hashes[at : at + 8192])
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits(2 * votes > len(hashes), bitorder="little")
-    return int(packed.view("<u8")[0])
+def _majorities(words: np.ndarray) -> np.ndarray:
+    """For each row of 64-bit hashes the bits set in over half of them.
+
+    The 8 bytes of a number count one bit of each byte, for 255 hashes at a time.
+    """
+    k, n = words.shape
+    votes = np.zeros((8, k, 8), np.int64)  # bit, row, byte
+    for at in range(0, n, 255 * 32):
+        part = words[:, at : at + 255 * 32]
+        starts = np.arange(0, part.shape[1], 255)
+        for bit in range(8):
+            sums = np.add.reduceat((part >> np.uint64(bit)) & ONE_A_BYTE, starts, axis=1)
+            votes[bit] += sums.view(np.uint8).reshape(k, -1, 8).sum(axis=1, dtype=np.int64)
+    packed = np.packbits(2 * votes.transpose(1, 2, 0) > n, axis=2, bitorder="little")
+    return packed.reshape(k, 8).view("<u8")[:, 0]
 
 
 def fingerprint(text: str | None) -> int:
     """The fingerprint as an unsigned number."""
-    return _majority(_shingle_hashes(text))
+    return int(_majorities(_shingle_hashes(text)[None, :])[0])
 
 
-def wide_fingerprint(text: str | None) -> list[int]:
+def wide_fingerprint(text: str | None) -> np.ndarray:
     """``WIDE`` words of 64 bits: the fingerprint, then those of the hashes stirred anew."""
     hashes = _shingle_hashes(text)
-    words = [_majority(hashes)]
-    for n in range(1, WIDE):
-        stirred = (hashes ^ np.uint64(n)) * np.uint64(STIR)
-        stirred = (stirred ^ (stirred >> np.uint64(29))) * np.uint64(STIR)
-        words.append(_majority(stirred ^ (stirred >> np.uint64(32))))
-    return words
+    stirred = (hashes ^ np.arange(1, WIDE, dtype=np.uint64)[:, None]) * STIR
+    stirred = (stirred ^ (stirred >> np.uint64(29))) * STIR
+    stirred ^= stirred >> np.uint64(32)
+    return _majorities(np.vstack([hashes[None, :], stirred]))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,6 +348,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     marked = docs.withColumn("row id", F.struct(F.col(key).alias("k"), F.xxhash64(*columns).alias("h")))
     groups = similar_texts(marked, "row id", text)
     first = groups.where(F.col("`row id`") == F.col("component_id")).select("row id").distinct()
+    # no struct is null, and nulls in structs are equal
     kept = marked.join(first.withColumnRenamed("row id", "kept id"),
-                       F.col("`row id`").eqNullSafe(F.col("`kept id`")), "left_semi")
+                       F.col("`row id`") == F.col("`kept id`"), "left_semi")
     return kept.dropDuplicates(["row id"]).select(*[F.col(f"`{c}`") for c in columns])

@@ -20,7 +20,8 @@ components, so a dense group of n fingerprints gives about n rows.
 
 Similar texts: the links above are of the strict kind. Where documents are to go
 at a similarity of 0.8, :func:`similar_texts` applies the same method to wider
-fingerprints.
+fingerprints, as a search for candidates only: a pair links after the exact
+Jaccard similarity of its sets of five-word shingles has been found 0.8 or more.
 
 Defined results: a null text counts as one without words; such documents link as
 any others. The group's id is its smallest key, nulls aside; repeated rows share
@@ -46,6 +47,8 @@ SHINGLE, MOST_BITS, LEAST_BYTES, BLOCK = 3, 3, 5, 4096
 ROWS_AT_ONCE = 512
 # words of a wide fingerprint, those compared bit by bit, and the most bits in which these differ
 WIDE, COMPARED, MOST_WIDE_BITS = 8, 2, 20
+# words of a shingle in the exact check, and shingles of a block of texts in it
+EXACT_SHINGLE, VOLUME = 5, 1 << 18
 STIR = np.uint64(0x9E3779B97F4A7C15)  # an odd number
 ONE_A_BYTE = np.uint64(0x0101010101010101)
 TRIPLES = [
@@ -53,15 +56,19 @@ TRIPLES = [
 ]
 
 
-def _shingle_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII, both
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII, both
+
+
+def _shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    words = _words(text)
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = ends - [len(w) + 1 for w in words]
-    if len(words) > SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    if len(words) > shingle:
+        starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
@@ -92,8 +99,8 @@ def fingerprint(text: str | None) -> int:
 
 
 def wide_fingerprint(text: str | None) -> np.ndarray:
-    """``WIDE`` words of 64 bits: the fingerprint, then those of the hashes stirred anew."""
-    hashes = _shingle_hashes(text)
+    """``WIDE`` words of 64 bits, of the distinct shingles and of their hashes stirred anew."""
+    hashes = np.unique(_shingle_hashes(text))  # the exact check compares sets as well
     stirred = (hashes ^ np.arange(1, WIDE, dtype=np.uint64)[:, None]) * STIR
     stirred = (stirred ^ (stirred >> np.uint64(29))) * STIR
     stirred ^= stirred >> np.uint64(32)
@@ -219,20 +226,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def _text_id(text: str | None) -> bytes:
+    """128 bits of the words: texts of the same words in a row share them."""
+    return xxhash.xxh3_128_digest(b" ".join(_words(text)))
+
+
 def _wide_prints(docs: DataFrame) -> DataFrame:
-    """(key, node: the words compared, words) of rows of (key, text)."""
+    """(key, id of the text, its number of words, node: the words compared, words) of rows of (key, text)."""
     schema = T.StructType([
-        docs.schema["key"], T.StructField("node", T.BinaryType()),
-        T.StructField("words", T.ArrayType(T.LongType())),
+        docs.schema["key"], T.StructField("id", T.BinaryType()), T.StructField("size", T.LongType()),
+        T.StructField("node", T.BinaryType()), T.StructField("words", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS_AT_ONCE):
-            found = np.array([wide_fingerprint(v.as_py()) for v in batch.column(1)], dtype="<u8")
-            found = found.reshape(-1, WIDE)
+            texts = batch.column(1).to_pylist()
+            found = np.array([wide_fingerprint(t) for t in texts], dtype="<u8").reshape(-1, WIDE)
+            ids = pa.array([_text_id(t) for t in texts], pa.binary())
+            sizes = pa.array([len(_words(t)) for t in texts], pa.int64())
             words = pa.array(list(found.view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _nodes(found[:, :COMPARED]), words], names=["key", "node", "words"]
+                [batch.column(0), ids, sizes, _nodes(found[:, :COMPARED]), words],
+                names=["key", "id", "size", "node", "words"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -243,7 +258,7 @@ def _nodes(words: np.ndarray) -> pa.Array:
 
 
 def _similar_stars(list_of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similar rows of whole sorted lists, as (place, least place of its group)."""
+    """Candidates among rows of whole sorted lists, as (place, least place of its group)."""
     n = len(words)
     first = np.flatnonzero(np.r_[True, list_of[1:] != list_of[:-1]]) if n else np.empty(0, int)
     last = np.searchsorted(list_of, list_of, side="right") - 1
@@ -267,7 +282,7 @@ def _similar_stars(list_of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray,
 
 
 def similar_links(distinct: DataFrame) -> DataFrame:
-    """(u, v): links between different nodes of (node, words), dense groups as stars.
+    """(u, v): candidates among different nodes of (node, words), dense groups as stars.
 
     Lists and blocks are those of :func:`links`, over all words; each row carries
     the words compared.
@@ -316,26 +331,119 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     return work.mapInArrow(run, "u binary, v binary")
 
 
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, component_id: the smallest key of the group) at a similarity of about 0.8 or more.
+def _exact_stars(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets linked at a Jaccard similarity of 0.8 or more, as (place, least place of its group)."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    root, held = np.arange(n), np.zeros(len(distinct), bool)
+    for i in range(n - 1):
+        if (root == root[0]).all():
+            break
+        mine, rest = flat[starts[i] : starts[i + 1]], starts[i + 1 :]
+        held[mine] = True
+        shared = np.add.reduceat(held[flat[rest[0] :]], rest - rest[0], dtype=np.int64)
+        held[mine] = False
+        # shared / (a + b - shared) >= 4 / 5, in whole numbers
+        other = i + 1 + np.flatnonzero(9 * shared >= 4 * (sizes[i] + sizes[i + 1 :]))
+        if len(other):
+            root = _roots(np.r_[np.arange(n), np.full(len(other), i)], np.r_[root, other], n)
+    tied = np.flatnonzero(root != np.arange(n))
+    return tied, root[tied]
+
 
-    Copies in which one word in fifty is another one, a similarity of 0.8 of
-    five-word shingles, differ in some 12 % of a fingerprint's bits, far over 3 of
-    64. So the fingerprint is ``WIDE`` words wide. Two texts meet where the words
-    share 3 of 4 bytes in place in any half, and link if the first ``COMPARED`` words
-    differ in ``MOST_WIDE_BITS`` bits or fewer. Texts without words link as copies.
+def verified_links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(u, v): links between ids of texts at an exact similarity of 0.8 or more, as stars.
+
+    ``docs`` has a column text; ``wanted`` has (id, size, group) once for each text
+    to be compared, with all others of its group. Groups of over ``VOLUME`` words
+    are cut into blocks, and each pair of blocks is a task's work. Shingles are
+    told apart by 64 bits.
+    """
+    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS_AT_ONCE):
+            ids = pa.array([_text_id(t) for t in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0)], names=["id", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS_AT_ONCE):
+            # no words make one set of their own
+            sets = [
+                np.unique(_shingle_hashes(t, EXACT_SHINGLE)).view(np.int64) if _words(t) else np.zeros(1, np.int64)
+                for t in batch.column(3).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))],
+                names=["id", "group", "blocks", "shingles"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        list_of, ids, sets = None, [], []
+
+        def result() -> pa.RecordBatch:
+            u, v = _exact_stars(sets) if len(sets) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in u], pa.binary()), pa.array([ids[i] for i in v], pa.binary())],
+                names=["u", "v"],
+            )
+
+        for batch in slices(batches, ROWS_AT_ONCE):
+            for at, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if a != list_of:
+                    yield result()
+                    list_of, ids, sets = a, [], []
+                ids.append(b)
+                sets.append(np.array(batch.column(2)[at].values))
+        yield result()
+
+    total = wanted.groupBy("group").agg(
+        F.count(F.lit(1)).alias("texts"), F.ceil(F.sum("size") / VOLUME).cast("int").alias("blocks")
+    ).where("texts > 1")
+    wanted = wanted.join(total, "group").select("id", "group", F.greatest("blocks", F.lit(1)).alias("blocks"))
+    texts = docs.select("text").mapInArrow(identify, "id binary, text string")
+    texts = texts.join(wanted, "id").dropDuplicates(["id"]).select("id", "group", "blocks", "text")
+    sets = texts.mapInArrow(cut, "id binary, `group` binary, blocks int, shingles array<bigint>")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
+    )
+    work = (
+        sets.withColumn("mine", mine)
+        .select("id", "group", "shingles", F.explode(pair).alias("pair"))
+        .select(F.xxhash64("group", "pair.i", "pair.j").alias("list"), "id", "shingles")
+        .repartition("list").sortWithinPartitions("list", "id")
+    )
+    return work.mapInArrow(run, "u binary, v binary")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, component_id: the smallest key of the group) at a similarity of 0.8 or more.
+
+    The similarity is the exact one of sets of five-word shingles (fewer words: one
+    shingle of all). Candidates come from fingerprints: copies in which one word in
+    fifty is another one, a similarity of 0.8, differ in some 12 % of a fingerprint's
+    bits, far over 3 of 64. So the fingerprint is ``WIDE`` words wide. Two texts meet
+    where the words share 3 of 4 bytes in place in any half, and are candidates if the
+    first ``COMPARED`` words differ in ``MOST_WIDE_BITS`` bits or fewer; all texts of a
+    component of candidates are compared. Texts without words link as copies.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     prints = checkpointed(_wide_prints(rows))
-    first = prints.groupBy("node").agg(F.min("key").alias("first"), F.first("words").alias("words"))
-    group_of = components(similar_links(checkpointed(first.select("node", "words"))))
+    nodes = prints.groupBy("node").agg(F.first("words").alias("words"))
+    group_of = components(similar_links(checkpointed(nodes)))
     group_of = group_of.select(F.col("u").alias("node"), F.col("v").alias("group"))
-    grouped = first.select("node", "first").join(group_of, "node", "left").withColumn(
-        "group", F.coalesce("group", "node")
+    first = prints.groupBy("id").agg(
+        F.min("key").alias("first"), F.first("size").alias("size"), F.first("node").alias("node")
     )
-    ids = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
-    by_node = grouped.join(ids, "group").select("node", "component_id")
-    return prints.join(by_node, "node").select(F.col("key").alias(key), "component_id")
+    wanted = first.join(group_of, "node", "left").select(
+        "id", "size", F.coalesce("group", "node").alias("group")
+    )
+    tied = components(verified_links(rows, wanted)).select(F.col("u").alias("id"), F.col("v").alias("tie"))
+    grouped = first.select("id", "first").join(tied, "id", "left").withColumn("tie", F.coalesce("tie", "id"))
+    ids = grouped.groupBy("tie").agg(F.min("first").alias("component_id"))
+    by_id = grouped.join(ids, "tie").select("id", "component_id")
+    return prints.select("key", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

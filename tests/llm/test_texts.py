@@ -300,6 +300,19 @@ def test_similar_texts(spark, docs):
     assert pairs > 60 and missed <= 0.05 * pairs
 
 
+def test_texts_under_the_least_similarity_stay(spark, monkeypatch):
+    """Three-word fingerprints of these are near each other; five-word similarity is about 0.7."""
+    base = [f"word{n}" for n in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join(base) + " end")]
+    for n in range(2, 32):
+        rows.append((n, " ".join(w if (at + n) % 28 else f"x{n}x{at}" for at, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for volume in (1 << 18, 1 << 10):
+        monkeypatch.setattr(simhash_dedup, "VOLUME", volume)
+        kept = simhash_dedup.one_of_each(df)
+        assert {r["doc_id"] for r in kept.collect()} == {0, *range(2, 32)}
+
+
 def test_similar_texts_by_any_block(spark, monkeypatch):
     base = [f"word{n}" for n in range(200)]
     rows = [(n, " ".join(base[:n] + ["other"] + base[n + 1 :])) for n in range(90)]

@@ -13,8 +13,12 @@ characters slides over each; the counts of its characters are kept up to date by
 the one that enters and the one that leaves, and with them the sum of c*log2(c)
 that Shannon entropy needs. A candidate is reported if its best window reaches
 the least entropy of its character class: ``hex`` for hex digits with a letter,
-``mixed`` for strings with both cases. Strings on the allow-list (placeholders,
-runs of the alphabet, UUIDs) and those that overlap a base span are left out.
+``mixed`` for strings with both cases, ``lower`` and ``upper`` for letters of one
+case and two or more digits, one of them before a letter. Strings on the allow-list
+(placeholders, runs of the alphabet, UUIDs) are let go. What follows the last ``=``,
+``/`` or other separator is judged in the same way on its own, so that a name or a
+path before a key lets nothing go; the whole run is reported. Candidates that overlap
+a base span are left out.
 
 All of it is made of built-in functions. Offsets are in code points, ends
 exclusive. A pattern of the form ``(.*?)(match)|.+`` takes a text apart in one
@@ -47,7 +51,11 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}
 CLASSES = {
     "hex": (r"^(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0),
     "mixed": (r"^(?=.*[a-z])(?=.*[A-Z]).+$", 3.9),
+    "lower": (r"^(?=.*[0-9].*[0-9])(?=.*[0-9][a-z])[a-z0-9]+=*$", 3.5),
+    "upper": (r"^(?=.*[0-9].*[0-9])(?=.*[0-9][A-Z])[A-Z0-9]+=*$", 3.4),
 }
+#: What stands before a part judged on its own; padding at the end is no separator.
+BEFORE_PART = (r"^.*=(?=[^=])", r"^.*/(?=[^=])", r"^.*[/_=-](?=[^/_=-])")
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0{8}|1234567|abcdefg"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -111,13 +119,14 @@ def best_window_entropy(word: str) -> str:
 
 
 def _is_secret() -> str:
-    """SQL test of one candidate ``c``: its class's entropy reached, not allowed."""
+    """SQL test of one candidate ``c``: it or a part has its class's entropy and is not allowed."""
     least = " ".join(
-        f"WHEN c.word rlike {_quoted(pattern)} THEN {bits} - 1e-9"
-        for pattern, bits in CLASSES.values()
+        f"WHEN w rlike {_quoted(pattern)} THEN {bits} - 1e-9" for pattern, bits in CLASSES.values()
     )
-    return f"""NOT c.word rlike {_quoted(ALLOWED)}
-      AND coalesce({best_window_entropy('c.word')} >= CASE {least} END, false)"""
+    parts = ", ".join(f"regexp_replace(c.word, {_quoted(before)}, '')" for before in BEFORE_PART)
+    return f"""exists(array_distinct(array(c.word, {parts})),
+      w -> length(w) >= {WINDOW} AND NOT w rlike {_quoted(ALLOWED)}
+        AND coalesce({best_window_entropy('w')} >= CASE {least} END, false))"""
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:

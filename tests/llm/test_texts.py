@@ -201,6 +201,20 @@ def test_secrets(spark, docs, odd_docs, no_docs):
     assert secret_scan.scan_secrets(no_docs).count() == 0
 
 
+def test_keys_of_one_case_and_after_a_name(spark):
+    lower, upper = "q7f3k9x2m5v8c1z6n4b0t7w3j9h2p5r8y1d6g4s0", "M7QK4ZVX2TB6NWJ5RY3CHPD7LG4SFA2E"
+    both, name = "Zx9Kq2Lm8Rt4Vw7Yb3Nc6P", "some_table_name_2024_of_totals"
+    texts = {
+        lower: 1, upper: 1, upper + "====": 1, f"SAMPLE_DB_KEY={lower}": 1, f"docs/example/{both}": 1,
+        f"SAMPLE_DB_KEY={both}_{both[:9]}": 1, f"EXAMPLE{upper}": 0, f"x=dummy{both}": 0, name: 0,
+        "internationalisations2024": 0, "/2024/01/15/an-article-about-ball-games": 0,
+    }
+    df = spark.createDataFrame([(n, f"see {t} here") for n, t in enumerate(texts)], "doc_id long, text string")
+    found = as_dict(secret_scan.scan_secrets(df), "spans")
+    for n, (t, secret) in enumerate(texts.items()):
+        assert found[n][0] == (f"entropy:4:{4 + len(t)}" if secret else ""), t
+
+
 def test_window_entropy(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdef0123456789") for _ in range(n)) for n in (19, 20, 21, 60)]

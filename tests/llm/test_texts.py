@@ -327,6 +327,39 @@ def test_texts_under_the_least_similarity_stay(spark, monkeypatch):
         assert {r["doc_id"] for r in kept.collect()} == {0, *range(2, 32)}
 
 
+def test_similar_texts_by_brute_force(spark, docs):
+    """Groups are the components of exact similarity, for the whole fixture and copies at 0.6 to 1."""
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    for i, text in list(rows):
+        words = text.split()
+        if len(words) > 100:
+            for at in rng.sample(range(len(words)), len(words) // (20 + 5 * (i % 17))):
+                words[at] = "changed"
+            rows.append((1_000_000 + i, " ".join(words)))
+    sets = {i: shingles_of_five(t) for i, t in rows}
+    expected, shares = {i: i for i in sets}, []
+    holders = {}
+    for i, a in sets.items():
+        shared = {}
+        for shingle in a:
+            for j in holders.setdefault(shingle, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[shingle].append(i)
+        for j, n in shared.items():
+            share = n / (len(a) + len(sets[j]) - n)
+            shares.append(share)
+            if 9 * n >= 4 * (len(a) + len(sets[j])) and expected[i] != expected[j]:
+                low, high = sorted((expected[i], expected[j]))
+                expected.update({k: low for k, g in expected.items() if g == high})
+    empty = [i for i, a in sets.items() if not a]
+    expected.update({i: min(empty) for i in empty})
+    assert sum(0.6 <= s < 0.8 for s in shares) > 30 and sum(0.8 <= s < 0.85 for s in shares) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_dedup.one_of_each(df).collect()}
+    assert kept == set(expected.values())
+
+
 def test_similar_texts_by_any_block(spark, monkeypatch):
     base = [f"word{n}" for n in range(200)]
     rows = [(n, " ".join(base[:n] + ["other"] + base[n + 1 :])) for n in range(90)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def text_slices(
+    batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size: int = 4 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ``rows`` and, single rows aside, ``size`` bytes of ``text``."""
+    for batch in slices(batches, rows):
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = done = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(at, upto - at)
+            at, done = upto, int(ends[upto - 1])

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from statline.llm import (
     cover_tree_search,
     curriculum_mix,
+    fill_in_middle,
+    language_id,
+    periodic_runs,
     projection_search,
     run_length_dedup,
     secret_scan,
@@ -84,11 +87,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's output by its digest, and the digest of what is restored from the output."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    moved = fill_in_middle.fill_in_middle(docs).drop("text")
+    return fill_in_middle.restore_text(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("fim", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's nearest language; those too far from its centroids are marked."""
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every text, after one text in ten has got a repeated tail."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(periodic_runs.with_repeated_tails(docs))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[n].cast("string") for n in (
+        "start", "length", "period")]), F.lit("\n")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_token_count, op3_top_k_search, op4_suffix_dedup, op5_nearest_neighbours,
         op6_secret_scan, op7_source_mix, op8_simhash_dedup, op9_sentencepiece, op10_toxicity,
+        op11_fill_in_middle, op12_language_id, op13_periodic_runs,
     )
 }
 
@@ -111,6 +146,14 @@ def _rule_cases() -> tuple[str, str]:
     return f"CASE{rule} END", f"CASE{verdict} WHEN is_listed THEN 'block' ELSE 'allow' END"
 
 
+_FIM_UNITS = r"""
+  SELECT doc_id, text, units, len(units) AS n, regexp_matches(text, '<[PSM]>') AS marked,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || digest[i:i + 7] AS BIGINT)) AS h
+  FROM (SELECT doc_id, coalesce(text, '') AS text,
+          regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+          sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+        FROM documents)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
 WITH parts AS ({_URL_PARTS}),
@@ -135,4 +178,21 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
   FROM scored) WHERE rank <= 5""",
+    "op11_fill_in_middle": f"""
+WITH cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b
+  FROM ({_FIM_UNITS})),
+parts AS (
+  SELECT doc_id, text, n, array_to_string(units[:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+    array_to_string(units[b + 1:], '') AS s,
+    CASE WHEN text = '' OR marked OR h[3] % 100 >= 100 THEN 'plain'
+         WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cuts)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts""",
 }

@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("region", "nation", "orders", "lineitem", "embeddings", "pages"):
+    for name in ("region", "nation", "orders", "lineitem", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return con
 

@@ -18,11 +18,6 @@ Long lists are cut into blocks of ``BLOCK`` fingerprints, and each pair of block
 is a task's work. What leaves a task is not the pairs but a star for each of its
 components, so a dense group of n fingerprints gives about n rows.
 
-Similar texts: the links above are of the strict kind. Where documents are to go
-at a similarity of 0.8, :func:`similar_texts` applies the same method to wider
-fingerprints, as a search for candidates only: a pair links after the exact
-Jaccard similarity of its sets of five-word shingles has been found 0.8 or more.
-
 Defined results: a null text counts as one without words; such documents link as
 any others. The group's id is its smallest key, nulls aside; repeated rows share
 a group. An empty table gives an empty result; further columns are not read.
@@ -45,16 +40,6 @@ from statline.llm.components import components
 
 SHINGLE, MOST_BITS, LEAST_BYTES, BLOCK = 3, 3, 5, 4096
 ROWS_AT_ONCE = 512
-# words of a wide fingerprint, those compared bit by bit, and the most bits in which these differ
-WIDE, COMPARED, MOST_WIDE_BITS = 8, 3, 44
-# words of a shingle in the exact check, and shingles of a block of texts in it
-EXACT_SHINGLE, VOLUME = 5, 1 << 18
-# so many bits spoil as many half-bytes at most: the others are equal in place
-LEAST_NIBBLES = 16 * COMPARED - MOST_WIDE_BITS
-ONE_A_NIBBLE = np.uint64(0x1111111111111111)
-# pairs of neighbouring bytes of a wide fingerprint's word, the last and the first too
-PAIRS = [(i, (i + 1) % 8) for i in range(8)]
-STIR = np.uint64(0x9E3779B97F4A7C15)  # an odd number
 ONE_A_BYTE = np.uint64(0x0101010101010101)
 TRIPLES = [
     triple for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for triple in combinations(half, SHINGLE)
@@ -103,15 +88,6 @@ def fingerprint(text: str | None) -> int:
     return int(_majorities(_shingle_hashes(text)[None, :])[0])
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """``WIDE`` words of 64 bits, of the distinct shingles and of their hashes stirred anew."""
-    hashes = np.unique(_shingle_hashes(text))  # the exact check compares sets as well
-    stirred = (hashes ^ np.arange(1, WIDE, dtype=np.uint64)[:, None]) * STIR
-    stirred = (stirred ^ (stirred >> np.uint64(29))) * STIR
-    stirred ^= stirred >> np.uint64(32)
-    return _majorities(np.vstack([hashes[None, :], stirred]))
-
-
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, fp): the fingerprint of each document as a signed 64-bit number."""
     docs = docs.select(F.col(key), F.col(text).alias("the text"))
@@ -209,11 +185,11 @@ def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return work.mapInArrow(run, "u long, v long")
 
 
-def _bytes_at(places: tuple[int, ...], word: F.Column | None = None) -> F.Column:
-    """The bytes of ``fp``, or another ``word``, at some positions as one number."""
+def _bytes_at(places: tuple[int, ...]) -> F.Column:
+    """The bytes of ``fp`` at some positions as one number."""
     mask = sum(0xFF << 8 * i for i in places)
     signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-    return (F.col("fp") if word is None else word).bitwiseAND(F.lit(signed).cast("long"))
+    return F.col("fp").bitwiseAND(F.lit(signed).cast("long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,250 +207,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def _text_id(text: str | None) -> bytes:
-    """128 bits of the words: texts of the same words in a row share them."""
-    return xxhash.xxh3_128_digest(b" ".join(_words(text)))
-
-
-def _wide_prints(docs: DataFrame) -> DataFrame:
-    """(key, id of the text, its number of words, node: the words compared, words) of rows of (key, text)."""
-    schema = T.StructType([
-        docs.schema["key"], T.StructField("id", T.BinaryType()), T.StructField("size", T.LongType()),
-        T.StructField("node", T.BinaryType()), T.StructField("words", T.ArrayType(T.LongType())),
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS_AT_ONCE):
-            texts = batch.column(1).to_pylist()
-            found = np.array([wide_fingerprint(t) for t in texts], dtype="<u8").reshape(-1, WIDE)
-            ids = pa.array([_text_id(t) for t in texts], pa.binary())
-            sizes = pa.array([len(_words(t)) for t in texts], pa.int64())
-            words = pa.array(list(found.view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, sizes, _nodes(found[:, :COMPARED]), words],
-                names=["key", "id", "size", "node", "words"],
-            )
-
-    return docs.mapInArrow(run, schema)
-
-
-def _nodes(words: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in np.ascontiguousarray(words)], pa.binary())
-
-
-def _near(spoilt: np.ndarray) -> np.ndarray:
-    """Whether rows of differing bits pass the tally of equal half-bytes, then the bit limit."""
-    halves = spoilt | spoilt >> np.uint64(1)
-    halves |= halves >> np.uint64(2)
-    equal = 16 * COMPARED - np.bitwise_count(halves & ONE_A_NIBBLE).sum(axis=1, dtype=np.int64)
-    near = equal >= LEAST_NIBBLES
-    near[near] = np.bitwise_count(spoilt[near]).sum(axis=1) <= MOST_WIDE_BITS
-    return near
-
-
-def _similar_stars(list_of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows of whole sorted lists, as (place, least place of its group)."""
-    n = len(words)
-    first = np.flatnonzero(np.r_[True, list_of[1:] != list_of[:-1]]) if n else np.empty(0, int)
-    last = np.searchsorted(list_of, list_of, side="right") - 1
-    root, rows, shift = np.arange(n), np.arange(n), 0
-    while True:
-        shift += 1
-        rows = rows[rows + shift <= last[rows]]
-        if shift & (shift - 1) == 0 and len(rows):
-            # lists whose rows are all of one group hold nothing more to find
-            whole = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
-            rows = rows[~np.repeat(whole, np.diff(np.r_[first, n]))[rows]]
-        if not len(rows):
-            break
-        keep = root[rows] != root[rows + shift]
-        a, b = rows[keep], rows[keep] + shift
-        near = _near(words[a] ^ words[b])
-        if near.any():
-            root = _roots(np.r_[np.arange(n), a[near]], np.r_[root, b[near]], n)
-    tied = np.flatnonzero(root != np.arange(n))
-    return tied, root[tied]
-
-
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """(u, v): candidates among different nodes of (node, words), dense groups as stars.
-
-    Lists are of pairs of neighbouring bytes, over all words; blocks are those of
-    :func:`links`. Each row carries the words compared.
-    """
-    compared = [F.get("words", F.lit(n)) for n in range(COMPARED)]
-    keys = [
-        F.xxhash64(F.lit(n), F.lit(i), _bytes_at(t, F.get("words", F.lit(n))))
-        for n in range(WIDE) for i, t in enumerate(PAIRS)
-    ]
-    index = distinct.select(
-        *[c.alias(f"word{n}") for n, c in enumerate(compared)], F.explode(F.array(*keys)).alias("key")
-    )
-    names = [f"word{n}" for n in range(COMPARED)]
-    lists = index.groupBy("key").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
-    )
-    work = (
-        index.join(lists, "key")
-        .withColumn("blocks", blocks).withColumn("mine", mine)
-        .select("key", *names, F.explode(pair).alias("pair"))
-        .select(F.xxhash64("key", "pair.i", "pair.j").alias("list"), *names)
-    )
-    work = work.repartition("list").sortWithinPartitions("list")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_list, held = np.empty(0, np.int64), np.empty((0, COMPARED), np.uint64)
-
-        def result(lists: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-            u, v = _similar_stars(lists, words)
-            return pa.RecordBatch.from_arrays([_nodes(words[u]), _nodes(words[v])], names=["u", "v"])
-
-        for batch in slices(batches, 1 << 16):
-            held_list = np.r_[held_list, batch.column(0).to_numpy()]
-            words = [batch.column(1 + n).to_numpy().view(np.uint64) for n in range(COMPARED)]
-            held = np.r_[held, np.stack(words, axis=1)]
-            whole = np.searchsorted(held_list, held_list[-1]) if len(held_list) else 0
-            if whole:
-                yield result(held_list[:whole], held[:whole])
-                held_list, held = held_list[whole:], held[whole:]
-        yield result(held_list, held)
-
-    return work.mapInArrow(run, "u binary, v binary")
-
-
-def _exact_stars(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sets linked at a Jaccard similarity of 0.8 or more, as (place, least place of its group)."""
-    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    root, held = np.arange(n), np.zeros(len(distinct), bool)
-    for i in range(n - 1):
-        if (root == root[0]).all():
-            break
-        mine, rest = flat[starts[i] : starts[i + 1]], starts[i + 1 :]
-        held[mine] = True
-        shared = np.add.reduceat(held[flat[rest[0] :]], rest - rest[0], dtype=np.int64)
-        held[mine] = False
-        # shared / (a + b - shared) >= 4 / 5, in whole numbers
-        other = i + 1 + np.flatnonzero(9 * shared >= 4 * (sizes[i] + sizes[i + 1 :]))
-        if len(other):
-            root = _roots(np.r_[np.arange(n), np.full(len(other), i)], np.r_[root, other], n)
-    tied = np.flatnonzero(root != np.arange(n))
-    return tied, root[tied]
-
-
-def verified_links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(u, v): links between ids of texts at an exact similarity of 0.8 or more, as stars.
-
-    ``docs`` has a column text; ``wanted`` has (id, size, group) once for each text
-    to be compared, with all others of its group. Groups of over ``VOLUME`` words
-    are cut into blocks, and each pair of blocks is a task's work. Shingles are
-    told apart by 64 bits.
-    """
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS_AT_ONCE):
-            ids = pa.array([_text_id(t) for t in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0)], names=["id", "text"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS_AT_ONCE):
-            # no words make one set of their own
-            sets = [
-                np.unique(_shingle_hashes(t, EXACT_SHINGLE)).view(np.int64) if _words(t) else np.zeros(1, np.int64)
-                for t in batch.column(3).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))],
-                names=["id", "group", "blocks", "shingles"],
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        list_of, ids, sets = None, [], []
-
-        def result() -> pa.RecordBatch:
-            u, v = _exact_stars(sets) if len(sets) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in u], pa.binary()), pa.array([ids[i] for i in v], pa.binary())],
-                names=["u", "v"],
-            )
-
-        for batch in slices(batches, ROWS_AT_ONCE):
-            for at, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if a != list_of:
-                    yield result()
-                    list_of, ids, sets = a, [], []
-                ids.append(b)
-                sets.append(np.array(batch.column(2)[at].values))
-        yield result()
-
-    total = wanted.groupBy("group").agg(
-        F.count(F.lit(1)).alias("texts"), F.ceil(F.sum("size") / VOLUME).cast("int").alias("blocks")
-    ).where("texts > 1")
-    wanted = wanted.join(total, "group").select("id", "group", F.greatest("blocks", F.lit(1)).alias("blocks"))
-    texts = docs.select("text").mapInArrow(identify, "id binary, text string")
-    texts = texts.join(wanted, "id").dropDuplicates(["id"]).select("id", "group", "blocks", "text")
-    sets = texts.mapInArrow(cut, "id binary, `group` binary, blocks int, shingles array<bigint>")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")),
-    )
-    work = (
-        sets.withColumn("mine", mine)
-        .select("id", "group", "shingles", F.explode(pair).alias("pair"))
-        .select(F.xxhash64("group", "pair.i", "pair.j").alias("list"), "id", "shingles")
-        .repartition("list").sortWithinPartitions("list", "id")
-    )
-    return work.mapInArrow(run, "u binary, v binary")
-
-
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, component_id: the smallest key of the group) at a similarity of 0.8 or more.
-
-    The similarity is the exact one of sets of five-word shingles (fewer words: one
-    shingle of all). Candidates come from fingerprints: copies in which one word in
-    fifty is another one, a similarity of 0.8, differ in some 12 % of a fingerprint's
-    bits, far over 3 of 64. So the fingerprint is ``WIDE`` words wide. Two texts meet
-    where the words share two neighbouring bytes in place, and are candidates if the
-    first ``COMPARED`` words share ``LEAST_NIBBLES`` half-bytes in place, which follows
-    from the bit limit, and differ in ``MOST_WIDE_BITS`` bits or fewer, 23 %. At 12 %
-    about one pair in a thousand shares no such bytes, at 15 % one in seventy: selective
-    keys cannot be guaranteed at such a limit. All texts of a
-    component of candidates are compared. Texts without words link as copies.
-    """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    prints = checkpointed(_wide_prints(rows))
-    nodes = prints.groupBy("node").agg(F.first("words").alias("words"))
-    group_of = components(similar_links(checkpointed(nodes)))
-    group_of = group_of.select(F.col("u").alias("node"), F.col("v").alias("group"))
-    first = prints.groupBy("id").agg(
-        F.min("key").alias("first"), F.first("size").alias("size"), F.first("node").alias("node")
-    )
-    wanted = first.join(group_of, "node", "left").select(
-        "id", "size", F.coalesce("group", "node").alias("group")
-    )
-    tied = components(verified_links(rows, wanted)).select(F.col("u").alias("id"), F.col("v").alias("tie"))
-    grouped = first.select("id", "first").join(tied, "id", "left").withColumn("tie", F.coalesce("tie", "id"))
-    ids = grouped.groupBy("tie").agg(F.min("first").alias("component_id"))
-    by_id = grouped.join(ids, "tie").select("id", "component_id")
-    return prints.select("key", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id")
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the first document, by key, of each group of similar texts
-    (:func:`similar_texts`).
+    """``docs`` with only the first document, by key, of each group of :func:`near_duplicates`.
 
-    Of repeated rows one stays.
+    Of repeated rows one stays, of equal keys with different rows the one of the least
+    hash; a null key comes before all others. Texts without words are one group.
     """
     columns = docs.columns
     marked = docs.withColumn("row id", F.struct(F.col(key).alias("k"), F.xxhash64(*columns).alias("h")))
-    groups = similar_texts(marked, "row id", text)
-    first = groups.where(F.col("`row id`") == F.col("component_id")).select("row id").distinct()
+    groups = near_duplicates(marked, "row id", text)
+    first = groups.select(F.col("component_id").alias("kept id")).distinct()
     # no struct is null, and nulls in structs are equal
-    kept = marked.join(first.withColumnRenamed("row id", "kept id"),
-                       F.col("`row id`") == F.col("`kept id`"), "left_semi")
+    kept = marked.join(first, F.col("`row id`") == F.col("`kept id`"), "left_semi")
     return kept.dropDuplicates(["row id"]).select(*[F.col(f"`{c}`") for c in columns])

@@ -50,12 +50,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ``rows`` and, single rows aside, ``size`` bytes of ``text``."""
+    """The same rows in pieces of at most ``rows`` and, single rows aside, ``size`` bytes of ``text``
+    (or ``size`` items, if it is a list)."""
     for batch in slices(batches, rows):
-        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        column = batch.column(text)
+        measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+        lengths = pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         at = done = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, upto - at)
             at, done = upto, int(ends[upto - 1])
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts or bytes, and where each row starts; nulls are empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def column_of(data: np.ndarray, starts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Rows of bytes back as a column, of binaries or another ``kind``."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(data)]
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
+    return column if kind is None else column.cast(kind)
+
+
+def gathered(begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of stretches that begin at ``begin``, one stretch after the other,
+    and where each stretch starts among them."""
+    starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    return np.repeat(begin - starts[:-1], lengths) + np.arange(starts[-1]), starts

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from statline.llm.common import text_slices
+from statline.llm.common import bytes_of, column_of, text_slices
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 MARK_BYTES = 3
@@ -60,21 +60,6 @@ class Dice:
         return tuple(int(groups[i : i + 8], 16) for i in range(0, 32, 8))  # type: ignore[return-value]
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column of texts or bytes, and where each row starts; nulls are empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
-    held = column.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _texts(data: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """Rows of bytes back as a column of texts."""
-    buffers = [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(data)]
-    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers).cast(kind)
-
-
 def _displaced(
     data: np.ndarray, at: np.ndarray, to: np.ndarray, out: np.ndarray, gather: bool = False
 ) -> None:
@@ -231,12 +216,12 @@ def fill_in_middle(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            data, starts = _bytes_of(batch.column(text))
+            data, starts = bytes_of(batch.column(text))
             keys = batch.column(key).to_pylist()
             out, out_starts, known = transform(data, starts, keys, dice)
             plain = known["form"] == PLAIN
             columns = [
-                _texts(out, out_starts, pa.string()),
+                column_of(out, out_starts, pa.string()),
                 pa.array(FORMS).take(pa.array(known["form"])),
                 pa.array(known["n"], pa.int64()),
                 *[pa.array(known["chars"][:, part], pa.int64(), mask=plain) for part in (0, 1)],
@@ -263,9 +248,9 @@ def restore_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, fim):
-            data, starts = _bytes_of(batch.column(fim))
+            data, starts = bytes_of(batch.column(fim))
             forms = np.array([numbers[f] for f in batch.column(form).to_pylist()], np.int64)
-            texts = _texts(*restore(data, starts, forms), pa.string())
+            texts = column_of(*restore(data, starts, forms), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, texts], names=[*batch.schema.names, restored]
             )

@@ -21,16 +21,19 @@ columns are kept, but for one named like the added column, which it replaces.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from statline.llm.common import slices
-from statline.llm.vocabulary import MARK, MODEL, Memo, Vocabulary, load, words_of
+from statline.llm.common import bytes_of, column_of, gathered, text_slices
+from statline.llm.vocabulary import MARK, MODEL, Vocabulary, distinct_words, load, words_of
 
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 4096  # within 4 MB of text
+LONGEST = 64
 
 
 class DoubleArrayTrie:
@@ -71,6 +74,9 @@ class DoubleArrayTrie:
             for byte, first, last in children:
                 self.check[base + byte + 1] = node
                 work.append((base + byte + 1, first, last, depth + 1))
+        self.base, self.check, self.value = (
+            np.array(a, np.int32) for a in (self.base, self.check, self.value)
+        )
 
     def _grow(self, size: int) -> None:
         while len(self.check) <= size:
@@ -93,15 +99,27 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         ranked = list(vocabulary.pieces.items())
-        self.scores = [score for _, (_, score) in ranked]
-        self.ids = [i for _, (i, _) in ranked]
+        self.scores = np.array([score for _, (_, score) in ranked])
+        self.ids = np.array([i for _, (i, _) in ranked], np.int32)
         self.trie = DoubleArrayTrie({p.encode(): n for n, (p, _) in enumerate(ranked)})
+        self.blob = np.frombuffer(b"".join(vocabulary.by_id), np.uint8)
+        self.lengths = np.array([len(b) for b in vocabulary.by_id], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    @cached_property
+    def _lists(self) -> tuple[list, ...]:
+        """Arrays as lists, faster for one look at a time."""
+        trie = self.trie
+        return tuple(a.tolist() for a in (trie.base, trie.check, trie.value, self.scores))
 
     def encode_word(self, word: str) -> bytes:
         """Ids of the best segmentation, as 32-bit integers."""
-        text = word.encode("utf-8", "surrogatepass")
+        return self.encode_bytes(word.encode("utf-8", "surrogatepass"))
+
+    def encode_bytes(self, text: bytes) -> bytes:
+        """The same of a word in UTF-8."""
         n = len(text)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
+        base, check, value, scores = self._lists
         nothing, unknown = float("-inf"), self.vocabulary.unknown_score
         best, last, start_of = [nothing] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
@@ -130,7 +148,7 @@ class Codec:
         while end:
             start = start_of[end]
             if last[end] >= 0:
-                found.append(self.ids[last[end]])
+                found.append(int(self.ids[last[end]]))
             elif self.vocabulary.bytes_ids:
                 found += [self.vocabulary.bytes_ids[b] for b in reversed(text[start:end])]
             else:
@@ -138,29 +156,157 @@ class Codec:
             end = start
         return np.array(found[::-1], dtype=np.int32).tobytes()
 
-    def encode(self, text: str, memo: Memo[bytes] | None = None) -> np.ndarray:
-        words = words_of(text, self.vocabulary)
-        coded = map(memo.__getitem__ if memo is not None else self.encode_word, words)
+    def encode(self, text: str) -> np.ndarray:
+        coded = map(self.encode_word, words_of(text, self.vocabulary))
         return np.frombuffer(b"".join(coded), dtype=np.int32)
 
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, one after the other, and how many each word has.
+
+        The same pass as :meth:`encode_bytes`, over all words at once: from all
+        characters the trie is walked side by side, then the candidates that start at
+        the first byte of any word are weighed, those at the second, and so on. No two
+        of a kind reach the same place, so there are no ties among them. A word of over
+        ``LONGEST`` bytes goes alone.
+        """
+        data, starts = bytes_of(words)
+        sizes = np.diff(starts)
+        short = np.flatnonzero((sizes > 0) & (sizes <= LONGEST))
+        ids, counts = self._best_ids(data[gathered(starts[short], sizes[short])[0]], sizes[short])
+        every = np.zeros(len(sizes), np.int64)
+        every[short] = counts
+        alone = {n: data[starts[n] : starts[n + 1]].tobytes() for n in np.flatnonzero(sizes > LONGEST)}
+        alone = {n: np.frombuffer(self.encode_bytes(word), np.int32) for n, word in alone.items()}
+        for n, found in alone.items():
+            every[n] = len(found)
+        if not alone:
+            return ids, every
+        begin = np.cumsum(every) - every
+        flat = np.empty(int(every.sum()), np.int32)
+        flat[gathered(begin[short], counts)[0]] = ids
+        for n, found in alone.items():
+            flat[begin[n] : begin[n] + len(found)] = found
+        return flat, every
+
+    def _best_ids(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_words`, of words of 1 to ``LONGEST`` bytes side by side in ``data``."""
+        trie, nothing = self.trie, float("-inf")
+        last_of = np.cumsum(sizes)
+        first = np.repeat(last_of - sizes, sizes)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+        width = np.diff(np.append(at, len(data)))
+
+        # all pieces from all characters
+        known = np.zeros(len(at), bool)  # characters that are pieces
+        found: list[tuple[np.ndarray, ...]] = []
+        live, node, depth = np.arange(len(at)), np.zeros(len(at), np.int32), 0
+        left = np.repeat(last_of, sizes)[at] - at  # bytes to the word's end
+        while len(live):
+            child = trie.base[node] + data[at[live] + depth] + 1
+            inside = trie.check[child] == node
+            live, node = live[inside], child[inside]
+            depth += 1
+            piece = trie.value[node]
+            hit = piece >= 0
+            ends = live[hit]
+            found.append((at[ends], np.full(len(ends), depth), piece[hit]))
+            known[ends[width[ends] == depth]] = True
+            more = left[live] > depth
+            live, node = live[more], node[more]
+        strange = np.flatnonzero(~known)
+        found.append((at[strange], width[strange], np.full(len(strange), -1)))
+        start, length, piece = (np.concatenate(part) for part in zip(*found))
+        gain = np.where(piece >= 0, self.scores[piece], self.vocabulary.unknown_score)
+
+        # the best way to each place, starts in rising order within every word
+        level = (start - first[start]).astype(np.uint8)
+        order = np.argsort(level, kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(level, minlength=LONGEST))))
+        start, end, piece, gain = start[order], (start + length)[order], piece[order], gain[order]
+        # a word's place 0 is its predecessor's end: place p of word w is at p + w
+        shift = np.repeat(np.arange(len(sizes)), sizes)[start] if len(start) else start
+        place, target = start + shift, end + shift
+        best = np.full(len(data) + len(sizes), nothing)
+        best[last_of - sizes + np.arange(len(sizes))] = 0.0
+        chosen = np.zeros(len(best), np.int64)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b:
+                continue
+            score = best[place[a:b]] + gain[a:b]
+            better = np.flatnonzero(score > best[target[a:b]])
+            best[target[a:b][better]] = score[better]
+            chosen[target[a:b][better]] = a + better
+
+        # back from every word's end; the segments found lie in the words' order by start
+        parts = []
+        now = last_of + np.arange(len(sizes))
+        floor = now - sizes
+        while len(now):
+            parts.append(chosen[now])
+            now = place[parts[-1]]
+            open_ = now > floor
+            now, floor = now[open_], floor[open_]
+        taken = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        taken = taken[np.argsort(start[taken], kind="stable")]
+        as_bytes = (piece[taken] < 0) & bool(self.vocabulary.bytes_ids)
+        copies = np.where(as_bytes, end[taken] - start[taken], 1)
+        source, begin = gathered(start[taken], copies)
+        ids = np.repeat(np.where(piece[taken] >= 0, self.ids[piece[taken]], self.vocabulary.unknown_id), copies)
+        if as_bytes.any():
+            spelt = np.repeat(as_bytes, copies)
+            ids[spelt] = np.array(self.vocabulary.bytes_ids, np.int32)[data[source[spelt]]]
+        word = shift[taken]
+        return ids.astype(np.int32), np.bincount(word, weights=copies, minlength=len(sizes)).astype(np.int64)
+
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text. Every different word of the column is looked at once."""
+        words, numbers, first = distinct_words(texts, self.vocabulary)
+        table, lengths = self.encode_words(words)
+        places, starts = gathered((np.cumsum(lengths) - lengths)[numbers], lengths[numbers])
+        missing = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+        offsets = pa.array(starts[first], pa.int32(), mask=missing)
+        return pa.ListArray.from_arrays(offsets, pa.array(table[places]))
+
     def decode(self, ids: list[int]) -> str:
         joined = b"".join(map(self.vocabulary.by_id.__getitem__, ids))
         text = joined.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
+    def decode_column(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids: their bytes side by side, as one array."""
+        ids, bounds = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(bounds, dtype=np.int64)))
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        if ((ids < 0) | (ids >= len(self.lengths))).any():
+            raise ValueError("ids must be of the model")
+        places, starts = gathered(self.starts[ids], np.where(known, self.lengths[ids], 0))
+        joined = column_of(self.blob[places], starts[bounds])
+        try:
+            texts = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:  # byte pieces that are no characters
+            texts = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.large_string())
+        texts = pc.replace_substring(texts, MARK, " ")
+        if self.vocabulary.dummy_prefix:
+            texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+        nothing = pa.scalar(None, pa.large_string())
+        return pc.if_else(lists.is_null(), nothing, texts).cast(pa.string())
+
 
 def _mapped(
-    docs: DataFrame, name: str, kind: T.DataType, model: str,
-    make: Callable[[Codec], Callable[[pa.RecordBatch], pa.Array]],
+    docs: DataFrame, source: str, name: str, kind: T.DataType, model: str,
+    make: Callable[[Codec], Callable[[pa.Array], pa.Array]],
 ) -> DataFrame:
     codec = Codec(load(model))  # Spark broadcasts what is large in a function
+    if name != source:
+        docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = make(codec)
-        for batch in slices(batches, ROWS_AT_ONCE):
+        for batch in text_slices(batches, source, ROWS_AT_ONCE):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, column(batch)], names=[*batch.schema.names, name]
+                [*batch.columns, column(batch.column(source))], names=[*batch.schema.names, name]
             )
 
     return docs.mapInArrow(run, schema)
@@ -170,39 +316,12 @@ def encode_text(
     docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL
 ) -> DataFrame:
     """``docs`` with the array ``ids`` of piece ids of ``text``."""
-    if ids != text:
-        docs = docs.drop(ids)
-
-    def make(codec: Codec) -> Callable[[pa.RecordBatch], pa.Array]:
-        memo = Memo(codec.encode_word, 1 << 18)
-
-        def column(batch: pa.RecordBatch) -> pa.Array:
-            values = batch.column(text)
-            coded = [codec.encode(v.as_py() or "", memo) for v in values]
-            ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-            flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
-            missing = pa.array(np.append(values.is_null().to_numpy(zero_copy_only=False), False))
-            offsets = pa.Array.from_pandas(ends, mask=missing.to_numpy(zero_copy_only=False), type=pa.int32())
-            return pa.ListArray.from_arrays(offsets, pa.array(flat))
-
-        return column
-
-    return _mapped(docs, ids, T.ArrayType(T.IntegerType()), model, make)
+    kind = T.ArrayType(T.IntegerType())
+    return _mapped(docs, text, ids, kind, model, lambda codec: codec.encode_column)
 
 
 def decode_ids(
     docs: DataFrame, ids: str = "ids", decoded: str = "decoded", model: str = MODEL
 ) -> DataFrame:
     """``docs`` with the string ``decoded`` of the ids; ids must be of the model."""
-    if decoded != ids:
-        docs = docs.drop(decoded)
-
-    def make(codec: Codec) -> Callable[[pa.RecordBatch], pa.Array]:
-        def text_of(values: pa.ListScalar) -> str | None:
-            if not values.is_valid:
-                return None
-            return codec.decode(values.values.drop_null().to_numpy().tolist())
-
-        return lambda batch: pa.array([text_of(v) for v in batch.column(ids)], pa.string())
-
-    return _mapped(docs, decoded, T.StringType(), model, make)
+    return _mapped(docs, ids, decoded, T.StringType(), model, lambda codec: codec.decode_column)

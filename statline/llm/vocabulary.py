@@ -10,6 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Generic, TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from statline.llm.common import bytes_of, column_of
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space in pieces
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as the public tokenizer sets it
@@ -114,3 +120,33 @@ def words_of(text: str, vocabulary: Vocabulary) -> list[str]:
         if marks:
             words.append(MARK * marks)
     return words
+
+
+def distinct_words(
+    texts: pa.Array, vocabulary: Vocabulary
+) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a whole column, as :func:`words_of` cuts them, each different one once.
+
+    Returns these; the number of each word of the column among them; and where each
+    text starts among the words. Nulls have none.
+    """
+    spaced = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
+    if vocabulary.dummy_prefix:
+        space, nothing = (pa.scalar(c, pa.large_string()) for c in (" ", ""))
+        prefixed = pc.binary_join_element_wise(space, spaced, nothing)
+        spaced = pc.if_else(pc.equal(pc.binary_length(spaced), 0), spaced, prefixed)
+    data, starts = bytes_of(spaced)
+    opens = np.zeros(len(data), bool)
+    opens[starts[:-1][np.diff(starts) > 0]] = True
+    if vocabulary.by_word and len(data):
+        space = data == ord(" ")
+        opens[1:] |= space[1:] & ~space[:-1]
+        if vocabulary.by_line:
+            line_end = data == ord("\n")
+            opens |= line_end
+            opens[1:] |= line_end[:-1]
+    begin = np.flatnonzero(opens)
+    coded = column_of(data, np.append(begin, len(data))).dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False)
+    words = pc.replace_substring(coded.dictionary.cast(pa.large_string()), " ", MARK)
+    return words, numbers, np.searchsorted(begin, starts)

@@ -41,9 +41,9 @@ def test_outputs_by_slicing(spark, monkeypatch, dice, stride):
     monkeypatch.setattr(fim, "STRIDE", stride)
     texts = [t for t in TEXTS if stride > 3 or len(t or "") < 100] * 12
     keys = [*range(len(texts) - 1), None]
-    data, starts = fim._bytes_of(pa.array(texts, pa.string()))
+    data, starts = fim.bytes_of(pa.array(texts, pa.string()))
     out, out_starts, known = fim.transform(data, starts, keys, dice)
-    outputs = fim._texts(out, out_starts, pa.string()).to_pylist()
+    outputs = fim.column_of(out, out_starts, pa.string()).to_pylist()
     forms = set()
     for i, (key, text) in enumerate(zip(keys, texts)):
         n, form, prefix, middle, output = expected_row(key, text, dice)
@@ -51,7 +51,7 @@ def test_outputs_by_slicing(spark, monkeypatch, dice, stride):
         assert (known["n"][i], fim.FORMS[known["form"][i]], outputs[i]) == (n, form, output)
         if form != "plain":
             assert known["chars"][i].tolist()[:2] == [prefix, middle]
-    back = fim._texts(*fim.restore(out, out_starts, known["form"]), pa.string()).to_pylist()
+    back = fim.column_of(*fim.restore(out, out_starts, known["form"]), pa.string()).to_pylist()
     assert back == [t or "" for t in texts]
     assert forms == {"plain"} | ({"spm", "psm"} if dice.suffix_first < 100 else {"spm"}) or not dice.transformed
 

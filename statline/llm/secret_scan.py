@@ -93,27 +93,35 @@ def _spans(kind: str, pattern: str, holds: str, measured_group: int = 2) -> str:
 def best_window_entropy(word: str) -> str:
     """SQL for the highest Shannon entropy, in bits a character, of ``WINDOW`` characters in a row.
 
-    ``word`` is an SQL expression for an ASCII string; a shorter string gives 0.
+    ``word`` is an SQL expression for an ASCII string; a shorter string gives 0. The
+    string is taken apart once, and each step looks at what enters and leaves, so the
+    time grows in proportion to its length.
     """
-    entering = f"ascii(substr({word}, i, 1))"
-    leaving = f"if(i > {WINDOW}, ascii(substr({word}, i - {WINDOW}, 1)), -1)"
+    codes = f"transform(regexp_extract_all({word}, '(?s)(.)', 1), c -> ascii(c))"
 
     def plogp(n: str) -> str:
         return f"if({n} > 1, {n} * log2({n}), 0D)"
 
-    come, gone = f"element_at(acc.n, {entering} + 1)", f"element_at(acc.n, {leaving} + 1)"
+    # what enters the window at each step, and what leaves it: -1 until it is full
+    steps = f"""
+      aggregate(array({codes}), cast(array() AS array<struct<come:int,gone:int>>), (nothing, codes) ->
+        zip_with(codes, slice(concat(array_repeat(-1, {WINDOW}), codes), 1, size(codes)),
+          (come, gone) -> named_struct('come', come, 'gone', gone)))"""
+    come, gone = "element_at(acc.n, step.come + 1)", "element_at(acc.n, step.gone + 1)"
     add = f"({plogp(f'({come} + 1)')} - {plogp(come)})"
     take = f"({plogp(gone)} - {plogp(f'({gone} - 1)')})"
-    total = f"""(acc.s + CASE WHEN {entering} = {leaving} THEN 0D
-                 WHEN i > {WINDOW} THEN {add} - {take} ELSE {add} END)"""
+    total = f"""(acc.s + CASE WHEN step.come = step.gone THEN 0D
+                 WHEN step.gone >= 0 THEN {add} - {take} ELSE {add} END)"""
     return f"""
-      aggregate(sequence(1, length({word})),
-        named_struct('n', array_repeat(0, 128), 's', 0D, 'best', 0D),
-        (acc, i) -> named_struct(
+      aggregate({steps},
+        named_struct('n', array_repeat(0, 128), 'at', 1, 's', 0D, 'best', 0D),
+        (acc, step) -> named_struct(
           'n', transform(acc.n, (seen, j) ->
-             seen + if(j = {entering}, 1, 0) - if(j = {leaving}, 1, 0)),
+             CASE j WHEN step.come THEN seen + if(step.come = step.gone, 0, 1)
+                    WHEN step.gone THEN seen - 1 ELSE seen END),
+          'at', acc.at + 1,
           's', {total},
-          'best', if(i >= {WINDOW},
+          'best', if(acc.at >= {WINDOW},
              greatest(acc.best, log2({WINDOW}) - {total} / {WINDOW}), acc.best)),
         acc -> acc.best)"""
 

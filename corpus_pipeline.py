@@ -29,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of texts at a similarity of 0.8 or more stays."""
+    """The first document, by id, of each group stays: fingerprints of three-word shingles link
+    at 3 or fewer differing bits. Null and empty texts are one group."""
     return one_of_each(docs)
 
 

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from statline.llm.common import bytes_of, column_of, gathered, text_slices
 from statline.llm.vocabulary import MARK, MODEL, Vocabulary, distinct_words, load, words_of
 
-ROWS_AT_ONCE = 4096  # within 4 MB of text
-LONGEST = 64
+TEXT_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 19  # bytes, ids: of whole rows
+LONGEST, AT_ONCE = 64, 1 << 17  # bytes of a word, and of words, that are looked at side by side
 
 
 class DoubleArrayTrie:
@@ -172,7 +172,13 @@ class Codec:
         data, starts = bytes_of(words)
         sizes = np.diff(starts)
         short = np.flatnonzero((sizes > 0) & (sizes <= LONGEST))
-        ids, counts = self._best_ids(data[gathered(starts[short], sizes[short])[0]], sizes[short])
+        # some at a time: what a word needs on the way is a hundred times its size
+        parts = np.searchsorted(np.cumsum(sizes[short]), np.arange(AT_ONCE, sizes[short].sum(), AT_ONCE))
+        found = [
+            self._best_ids(data[gathered(starts[part], sizes[part])[0]], sizes[part])
+            for part in np.split(short, parts)
+        ]
+        ids, counts = (np.concatenate(part) for part in zip(*found))
         every = np.zeros(len(sizes), np.int64)
         every[short] = counts
         alone = {n: data[starts[n] : starts[n + 1]].tobytes() for n in np.flatnonzero(sizes > LONGEST)}
@@ -193,7 +199,7 @@ class Codec:
         trie, nothing = self.trie, float("-inf")
         last_of = np.cumsum(sizes)
         first = np.repeat(last_of - sizes, sizes)
-        at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+        at = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)  # where characters start
         width = np.diff(np.append(at, len(data)))
 
         # all pieces from all characters
@@ -209,12 +215,12 @@ class Codec:
             piece = trie.value[node]
             hit = piece >= 0
             ends = live[hit]
-            found.append((at[ends], np.full(len(ends), depth), piece[hit]))
+            found.append((at[ends], np.full(len(ends), depth, np.int32), piece[hit]))
             known[ends[width[ends] == depth]] = True
             more = left[live] > depth
             live, node = live[more], node[more]
         strange = np.flatnonzero(~known)
-        found.append((at[strange], width[strange], np.full(len(strange), -1)))
+        found.append((at[strange], width[strange].astype(np.int32), np.full(len(strange), -1, np.int32)))
         start, length, piece = (np.concatenate(part) for part in zip(*found))
         gain = np.where(piece >= 0, self.scores[piece], self.vocabulary.unknown_score)
 
@@ -294,7 +300,7 @@ class Codec:
 
 
 def _mapped(
-    docs: DataFrame, source: str, name: str, kind: T.DataType, model: str,
+    docs: DataFrame, source: str, name: str, kind: T.DataType, model: str, size: int,
     make: Callable[[Codec], Callable[[pa.Array], pa.Array]],
 ) -> DataFrame:
     codec = Codec(load(model))  # Spark broadcasts what is large in a function
@@ -304,7 +310,7 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = make(codec)
-        for batch in text_slices(batches, source, ROWS_AT_ONCE):
+        for batch in text_slices(batches, source, 4096, size):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, column(batch.column(source))], names=[*batch.schema.names, name]
             )
@@ -317,11 +323,12 @@ def encode_text(
 ) -> DataFrame:
     """``docs`` with the array ``ids`` of piece ids of ``text``."""
     kind = T.ArrayType(T.IntegerType())
-    return _mapped(docs, text, ids, kind, model, lambda codec: codec.encode_column)
+    return _mapped(docs, text, ids, kind, model, TEXT_AT_ONCE, lambda codec: codec.encode_column)
 
 
 def decode_ids(
     docs: DataFrame, ids: str = "ids", decoded: str = "decoded", model: str = MODEL
 ) -> DataFrame:
     """``docs`` with the string ``decoded`` of the ids; ids must be of the model."""
-    return _mapped(docs, ids, decoded, T.StringType(), model, lambda codec: codec.decode_column)
+    kind = T.StringType()
+    return _mapped(docs, ids, decoded, kind, model, IDS_AT_ONCE, lambda codec: codec.decode_column)

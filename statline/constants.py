@@ -96,6 +96,7 @@ POSITION_WEIGHTS = {"c": 38, "1b": 12, "2b": 32, "3b": 24, "ss": 36, "of": 58}
 MAJOR_LEAGUES = ("AA", "AL", "FL", "NA", "NL", "PL", "UA")
 FIRST_MODERN_SEASON = 1901
 CLAIM_WEIGHTS = {
+    # a catcher's caught stealings count 4, less the 2 that each stolen base tried costs
     "c": {"PO": 1, "A": 2, "E": -8, "DP": 6, "PB": -4, "SB": -2, "CS": 2},
     "1b": {"PO": 1, "A": 2, "E": -5},
     "2b": {"PO": 1, "A": 2, "E": -5, "DP": 1, "RBP": 2},

@@ -6,13 +6,13 @@ from collections.abc import Iterable
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statline.constants import LEFT_HANDER_MARK, THIRD_CORRECTION
 
 
-SEASON_PARTITION = "season partition"  # a loader's name for the season in stored plays' paths
+SEASON_PARTITION = "season partition"  # a loader's name for the season in stored files' paths
 
 
 def is_true(column: str) -> Column:
@@ -33,6 +33,23 @@ def is_blank(column: Column | str) -> Column:
     return F.rtrim(column) == ""
 
 
+def stored_text(column: str) -> str:
+    """A loader's name for a text column as its source holds it, trailing blanks and all."""
+    return f"{column} as stored"
+
+
+def may_be(df: DataFrame, column: str, value: str) -> Column:
+    """True where a trimmed text column can equal ``value``: a range that can reach the files.
+
+    Texts equal but for trailing blanks lie from ``value`` up to ``value`` and the
+    character behind the blank. Always true where the loader left no stored text.
+    """
+    stored = stored_text(column)
+    if stored not in df.columns:
+        return F.lit(True)
+    return (F.col(stored) >= value) & (F.col(stored) < value + chr(ord(" ") + 1))
+
+
 def has_id(column: Column | str) -> Column:
     """True for a person id that is neither NULL nor blank."""
     return F.coalesce(F.trim(column) != "", F.lit(False))

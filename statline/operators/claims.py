@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statline import constants as K
 from statline.functions.formulas import ratio, rounded
+from statline.functions.joins import salted_join
 from statline.operators.team_totals import TEAM, has_all_positions
 from statline.operators.win_shares import share_column
 
@@ -47,7 +48,8 @@ def claim_points(
 
     Catchers need a team pitching record, infielders beyond first base and
     outfielders also a team record at every position; first basemen need
-    neither. One left join to the combined team row answers all three.
+    neither. One left join to the combined team row answers all three; a team with
+    most of the rows is spread over many tasks.
     """
     chances = [f"{s}_{p.upper()}" for p in RANGE_POSITIONS for s in ("PO", "A")]
     fielded = fielding_totals.where(F.col("Lg") != K.MULTI_LEAGUE).where(has_all_positions())
@@ -69,7 +71,7 @@ def claim_points(
     )
     points = f"CASE WHEN Inn > 0 AND value > 0 THEN {rounded('value', CLAIM_PLACES)} ELSE 0D END"
     return (
-        rows.join(team, list(TEAM), "left")
+        salted_join(rows, team, TEAM, "left")
         .where(eligible)
         .selectExpr("*", f"{range_bonus_plays()} AS RBP")
         .selectExpr("*", f"{claim_value()} AS value")
@@ -84,8 +86,8 @@ def fielding_shares(claims: DataFrame, team_shares: DataFrame, starts: DataFrame
     """Each player's part of the wins credited to his team at his position.
 
     Position totals are aggregated and joined with the team rows first; the
-    player rows then meet one small side, in one join whose hot keys adaptive
-    execution can split. A window over each team's players would not be.
+    player rows then meet one small side, in one join that spreads hot keys. A
+    window over each team's players would not. ``claims`` is read twice.
     """
     unit = 10**CLAIM_PLACES
     # claim points as whole units: their sums do not depend on order
@@ -102,7 +104,7 @@ def fielding_shares(claims: DataFrame, team_shares: DataFrame, starts: DataFrame
     )
     season, inn = K.SCHEDULE_GAMES, "double(CASE WHEN Inn > 0 THEN Inn ELSE 1 END)"
     return (
-        claims.join(pool, list(ROW))
+        salted_join(claims, pool, ROW)
         .selectExpr("*", f"{ratio('ClaimPoints', 'pool')} * wins AS FWS")
         .selectExpr(
             "Year", "Lg", "Tm", "Name", "Pos", "BBRefID", "Inn",

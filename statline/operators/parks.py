@@ -11,6 +11,7 @@ from statline import constants as K
 from statline.functions.formulas import ratio
 from statline.operators.team_totals import game_sides, keyed
 
+REACH = max(map(abs, K.NEIGHBOUR_OFFSETS))  # seasons that count as neighbours, on either side
 CLUB = ("YearID", "Lg", "Tm")  # Tm is the game-log team code here
 HOME_ROAD = tuple(f"{stat}_{side}" for side in ("home", "road") for stat in ("games", "runs", "hr"))
 
@@ -103,24 +104,23 @@ def comparable_park_years(parkconfig: DataFrame) -> DataFrame:
     return met.drop(*K.PARK_DIMENSIONS).unionByName(alone)
 
 
-def comparable_counts(parkconfig: DataFrame) -> DataFrame:
-    """How many comparable park-seasons vouch for a club's season.
-
-    Same as counting :func:`comparable_park_years` by (years_ext, retrotm), but
-    both sides are counted before they meet, so no pair is ever produced.
-    """
+def park_seasons(parkconfig: DataFrame) -> DataFrame:
+    """How many rows each park has by season, club and dimensions: all that counts need."""
     same = ["parkid", *K.PARK_DIMENSIONS]
-    base = (
-        keyed(parkconfig, "year", "retrotm", *same)
+    return (
+        keyed(parkconfig, "year", *same)
         .groupBy("year", "retrotm", *same)
-        .agg(F.count(F.lit(1)).alias("bases"))
-        .select("retrotm", *same, "bases", _to_neighbours("year").alias("YearID"))
+        .agg(F.count(F.lit(1)).alias("parks"))
     )
-    ext = (
-        keyed(parkconfig, "year", *same)
-        .groupBy(F.col("year").alias("YearID"), *same)
-        .agg(F.count(F.lit(1)).alias("exts"))
+
+
+def vouching_counts(seasons: DataFrame) -> DataFrame:
+    """How many comparable park-seasons vouch for a club's season, from :func:`park_seasons`."""
+    same = ["parkid", *K.PARK_DIMENSIONS]
+    base = keyed(seasons, "retrotm").select(
+        "retrotm", *same, F.col("parks").alias("bases"), _to_neighbours("year").alias("YearID")
     )
+    ext = seasons.groupBy(F.col("year").alias("YearID"), *same).agg(F.sum("parks").alias("exts"))
     return (
         base.join(ext, ["YearID", *same])
         .groupBy("YearID", F.col("retrotm").alias("Tm"))
@@ -128,6 +128,15 @@ def comparable_counts(parkconfig: DataFrame) -> DataFrame:
     )
 
 
+def comparable_counts(parkconfig: DataFrame) -> DataFrame:
+    """As :func:`vouching_counts`, from the dimensions themselves.
+
+    Same as counting :func:`comparable_park_years` by (years_ext, retrotm), but
+    both sides are counted before they meet, so no pair is ever produced.
+    """
+    return vouching_counts(park_seasons(parkconfig))
+
+
 def neighbour_season_sums(stats: DataFrame) -> DataFrame:
     """Sums over the club's other seasons within two years, whatever the league.
 
@@ -152,6 +161,11 @@ def seasons_with_neighbours(stats: DataFrame) -> DataFrame:
 
 
 def park_factors(sides: DataFrame, parkconfig: DataFrame) -> DataFrame:
+    """As :func:`factors_from_counts`, from the dimensions themselves."""
+    return factors_from_counts(sides, comparable_counts(parkconfig))
+
+
+def factors_from_counts(sides: DataFrame, comparable: DataFrame) -> DataFrame:
     """Run and home-run factors of a club's home games.
 
     Early seasons use padded per-game rates; seasons without a comparable
@@ -160,9 +174,7 @@ def park_factors(sides: DataFrame, parkconfig: DataFrame) -> DataFrame:
     """
     # a season without a league is a neighbour, too, but has no factor of its own
     clubs = keyed(seasons_with_neighbours(home_road_stats(sides)), *CLUB)
-    board = clubs.join(
-        comparable_counts(parkconfig), ["YearID", "Tm"], "left"
-    )
+    board = clubs.join(comparable, ["YearID", "Tm"], "left")
     counts = [*HOME_ROAD, *[f"near_{c}" for c in HOME_ROAD]]
     board = board.selectExpr(
         *CLUB, "games_home AS home", "double(coalesce(n, 0)) AS n",

@@ -149,16 +149,21 @@ def _text(bound: Bound) -> str | None:
     return None if bound is None else str(bound)
 
 
+def _files_within(df: DataFrame, start: Bound, end: Bound) -> DataFrame:
+    """``df`` without files of other seasons, where its loader knows that files lie by season."""
+    if SEASON_PARTITION not in df.columns or (start is None and end is None):
+        return df
+    bounds = [None if b is None else int(b) for b in (start, end)]
+    return df.where(_within(F.col(SEASON_PARTITION), *bounds))
+
+
 def events_in_years(events: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
     """Plays of the seasons ``start``..``end``, all by default.
 
     The season comes out of the game id. Where the loader knows that files lie by
     season, the same bounds prune these first.
     """
-    plays = events
-    if SEASON_PARTITION in events.columns:
-        bounds = [None if b is None else int(b) for b in (start, end)]
-        plays = plays.where(_within(F.col(SEASON_PARTITION), *bounds)).drop(SEASON_PARTITION)
+    plays = _files_within(events, start, end).drop(SEASON_PARTITION)
     if start is None and end is None:
         return plays
     return plays.where(_within(season_of(), _text(start), _text(end)))
@@ -210,7 +215,8 @@ def game_log_decisions(gamelogs: DataFrame, start: Bound = None, end: Bound = No
     # the bounds once more on the whole date, which files keep ranges of
     dated = _within(F.col("yyyymmdd"), _text(start), None if end is None else f"{end}~")
     return (
-        gamelogs.where(_within(year, _text(start), _text(end)) & dated)
+        _files_within(gamelogs, start, end)
+        .where(_within(year, _text(start), _text(end)) & dated)
         .select(year.alias("Year"), F.inline(named))
         .groupBy("Year", "Team", "RetroID")
         .agg(*[F.sum(s).alias(s) for s in stats])
@@ -288,3 +294,69 @@ def pitcher_lines(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFra
     lines = _fold_hands(_by_hand(events, metrics))
     kept = [c for c in lines.columns if c not in running]
     return lines.selectExpr(*kept, *RUNNING_COLUMNS)
+
+
+def game_lines(events: DataFrame, pickoff_mode: str = "as_caught") -> DataFrame:
+    """All counts of :func:`pitcher_lines`, :func:`runs_allowed` and :func:`games_pitched`
+    by season, team, game and pitcher, from one reading of the plays.
+
+    A play gives a row to the pitcher responsible, one to the pitcher on the play if that
+    is another, and one to each pitcher charged with a run. ``played`` tells whether the
+    game counts as pitched, ``pitched`` and ``charged`` whether there was such a row.
+    """
+    metrics = {**play_metrics(), **running_metrics(pickoff_mode), "SBO": steal_chances()}
+    scored = F.col("dest") >= K.DESTINATION_SCORED
+
+    def credit(pitcher: str, dest: Column, played: bool, pitched: bool) -> Column:
+        return F.struct(
+            F.col(pitcher).alias("RetroID"), dest.alias("dest"),
+            F.lit(played).alias("played"), F.lit(pitched).alias("pitched"),
+        )
+
+    nothing = F.lit(None).cast("bigint")
+    credits = F.array(
+        credit("resp_pit_id", F.col("bat_dest_id"), True, True),
+        F.when(
+            ~F.col("pit_id").eqNullSafe(F.col("resp_pit_id")), credit("pit_id", nothing, True, False)
+        ),
+        *[credit(f"run{b}_resp_pit_id", F.col(f"run{b}_dest_id"), False, False) for b in BASES],
+    )
+    named = F.filter(
+        credits,
+        lambda c: c.isNotNull() & has_id(c["RetroID"])
+        & (c["played"] | (c["dest"] >= K.DESTINATION_SCORED)),
+    )
+    rows = events.select(
+        season_of().alias("Year"), fielding_team().alias("Team"), "game_id",
+        F.col("resp_bat_hand_cd").alias("hand"),
+        *[value.alias(name) for name, value in metrics.items()],
+        F.inline(named),
+    )
+    own = {name: F.when(F.col("pitched"), F.col(name)) for name in metrics}
+    by_hand = [
+        F.sum(F.when(F.col("hand") == hand, own[name]).otherwise(0)).alias(f"{name}_{hand}")
+        for hand in K.BATTER_HANDS
+        for name in SPLIT_METRICS
+    ]
+    return rows.groupBy("Year", "Team", "game_id", "RetroID").agg(
+        F.max("played").alias("played"), F.max("pitched").alias("pitched"),
+        F.max(F.coalesce(scored, F.lit(False))).alias("charged"),
+        F.sum(one_if(scored)).alias("R"),
+        F.sum(one_if(scored & is_earned(F.col("dest")))).alias("ER"),
+        *[F.sum(value).alias(name) for name, value in own.items()],
+        *by_hand,
+    )
+
+
+def season_lines(games: DataFrame) -> DataFrame:
+    """Sums of :func:`game_lines` by season, team and pitcher with at least one game."""
+    keys = ("Year", "Team", "RetroID")
+    flags = ("played", "pitched", "charged")
+    running = [c for c in running_metrics() if c != "SBO"]
+    sums = [c for c in games.columns if c not in (*keys, *flags, "game_id")]
+    lines = games.groupBy(*keys).agg(
+        F.count_if("played").alias("G"), F.max("pitched").alias("pitched"),
+        F.max("charged").alias("charged"), *[F.sum(c).alias(c) for c in sums],
+    )
+    kept = [c for c in lines.columns if c not in running]
+    return lines.where("G > 0").selectExpr(*kept, *RUNNING_COLUMNS)

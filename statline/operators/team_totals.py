@@ -209,14 +209,22 @@ def fielding_team_seasons(fielding: DataFrame) -> DataFrame:
 
     ``fielding`` holds all positions with a ``pos`` tag. ``n_<pos>`` counts
     rows at a position, so that a team missing one can be told from zeros.
+    Player rows are summed by team and position, one sum for each statistic;
+    positions become columns on the few rows that leaves.
     """
-    sums = []
+    stats = [s.lower() for s in (*K.FIELDING_STATS, *K.CATCHER_STATS)]
+    by_position = (
+        keyed(one_team(fielding), "year", "lg")
+        .groupBy(*[F.col(k.lower()).alias(k) for k in TEAM], "pos")
+        .agg(*[F.sum(s).alias(s) for s in stats], F.count(F.lit(1)).alias("n"))
+    )
+    # a row for each team and position is left: at most one value in each column below
+    wide = []
     for column in positional_columns():
         stat, tag = column.split("_")
-        sums.append(f"sum(CASE WHEN pos = '{tag.lower()}' THEN {stat.lower()} END) AS {column}")
-    sums += [f"count_if(pos = '{pos}') AS n_{pos.upper()}" for pos in K.POSITIONS]
-    keys = [F.col(k.lower()).alias(k) for k in TEAM]
-    return keyed(one_team(fielding), "year", "lg").groupBy(*keys).agg(*map(F.expr, sums))
+        wide.append(f"sum(CASE WHEN pos = '{tag.lower()}' THEN {stat.lower()} END) AS {column}")
+    wide += [f"sum(CASE WHEN pos = '{p}' THEN n ELSE 0 END) AS n_{p.upper()}" for p in K.POSITIONS]
+    return by_position.groupBy(*TEAM).agg(*map(F.expr, wide))
 
 
 def positional_columns() -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statline.operators import claims, leagues, parks, team_totals, win_shares
 from statline.operators.team_totals import LEAGUE, TEAM
-from statline.sources.durable import durable
+from statline.sources.durable import Keep, durable, store_of
 from statline.sources.tables import Tables
 
 
@@ -20,14 +19,29 @@ class FieldingWinShares:
     The stages form a graph in which team-season totals are used many times.
     ``keep`` stores such a total once, after its single pass over the player or
     game rows; everything later reads the small stored rows, whose true sizes
-    plans then know. The default stores in the folder that the session names in
-    ``spark.checkpoint.dir``; without one, as with ``keep=lambda df: df``, the
-    plan is lazy and building it runs nothing.
+    plans then know. The default is the session's :class:`~statline.sources.durable.StageStore`,
+    which two reports over the same files share; ``close`` gives its storage back.
+    With ``keep=lambda df: df`` nothing is stored, and a table is read once for each
+    use: right for a single small total, not for a report.
     """
 
-    def __init__(self, tables: Tables, keep: Callable[[DataFrame], DataFrame] = durable) -> None:
+    def __init__(self, tables: Tables, keep: Keep = durable) -> None:
         self.tables = tables
         self.keep = keep
+        self._scopes: dict[int, FieldingWinShares] = {}
+
+    def of_season(self, year: int) -> FieldingWinShares:
+        """The same stages for one season, from this season's rows alone; for park factors
+        also from the neighbouring seasons' game logs and park dimensions."""
+        if year not in self._scopes:
+            self._scopes[year] = _OneSeason(self.tables, year, self.keep)
+        return self._scopes[year]
+
+    def close(self) -> None:
+        """Clears the store of the session, where this is what ``keep`` stands for."""
+        if self.keep is durable:
+            store_of(self.tables.teams.sparkSession).clear()
+            self.__init__(self.tables, self.keep)
 
     # --- stored totals: one pass over each base table -----------------------
 
@@ -43,6 +57,15 @@ class FieldingWinShares:
     def side_totals(self) -> DataFrame:
         return self.keep(team_totals.side_totals(self.tables.gamelogs))
 
+    @cached_property
+    def codes(self) -> DataFrame:
+        """Team codes, which game logs' and season tables' rows meet by."""
+        return self.keep(self.tables.teams.select("yearid", "lgid", "teamidretro", "teamidbr"))
+
+    @cached_property
+    def park_seasons(self) -> DataFrame:
+        return self.keep(parks.park_seasons(self.tables.parkconfig))
+
     @cached_property
     def book(self) -> DataFrame:
         """Batting, pitching, game-log and fielding totals side by side.
@@ -53,7 +76,7 @@ class FieldingWinShares:
             leagues.team_book(
                 team_totals.team_batting(self.tables.batting),
                 self.team_pitching,
-                team_totals.home_wins_road_losses(self.side_totals, self.tables.teams),
+                team_totals.home_wins_road_losses(self.side_totals, self.codes),
                 self._fielding_record(by_position=True),
             )
         )
@@ -64,13 +87,13 @@ class FieldingWinShares:
     def team_pitching(self) -> DataFrame:
         return team_totals.team_pitching(
             self.pitching_totals,
-            team_totals.opponent_sacrifices(self.side_totals, self.tables.teams),
+            team_totals.opponent_sacrifices(self.side_totals, self.codes),
         )
 
     def _fielding_record(self, by_position: bool) -> DataFrame:
         return team_totals.team_fielding_totals(
             self.fielding_totals,
-            team_totals.team_double_plays(self.side_totals, self.tables.teams),
+            team_totals.team_double_plays(self.side_totals, self.codes),
             by_position,
         )
 
@@ -80,7 +103,8 @@ class FieldingWinShares:
 
     @cached_property
     def park_factors(self) -> DataFrame:
-        return parks.park_factors(self.side_totals, self.tables.parkconfig)
+        counts = parks.vouching_counts(self.park_seasons)
+        return parks.factors_from_counts(self.side_totals, counts)
 
     @cached_property
     def league_totals(self) -> DataFrame:
@@ -106,7 +130,7 @@ class FieldingWinShares:
     def _board1(self) -> DataFrame:
         return win_shares.stage1(
             win_shares.with_league_and_park(
-                self.book, self.league_totals, self.park_factors, self.tables.teams
+                self.book, self.league_totals, self.park_factors, self.codes
             )
         )
 
@@ -152,15 +176,33 @@ class FieldingWinShares:
             self.tables.fielding, self.fielding_totals, self.team_pitching
         )
 
-    def report(self, year: int | None = None, player: str | None = None) -> DataFrame:
-        """Player shares by position, sorted; optionally one season or player."""
-        shares = claims.fielding_shares(
-            self.claim_points,
+    @cached_property
+    def shares(self) -> DataFrame:
+        """Player shares by position. Claim rows are stored and read twice: for their totals
+        by team and position, and one by one."""
+        return claims.fielding_shares(
+            self.keep(self.claim_points),
             self.positional_team_shares,
             team_totals.team_starts(self.pitching_totals),
         )
-        if year is not None:
-            shares = shares.where(F.col("Year") == year)
+
+    def report(self, year: int | None = None, player: str | None = None) -> DataFrame:
+        """Player shares by position, sorted; optionally one season or player.
+
+        One season reads that season's part of the tables only.
+        """
+        shares = self.shares if year is None else self.of_season(year).shares
         if player is not None:
             shares = shares.where(F.col("BBRefID") == player)
         return shares.orderBy("Pos", *LEAGUE, "Tm")
+
+
+class _OneSeason(FieldingWinShares):
+    def __init__(self, tables: Tables, year: int, keep: Keep) -> None:
+        super().__init__(tables.of_seasons(year, year, parks.REACH), keep)
+        self._year = year
+
+    @cached_property
+    def park_factors(self) -> DataFrame:
+        # the neighbours are there for the season's own factors; theirs would lack neighbours
+        return super().park_factors.where(F.col("YearID") == self._year)

@@ -11,10 +11,12 @@ from statline.operators.pitching import (
     SPLIT_METRICS,
     Bound,
     events_in_years,
+    game_lines,
     game_log_decisions,
     games_pitched,
     pitcher_lines,
     runs_allowed,
+    season_lines,
 )
 from statline.sources.tables import Tables
 
@@ -69,19 +71,35 @@ def _report_columns() -> list[str]:
     ]
 
 
+def _lines_of_three_scans(plays: DataFrame, pickoff_mode: str) -> DataFrame:
+    """Counts by the pitcher responsible, runs by the pitcher charged, and distinct games.
+
+    Each reads only its own columns. All three end up hashed on the same three keys, so
+    joining them moves no row again.
+    """
+    lines = pitcher_lines(plays, pickoff_mode).withColumn("pitched", F.lit(True))
+    runs = runs_allowed(plays).withColumn("charged", F.lit(True))
+    return games_pitched(plays).join(lines, KEYS, "left").join(runs, KEYS, "left")
+
+
 def standard_pitching(
-    tables: Tables, start: Bound = None, end: Bound = None, pickoff_mode: str = "as_caught"
+    tables: Tables,
+    start: Bound = None,
+    end: Bound = None,
+    pickoff_mode: str = "as_caught",
+    one_scan: bool = False,
 ) -> DataFrame:
     """One line per pitcher, team and season in ``start``..``end``, by default all, sorted.
 
-    Plays are summed three ways, each reading only its own columns: by the
-    pitcher responsible, by the pitcher charged with each run, and as distinct
-    games. All three and the decisions end up hashed on the same three keys,
-    so joining them moves no row again.
+    By default plays are read three times, a few columns each. With ``one_scan`` they are
+    read once, into sums by game and pitcher that all three kinds of count come from:
+    that shuffles wider rows, some for each game, and pays where reading plays is dear.
     """
     plays = events_in_years(tables.events, start, end)
-    lines = pitcher_lines(plays, pickoff_mode).withColumn("pitched", F.lit(True))
-    runs = runs_allowed(plays).withColumn("charged", F.lit(True))
+    if one_scan:
+        lines = season_lines(game_lines(plays, pickoff_mode))
+    else:
+        lines = _lines_of_three_scans(plays, pickoff_mode)
     decisions = game_log_decisions(tables.gamelogs, start, end)
     people = tables.people.where("name_last IS NOT NULL").selectExpr(
         "key_retro AS RetroID", "name_last", "name_first"
@@ -93,10 +111,7 @@ def standard_pitching(
         "R", "ER", "GS", "W", "L", "SV",
     ]
     board = (
-        games_pitched(plays)
-        .join(lines, KEYS, "left")
-        .join(runs, KEYS, "left")
-        .join(decisions, KEYS, "left")
+        lines.join(decisions, KEYS, "left")
         .withColumn("no_outs", F.col("Outs") == 0)  # before unknown outs are filled
         .na.fill(0, subset=counts)
         .na.fill(False, subset=["pitched", "charged"])

@@ -91,11 +91,10 @@ def _is(*codes: int) -> str:
 
 
 def _card_slot(i: int) -> dict[str, str]:
-    names = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "")  # none for the last
-    table = "".join(f"{name:2}" for name in names)
-    place = f"cast(2*((c + {i}*y) % 9) + 1 as int)"
+    positions = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF")  # and none
+    cases = " ".join(f"when {n} then '{name}'" for n, name in enumerate(positions))
     return {
-        f"pos{i}": f"nullif(rtrim(substr('{table}', {place}, 2)), '')",
+        f"pos{i}": f"case cast((c + {i}*y) % 9 as int) {cases} end",
         f"rg{i}": f"cast(1 + (c*{i}+y) % 5 as varchar(1))",
     }
 

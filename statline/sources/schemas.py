@@ -1,4 +1,4 @@
-"""Columns and types of the base tables, as DDL strings."""
+"""Columns and types of the base tables, in their order."""
 
 from __future__ import annotations
 
@@ -7,54 +7,74 @@ from pyspark.sql import types as T
 from statline.constants import CARD_SLOTS, POSITIONS
 
 
-def _ddl(**groups: str) -> str:
-    """``type="a b c"`` groups to one DDL list, in the order given."""
-    parts = []
-    for kind, names in groups.items():
-        kind = kind.rstrip("_").upper().replace("DECIMAL", "DECIMAL(18,1)")
-        parts += [f"`{name}` {kind}" for name in names.split()]
-    return ", ".join(parts)
-
-
 _BASES = (1, 2, 3)
 
-EVENTS = _ddl(
-    string="game_id",
-    int="bat_home_id",
-    string_="away_team_id pit_id resp_pit_id "
-    + " ".join(f"run{b}_resp_pit_id" for b in _BASES),
-    int_="event_cd h_cd event_outs_ct",
-    bigint="rbi_ct bat_dest_id " + " ".join(f"run{b}_dest_id" for b in _BASES),
-    string__="bat_event_fl ab_fl sh_fl sf_fl dp_fl battedball_cd resp_bat_hand_cd "
-    + " ".join(f"base{b}_run_id" for b in _BASES)
-    + " "
-    + " ".join(f"run{b}_{kind}_fl" for b in _BASES for kind in ("sb", "cs", "pk")),
-)
-GAMELOGS = _ddl(
-    string="yyyymmdd homteam visteam homleague visleague parkid "
-    "homspid visspid winpitid lospitid svpitid",
-    bigint="homscore visscore homhr vishr homsh vissh homsf vissf homdp visdp",
-)
-PEOPLE = _ddl(string="key_retro name_last name_first")
-TEAMS = _ddl(int="yearid", string="lgid teamidretro teamidbr")
-PARKCONFIG = _ddl(
-    int="year", string="parkid retrotm lg", int_="lf_dim cf_dim rf_dim lf_w cf_w rf_w"
-)
-BATTING = _ddl(
-    int="year", string="lg tm pid", bigint="ab r h 2b 3b hr bb so hbp sh sf sb cs"
-)
-PITCHING = _ddl(
-    int="year", string="lg tm name", decimal="ip",
-    bigint="w l gs bf h r er hr hbp bb so wp bk",
-)
-FIELDING = _ddl(
-    int="year", string="lg tm name name-additional", bigint="inn po a e dp pb sb cs"
-)
-CARDS = _ddl(
-    int="year age",
-    string="retroid lastname firstname "
-    + " ".join(f"{c}{i}" for i in range(1, CARD_SLOTS + 1) for c in ("pos", "rg")),
-)
+EVENTS = [
+    "game_id STRING",
+    "bat_home_id INT",
+    "away_team_id STRING",
+    "pit_id STRING",
+    "resp_pit_id STRING",
+    *[f"run{b}_resp_pit_id STRING" for b in _BASES],
+    "event_cd INT",
+    "h_cd INT",
+    "event_outs_ct INT",
+    "rbi_ct BIGINT",
+    "bat_dest_id BIGINT",
+    *[f"run{b}_dest_id BIGINT" for b in _BASES],
+    "bat_event_fl STRING",
+    "ab_fl STRING",
+    "sh_fl STRING",
+    "sf_fl STRING",
+    "dp_fl STRING",
+    "battedball_cd STRING",
+    "resp_bat_hand_cd STRING",
+    *[f"base{b}_run_id STRING" for b in _BASES],
+    *[f"run{b}_{kind}_fl STRING" for b in _BASES for kind in ("sb", "cs", "pk")],
+]
+GAMELOGS = [
+    "yyyymmdd STRING",
+    *[f"{side}team STRING" for side in ("hom", "vis")],
+    *[f"{side}league STRING" for side in ("hom", "vis")],
+    "parkid STRING",
+    *[f"{who}id STRING" for who in ("homsp", "vissp", "winpit", "lospit", "svpit")],
+    *[f"{side}{count} BIGINT" for count in ("score", "hr", "sh", "sf", "dp") for side in ("hom", "vis")],
+]
+PEOPLE = ["key_retro STRING", "name_last STRING", "name_first STRING"]
+TEAMS = ["yearid INT", "lgid STRING", "teamidretro STRING", "teamidbr STRING"]
+PARKCONFIG = [
+    "year INT",
+    "parkid STRING",
+    "retrotm STRING",
+    "lg STRING",
+    *[f"{part} INT" for part in ("lf_dim", "cf_dim", "rf_dim", "lf_w", "cf_w", "rf_w")],
+]
+SEASON = ["year INT", "lg STRING", "tm STRING"]
+BATTING = [
+    *SEASON,
+    "pid STRING",
+    *[f"{s} BIGINT" for s in ("ab", "r", "h", "2b", "3b", "hr", "bb", "so", "hbp", "sh", "sf", "sb", "cs")],
+]
+PITCHING = [
+    *SEASON,
+    "name STRING",
+    "ip DECIMAL(18,1)",
+    *[f"{s} BIGINT" for s in ("w", "l", "gs", "bf", "h", "r", "er", "hr", "hbp", "bb", "so", "wp", "bk")],
+]
+FIELDING = [
+    *SEASON,
+    "name STRING",
+    "name-additional STRING",
+    *[f"{s} BIGINT" for s in ("inn", "po", "a", "e", "dp", "pb", "sb", "cs")],
+]
+CARDS = [
+    "year INT",
+    "age INT",
+    "retroid STRING",
+    "lastname STRING",
+    "firstname STRING",
+    *[f"{kind}{i} STRING" for i in range(1, CARD_SLOTS + 1) for kind in ("pos", "rg")],
+]
 
 DDL = {
     "events": EVENTS,
@@ -70,4 +90,5 @@ DDL = {
 
 
 def schema(name: str) -> T.StructType:
-    return T.StructType.fromDDL(DDL[name])
+    fields = (field.rsplit(" ", 1) for field in DDL[name])
+    return T.StructType.fromDDL(", ".join(f"`{column}` {kind}" for column, kind in fields))

@@ -11,7 +11,7 @@ from build import by, games, table
 from statline import FieldingWinShares
 from statline.constants import PARK_DIMENSIONS, POSITIONS
 from statline.operators import claims, leagues, parks, team_totals
-from statline.sources.durable import durable
+from statline.sources.durable import StageStore
 from statline.sources.sample import SampleTables
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -270,7 +270,7 @@ def test_who_may_claim(spark):
 @pytest.fixture(scope="module")
 def shares(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("stored"))
-    return FieldingWinShares(SampleTables(spark, SF_DIR), keep=lambda df: durable(df, folder))
+    return FieldingWinShares(SampleTables(spark, SF_DIR), keep=StageStore(folder).keep)
 
 
 def close(a, b):
@@ -304,6 +304,20 @@ def test_lazy_and_stored_stages_agree(spark, shares):
     assert by(lazy.stage3, *TEAM) == by(shares.stage3, *TEAM)
 
 
+def test_one_season_from_that_seasons_rows(spark, shares):
+    """Every season's own report is the part of the whole, park factors and all."""
+    every = [tuple(r) for r in shares.report().collect()]
+    seasons = sorted({r[0] for r in every})
+    assert len(seasons) > 3
+    for year in (seasons[0], seasons[2], seasons[-1]):
+        part = shares.of_season(year)
+        mine = [tuple(r) for r in shares.report(year).collect()]
+        assert sorted(map(repr, mine)) == sorted(repr(r) for r in every if r[0] == year)
+        whole = by(shares.park_factors.where(f"YearID = {year}"), "YearID", "Lg", "Tm")
+        assert by(part.park_factors, "YearID", "Lg", "Tm") == whole and whole
+    assert shares.report(1800).count() == 0
+
+
 def test_report_for_one_player(shares):
     every = [r for r in shares.report().collect() if r.Year == 1997 and r.BBRefID == "b07x3"]
     assert every and sorted(shares.report(1997, "b07x3").collect()) == sorted(every)

@@ -1,14 +1,18 @@
+import csv
+from decimal import Decimal
+
 import pytest
-from build import by, plays, table
+from build import CARD, by, plays, table
 from pyspark.sql import functions as F
 
 from statline import Tables, range_by_age, standard_pitching
 from statline.constants import POSITIONS
 from statline.operators.pitching import events_in_years
+from statline.operators.ratings import position_slots
 from statline.sources import durable as d
 from statline.sources.sample import SampleTables
 from statline.sources.schemas import DDL, schema
-from statline.sources.tables import conform, write_report, write_tables
+from statline.sources.tables import conform, read_report, write_report, write_tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -78,12 +82,112 @@ def test_standard_pitching_can_be_stored(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).columns == report.columns
 
 
-def test_durable_stores_in_a_named_folder_only(spark, tmp_path):
-    frame = spark.range(10).withColumn("x", F.col("id") * 2)
-    assert d.durable(frame) is frame or d.named_folder(spark)
-    df = d.durable(frame, str(tmp_path))
-    assert f"{tmp_path}/stored-" in df.inputFiles()[0]
-    assert df.agg(F.sum("x")).first()[0] == 90
+def test_csv_report_comes_back_whole(spark, tmp_path):
+    """All columns of the widest report, typed, in the order of the files."""
+    report = standard_pitching(SampleTables(spark, SF_DIR))
+    assert len(report.columns) == 88
+    write_report(report, str(tmp_path / "p9"))
+    back = read_report(spark, str(tmp_path / "p9"), report.schema)
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in report.schema]
+    assert rows(back) == rows(report)
+    lines = [line for file in sorted((tmp_path / "p9").glob("part-*"))
+             for line in csv.DictReader(file.open(newline=""))]
+    keys = ("Year", "Team", "name_last", "name_first", "RetroID")
+    in_order = [tuple(r[k] for k in keys) for r in report.collect()]
+    assert [tuple(line[k] for k in keys) for line in lines] == in_order and len(in_order) > 100
+
+
+def test_csv_report_with_odd_texts(spark, tmp_path):
+    texts = ["", None, 'say "hi"', '"', "a,b", "two\nlines", "  blanks  ", "back\\slash", '\\"', "é 日本"]
+    kind = "n int, text string, x double, d decimal(18,1), flag boolean, big bigint"
+    values = [(i, t, None if i % 3 else i / 7, None if i % 4 else Decimal(i), None if i % 2 else True, 1 << 60)
+              for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(values, kind)
+    write_report(frame.orderBy("n"), str(tmp_path / "odd"))
+    back = read_report(spark, str(tmp_path / "odd"), frame.schema)
+    assert sorted(map(tuple, back.collect())) == values
+
+
+@pytest.mark.parametrize("kind", ["orc", "json"])
+def test_other_formats_hold_the_same_rows(spark, tmp_path, kind):
+    sample = SampleTables(spark, SF_DIR)
+    for name, attribute in (("gamelogs", "gamelogs"), ("pitching", "pitching"), ("allbatters", "cards")):
+        getattr(sample, attribute).write.format(kind).save(str(tmp_path / name))
+        back = getattr(Tables.from_directory(spark, str(tmp_path), kind), attribute)
+        names = schema(name).names
+        assert rows(back.select(names)) == rows(getattr(sample, attribute).select(names))
+
+
+def test_ranges_of_stored_texts_reach_undeclared_files(spark, tmp_path):
+    cards = [
+        {"pos1": "C", "rg1": "2"}, {"pos1": "C   ", "rg1": "3"}, {"pos2": "C ", "rg2": "4"},
+        {"pos1": "CF", "rg1": "1"}, {"pos1": "", "rg1": "1"}, {"pos1": None}, {"pos3": "c", "rg3": "1"},
+    ]
+    frame = table(spark, "allbatters", [{**CARD, "retroid": str(i), **c} for i, c in enumerate(cards)])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    frame.write.saveAsTable("padded_cards", mode="overwrite", path=str(tmp_path / "catalog"))
+    frame.write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(str(tmp_path / "allbatters"))
+    for source in (
+        Tables.from_catalog(spark, {"allbatters": "padded_cards"}),
+        Tables.from_directory(spark, str(tmp_path), "csv"),
+    ):
+        found = position_slots(source.cards, "C")
+        assert sorted((r.retroid, r.rg) for r in found.collect()) == [("0", 2.0), ("1", 3.0), ("2", 4.0)]
+        text = found._jdf.queryExecution().executedPlan().toString()
+        pushed = text.split("PushedFilters: ")[1].splitlines()[0]
+        assert "GreaterThanOrEqual(pos1,C)" in pushed and "LessThan(pos1,C!)" in pushed, pushed
+    spark.sql("DROP TABLE padded_cards")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+# --- stored stages --------------------------------------------------------------
+
+
+def files_under(path):
+    return [f for f in path.rglob("*") if f.is_file()]
+
+
+def test_a_stage_is_stored_once_for_its_plan_and_files(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.range(10).write.parquet(source)
+    store = d.StageStore(str(tmp_path / "shared"))
+
+    def total():
+        return store.keep(spark.read.parquet(source).groupBy().agg(F.sum("id").alias("s")))
+
+    first = total()
+    held = len(files_under(tmp_path / "shared"))
+    assert f"{tmp_path}/shared/stages/" in first.inputFiles()[0]
+    assert total() is first and len(files_under(tmp_path / "shared")) == held
+    assert store.keep(spark.read.parquet(source).groupBy().agg(F.max("id").alias("s"))) is not first
+    assert first.first()[0] == 45
+    # other rows in the same place are other inputs
+    spark.range(20).write.mode("overwrite").parquet(source)
+    assert total().first()[0] == 190
+    store.clear()
+    assert not files_under(tmp_path / "shared") and total().first()[0] == 190
+
+
+def test_without_a_folder_spark_holds_the_stage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(d, "named_folder", lambda spark: None)
+    source = str(tmp_path / "source")
+    spark.range(10).write.parquet(source)
+    store = d.StageStore()
+
+    def total():
+        return store.keep(spark.read.parquet(source).groupBy().agg(F.sum("id").alias("s")))
+
+    first = total()
+    assert first.is_cached and total() is first and first.first()[0] == 45
+    spark.range(20).write.mode("overwrite").parquet(source)
+    again = total()
+    assert again.first()[0] == 190
+    store.clear()
+    assert not again.is_cached and not store.stages
+
+
+def test_a_session_has_one_store(spark):
+    assert d.store_of(spark) is d.store_of(spark.range(1).sparkSession)
 
 
 def test_sample_people_keys_are_unique(spark):

@@ -139,7 +139,7 @@ _URL_PARTS = r"""
 
 def _rule_cases() -> tuple[str, str]:
     rule = verdict = ""
-    for decision, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+    for decision, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):  # stable: the first of equals
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
         rule += f" WHEN {fits} THEN '{host}{path}'"
         verdict += f" WHEN {fits} THEN '{decision}'"

@@ -115,6 +115,48 @@ def test_full_filter_still_gives_exact_verdicts(spark):
     assert {r["page_id"] for r in got} == set(range(0, 500, 3))
 
 
+def test_filter_grows_with_the_list(spark):
+    assert url_filter.blocks_for(0) == url_filter.blocks_for(5) == url_filter.LEAST_BLOCKS
+    for n in (10_000, 10_000_000, 10**10):
+        blocks = url_filter.blocks_for(n)
+        assert n * url_filter.BITS_AN_URL <= 64 * blocks * 1.01 < 4 * n * url_filter.BITS_AN_URL
+    # most URLs that are not listed do not pass
+    listed = spark.range(0, 40_000).selectExpr("concat('h.org/', id) AS u")
+    others = spark.range(100_000, 140_000).selectExpr("concat('h.org/', id) AS u")
+    blocks = url_filter.blocks_for(40_000)
+    words = url_filter.bloom_filter(listed, "u", blocks)
+    passed = url_filter._probed(others, "u", words, blocks).where("bloom_hit").count()
+    assert passed < 0.05 * 40_000
+    assert url_filter._probed(listed, "u", words, blocks).where("bloom_hit").count() == 40_000
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_hot_repeated_and_very_long_urls(spark, most, monkeypatch):
+    """With a broadcast filter and with one dealt out by block."""
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    long = "http://long.org/" + "x/" * 50_000 + "end"
+    rows = [(i, "http://hot.org/a") for i in range(3000)] + [(3000, "http://hot.org/a")] * 20
+    rows += [(4000 + i, f"http://cold.org/{i}") for i in range(900)] + [(9000, long), (9001, long + "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    names = ["hot.org/a", "cold.org/7", "cold.org/7", "absent.org", None, long.removeprefix("http://")]
+    listed = spark.createDataFrame([(n,) for n in names], "u string")
+    judged = url_filter.judge_urls(pages, listed)
+    assert judged.count() == len(rows)
+    found = sorted(r["page_id"] for r in judged.where("is_listed").collect())
+    assert found == sorted([*range(3000), *[3000] * 20, 4007, 9000])
+    assert judged.where("page_id = 9000").first()["path"] == long.removeprefix("http://long.org")
+
+
+def test_of_equally_long_rules_the_first_decides(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.org/x/y")], "page_id long, url string")
+    nothing = spark.createDataFrame([], "u string")
+    rules = [("allow", "b.org", "/x/y"), ("block", "a.b.org", "/x")]
+    for first, last in (rules, rules[::-1]):
+        assert len(first[1] + first[2]) == len(last[1] + last[2])
+        found = url_filter.judge_urls(pages, nothing, (first, last)).first()
+        assert (found["verdict"], found["rule"]) == (first[0], first[1] + first[2])
+
+
 # --- toxicity -----------------------------------------------------------------
 
 

@@ -11,21 +11,31 @@ learn which ones are shared.
 
 The index. Around a shared anchor lie all strings it is the anchor of, within 76
 bytes: its context. Contexts of a bucket, each different one once with the smallest
-id it occurs in, make a small repetitive corpus. Its transform is built column by
-column from the right: contexts in the order of what follows a column are sorted,
-stably, by the byte in it. That byte column is the transform's, and its runs of
-equal bytes are what is worked on. Inside a run the match of neighbours gets one
-byte longer; only where a run starts are the two contexts sampled there compared.
-So matching statistics stream through the columns, and wherever neighbours match for
-50 bytes they hold the same string: the smallest id of such a stretch decides.
+id it occurs in, make a small repetitive corpus, in which anchors stand in one column.
+Its transform is built column by column from the right: contexts in the order of what
+follows a column give up the byte in it, and runs of equal bytes are all that is kept
+of that: a run's byte, its start, where it goes in the next order, and the contexts
+sampled at its two ends. Sorting a column means sorting its runs. In a run the
+match of neighbours gets one byte longer; only where runs meet are the contexts
+sampled there compared. Neighbours that match for 50 bytes hold the same string: of
+each such stretch the index keeps the start and the smallest id (:class:`RunIndex`).
+
+Matching statistics. The contexts of every batch are streamed against the index, all
+side by side, from their last byte to the first: inside a run of its byte a context
+follows the run, elsewhere it goes on from the sampled end of the nearer run of its
+byte, by comparing bytes. Where its longest match reaches 50 bytes, the stretch it
+stands in tells the smallest id that has the string.
 
 The transform is made of many small ones, as a single one over a corpus of
 terabytes could only be sorted by one machine. Anchors found in very many documents
 send each string on its own, to the bucket of its hash, so no bucket fills up with
-one passage. Every comparison that decides is of bytes; hashes only bring together.
+one passage. Buckets get each context of a batch once, and answer with the strings of
+it to remove: places of contexts never leave their batch, which finds them again when
+it cuts. So a passage that is in all documents is one context a batch. Every
+comparison that decides is of bytes; hashes only bring together.
 
 Documents are dealt to batches by hash and sorted in them, so whatever is computed
-again after a loss comes out the same.
+again after a loss comes out the same. Equal rows, of one id and text, share a batch.
 
 Defined results: a null text is an empty one; a null id counts as smaller than all
 others; rows with the same id never remove from each other, equal rows get equal
@@ -39,12 +49,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statline.llm.common import gathered
+
 LENGTH, PIECE = 50, 24
 OFFSETS = LENGTH - PIECE + 1  # places of an anchor in its string
 CONTEXT = LENGTH + OFFSETS - 1  # bytes around an anchor that its strings cover
@@ -167,7 +181,7 @@ def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_lists(buckets: int):
-    """Of a batch: each bucket's anchor hashes, with the number of documents (255 at most)."""
+    """Of a batch: each bucket's anchor hashes, with the number of documents (65535 at most)."""
 
     def run(table: pa.Table) -> pa.Table:
         batch, keys, docs = Batch(table), [], []
@@ -180,11 +194,11 @@ def _anchor_lists(buckets: int):
         new = np.r_[True, key[1:] != key[:-1]][: len(key)]
         first = np.flatnonzero(new)
         fresh = new | np.r_[True, doc[1:] != doc[:-1]][: len(key)]
-        many = np.minimum(np.add.reduceat(fresh, first, dtype=np.int64), 255) if len(key) else fresh
+        many = np.minimum(np.add.reduceat(fresh, first, dtype=np.int64), 65_535) if len(key) else fresh
         key = key[first]
         ends, bucket = _split(key)
         cuts = list(zip(ends, ends[1:]))
-        low, many = key.astype(np.uint32), many.astype(np.uint8)
+        low, many = key.astype(np.uint32), many.astype(np.uint16)
         return pa.table({
             "bucket": pa.array(bucket, pa.int64()),
             "batch": pa.array([table.column("batch")[0].as_py()] * len(cuts), pa.int32()),
@@ -198,7 +212,7 @@ def _anchor_lists(buckets: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket: for each batch the anchors that two documents have, and which are hot."""
     parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("docs")])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("docs")])
     source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     key = np.concatenate(parts)
     order = np.argsort(key, kind="stable")
@@ -221,75 +235,104 @@ def _shared(table: pa.Table) -> pa.Table:
     })
 
 
+@dataclass
+class Contexts:
+    """A batch's different contexts, by bucket, and where in its documents they occur."""
+
+    bucket: np.ndarray
+    rows: np.ndarray
+    ids: np.ndarray  # the smallest of each
+    offsets: np.ndarray  # first and last offset of the anchor in the context's strings
+    # by place
+    context: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray  # of the anchor
+    later: np.ndarray  # whether the document's id is larger than the context's smallest
+
+    def cuts(self) -> list[tuple[int, int]]:
+        """Where each bucket's contexts start and end."""
+        edges = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1], True])
+        return list(zip(edges[:-1].tolist(), edges[1:].tolist())) if len(self.bucket) else []
+
+
+def _contexts(batch: Batch, shared: pa.Table, buckets: int) -> Contexts | None:
+    """Contexts around the shared anchors; the same each time it is asked."""
+    if not shared.num_rows:
+        return None
+    known = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in shared.column("keys")])
+    hot = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in shared.column("hot")])
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
+    found = []
+    for anchors, doc, start in batch.slices():
+        key = _bucketed(anchors.hash, buckets)
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        some = np.flatnonzero(known[place] == key)
+        many = np.where(hot[place[some]] > 0, anchors.high[some] - anchors.low[some] + 1, 1)
+        # a hot anchor's strings one by one, another's all together
+        alone = np.repeat(hot[place[some]] > 0, many)
+        some = np.repeat(some, many)
+        step = np.arange(len(some)) - np.repeat(np.cumsum(many) - many, many)
+        low = np.where(alone, anchors.low[some] + step, anchors.low[some])
+        high = np.where(alone, low, anchors.high[some])
+        rows = anchors.contexts(some, low, high)
+        words = rows.view(np.uint64)
+        digest = np.zeros(len(rows), np.uint64)
+        for i in range(ROW // 8):
+            digest = _mix((digest ^ words[:, i]) * WORD_HASH[i])
+        to = np.where(alone, _bucketed(digest, buckets), key[some]) >> np.uint64(32)
+        piece = anchors.piece[some]
+        shift = start[piece] - anchors.start[piece]
+        offsets = np.stack([anchors.at[some] - high, anchors.at[some] - low], axis=1)
+        found.append((to.astype(np.int64), digest, rows, offsets.astype(np.uint8),
+                      doc[piece].astype(np.int32), (anchors.at[some] + shift).astype(np.int32)))
+    to, digest, rows, offsets, doc, at = [np.concatenate(x) for x in zip(*found)]
+    # equal contexts of other strings are others
+    digest = _mix(digest ^ (offsets[:, 0].astype(np.uint64) << np.uint64(8) | offsets[:, 1]))
+    ids = batch.ids[doc]
+    order = np.lexsort((ids, digest, to))
+    to, digest, doc, at, ids = to[order], digest[order], doc[order], at[order], ids[order]
+    first = np.r_[True, (to[1:] != to[:-1]) | (digest[1:] != digest[:-1])][: len(order)]
+    group = np.cumsum(first) - 1
+    head = np.flatnonzero(first)
+    odd = (rows[order] != rows[order[head[group]]]).any(axis=1) if len(order) else first
+    if odd.any():  # a hash of two contexts: all of its rows on their own
+        first |= np.isin(group, group[odd])
+        group, head = np.cumsum(first) - 1, np.flatnonzero(first)
+    return Contexts(
+        bucket=to[head], rows=rows[order[head]], ids=ids[head], offsets=offsets[order[head]],
+        context=group, doc=doc, at=at, later=ids > ids[head][group],
+    )
+
+
 def _context_lists(buckets: int):
-    """Of a batch: for each bucket its different contexts and where they occur."""
+    """Of a batch: for each bucket its different contexts."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        if not docs.num_rows or not shared.num_rows:
+        found = _contexts(Batch(docs), shared, buckets) if docs.num_rows else None
+        if found is None:
             return LISTS.empty_table()
-        known = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in shared.column("keys")])
-        hot = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in shared.column("hot")])
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
-        batch, found = Batch(docs), []
-        for anchors, doc, start in batch.slices():
-            key = _bucketed(anchors.hash, buckets)
-            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            some = np.flatnonzero(known[place] == key)
-            many = np.where(hot[place[some]] > 0, anchors.high[some] - anchors.low[some] + 1, 1)
-            # a hot anchor's strings one by one, another's all together
-            some, one = np.repeat(some, many), np.repeat(many > 1, many)
-            step = np.arange(len(some)) - np.repeat(np.cumsum(many) - many, many)
-            low = np.where(one, anchors.low[some] + step, anchors.low[some])
-            high = np.where(one, low, anchors.high[some])
-            rows = anchors.contexts(some, low, high)
-            words = rows.view(np.uint64)
-            digest = np.zeros(len(rows), np.uint64)
-            for i in range(ROW // 8):
-                digest = _mix((digest ^ words[:, i]) * WORD_HASH[i])
-            alone = (hot[place] > 0)[some]
-            to = np.where(alone, _bucketed(digest, buckets) >> np.uint64(32), key[some] >> np.uint64(32))
-            piece = anchors.piece[some]
-            shift = start[piece] - anchors.start[piece]
-            offsets = np.stack([anchors.at[some] - high, anchors.at[some] - low], axis=1)
-            found.append((to, digest, rows, offsets.astype(np.uint8), doc[piece].astype(np.int32),
-                          (anchors.at[some] + shift).astype(np.int32)))
-        to, digest, rows, offsets, doc, at = [np.concatenate(x) for x in zip(*found)]
-        ids = batch.ids[doc]
-        order = np.lexsort((ids, digest, to))
-        to, digest, doc, at, ids = to[order], digest[order], doc[order], at[order], ids[order]
-        first = np.r_[True, (to[1:] != to[:-1]) | (digest[1:] != digest[:-1])][: len(order)]
-        group = np.cumsum(first) - 1
-        head = np.flatnonzero(first)
-        odd = (rows[order] != rows[order[head[group]]]).any(axis=1) if len(order) else first
-        if odd.any():  # a hash of two contexts: all of its rows on their own
-            first |= np.isin(group, group[odd])
-            group, head = np.cumsum(first) - 1, np.flatnonzero(first)
-        later = (ids > ids[head][group]).astype(np.uint8)
-        codec, out = pa.Codec("zstd", compression_level=1), []
-        ends = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, int)
-        for a, b in zip(ends, ends[1:]):
-            u = head[np.searchsorted(head, a) : np.searchsorted(head, b)]
-            parts = [rows[order[u]], ids[u], offsets[order[u]], (group[a:b] - group[a]).astype(np.int32),
-                     doc[a:b], at[a:b], later[a:b]]
+        codec = pa.Codec("zstd", compression_level=1)
+        out = []
+        for a, b in found.cuts():
+            parts = [found.rows[a:b], found.ids[a:b], found.offsets[a:b]]
             raw = b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
-            out.append((int(to[a]), len(u), int(b - a), codec.compress(raw, asbytes=True)))
-        columns = list(zip(*out)) or [[], [], [], []]
+            out.append((int(found.bucket[a]), b - a, codec.compress(raw, asbytes=True)))
+        columns = list(zip(*out)) or [[], [], []]
         return pa.table([
             pa.array(columns[0], pa.int64()), pa.array([docs.column("batch")[0].as_py()] * len(out), pa.int32()),
-            pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), _binary(list(columns[3])),
+            pa.array(columns[1], pa.int32()), _binary(list(columns[2])),
         ], schema=LISTS)
 
     return run
 
 
 LISTS = pa.schema([("bucket", pa.int64()), ("batch", pa.int32()), ("different", pa.int32()),
-                   ("places", pa.int32()), ("packed", pa.binary())])
+                   ("packed", pa.binary())])
 
 
-def _unpacked(packed: bytes, different: int, places: int) -> list[np.ndarray]:
-    shapes = [(np.uint8, (different, ROW)), (np.int64, (different,)), (np.uint8, (different, 2)),
-              (np.int32, (places,)), (np.int32, (places,)), (np.int32, (places,)), (np.uint8, (places,))]
+def _unpacked(packed: bytes, different: int) -> list[np.ndarray]:
+    shapes = [(np.uint8, (different, ROW)), (np.int64, (different,)), (np.uint8, (different, 2))]
     sizes = [np.dtype(kind).itemsize * math.prod(shape) for kind, shape in shapes]
     raw = pa.Codec("zstd").decompress(packed, sum(sizes), asbytes=True)
     ends = np.cumsum(sizes)
@@ -299,52 +342,135 @@ def _unpacked(packed: bytes, different: int, places: int) -> list[np.ndarray]:
     ]
 
 
-def _agree(rows: np.ndarray, a: np.ndarray, b: np.ndarray, column: int) -> np.ndarray:
-    """For how many bytes from ``column`` on contexts ``a`` and ``b`` agree."""
-    differ = rows[a, column:CONTEXT] != rows[b, column:CONTEXT]
+def _agree(a: np.ndarray, b: np.ndarray, column: int) -> np.ndarray:
+    """For how many bytes from ``column`` on the rows of ``a`` and ``b`` agree."""
+    differ = a[:, column:CONTEXT] != b[:, column:CONTEXT]
     return np.where(differ.any(axis=1), differ.argmax(axis=1), CONTEXT - column)
 
 
-def smallest_ids(rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The smallest id that has each string, by context and offset of the anchor in the string.
+@dataclass
+class Column:
+    """One column of the transform: its runs of equal bytes, in the order of what follows."""
+
+    start: np.ndarray
+    byte: np.ndarray
+    to: np.ndarray  # where the run starts in the order that includes this column
+    head: np.ndarray  # contexts sampled at its ends
+    tail: np.ndarray
+    by_byte: np.ndarray  # runs by byte, then place
+    key: np.ndarray  # (byte, run) in that order, as one number
+    # of the order that includes this column, where an offset belongs to it:
+    stretch: np.ndarray | None  # starts of stretches that agree for LENGTH bytes
+    least: np.ndarray | None  # the smallest id with a string there
 
-    ``rows`` are different contexts and ``ids`` the smallest id of each. Strings are
-    looked at where ``offsets`` (first, last) of a context allow.
+
+NOBODY = np.iinfo(np.int64).max
+
+
+class RunIndex:
+    """Run-length transform of different contexts, with samples at run ends.
+
+    ``ids`` are the smallest id of each context; ``offsets`` (first, last) say which
+    strings of a context count. What is kept grows with the runs and the stretches of
+    equal strings, not with the contexts; these themselves stay for comparisons at run
+    ends.
     """
-    n = len(rows)
-    smallest = np.full((n, OFFSETS), np.iinfo(np.int64).max)
-    columns = np.ascontiguousarray(rows.T)
-    order = np.arange(n)
-    for column in range(CONTEXT - 1, OFFSETS - 1, -1):
-        order = order[np.argsort(columns[column][order], kind="stable")]
-    match = np.zeros(n, np.int64)  # bytes from the column on that agree with the one before
-    for column in range(OFFSETS - 1, -1, -1):
-        transform = columns[column][order]  # what precedes each context's rest, in its order
-        by_byte = np.argsort(transform, kind="stable")
-        moved = transform[by_byte]
-        in_run = np.r_[False, (by_byte[1:] == by_byte[:-1] + 1) & (moved[1:] == moved[:-1])]
-        order = order[by_byte]
-        if column == OFFSETS - 1:
-            match = np.r_[0, _agree(rows, order[1:], order[:-1], column)]
-        else:
-            match = np.where(in_run, match[by_byte] + 1, 0)
-            # where another run starts: the contexts sampled at its ends
-            start = np.flatnonzero(~in_run & np.r_[False, moved[1:] == moved[:-1]])
-            match[start] = _agree(rows, order[start], order[start - 1], column)
-        offset = OFFSETS - 1 - column
-        mine = (offsets[order, 0] <= offset) & (offset <= offsets[order, 1])
-        here = np.where(mine, ids[order], np.iinfo(np.int64).max)
-        first = np.flatnonzero(match < LENGTH)
-        least = np.minimum.reduceat(here, first)
-        smallest[order, offset] = np.repeat(least, np.diff(np.r_[first, n]))
-    return smallest
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        n = len(rows)
+        self.rows, self.columns = rows, [None] * CONTEXT
+        columns = np.ascontiguousarray(rows.T)
+        order, match = np.arange(n), np.zeros(n, np.int64)
+        for column in range(CONTEXT - 1, -1, -1):
+            transform = columns[column][order]
+            start = np.flatnonzero(np.r_[True, transform[1:] != transform[:-1]])
+            size = np.diff(np.r_[start, n])
+            byte, head, tail = transform[start], order[start], order[start + size - 1]
+            by_byte = np.argsort(byte, kind="stable")
+            to = np.empty(len(start), np.int64)
+            to[by_byte] = np.cumsum(size[by_byte]) - size[by_byte]
+            moved = gathered(start[by_byte], size[by_byte])[0]
+            order, match = order[moved], match[moved] + 1
+            # where a run follows another of its byte: the contexts at the ends that meet
+            match[to] = 0
+            meet = by_byte[1:][byte[by_byte[1:]] == byte[by_byte[:-1]]]
+            before = by_byte[:-1][byte[by_byte[1:]] == byte[by_byte[:-1]]]
+            match[to[meet]] = _agree(rows[head[meet]], rows[tail[before]], column)
+            stretch = least = None
+            offset = OFFSETS - 1 - column
+            if offset >= 0:
+                mine = (offsets[order, 0] <= offset) & (offset <= offsets[order, 1])
+                stretch = np.flatnonzero(match < LENGTH)
+                least = np.minimum.reduceat(np.where(mine, ids[order], NOBODY), stretch)
+            self.columns[column] = Column(
+                start=start, byte=byte, to=to, head=head, tail=tail, by_byte=by_byte,
+                key=(byte.astype(np.int64) * len(start) + np.arange(len(start)))[by_byte],
+                stretch=stretch, least=least,
+            )
+
+    @property
+    def size(self) -> int:
+        """Runs and stretches that are kept."""
+        return sum(len(c.start) + (0 if c.stretch is None else len(c.stretch)) for c in self.columns)
+
+    def stream(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of any contexts: how far each agrees with the index from each column on, at most,
+        and the smallest id that has the string at each offset of the anchor."""
+        n = len(rows)
+        length = np.zeros((n, CONTEXT), np.int64)
+        smallest = np.full((n, OFFSETS), NOBODY)
+        at, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        bytes_of = np.ascontiguousarray(rows.T)
+        for column in range(CONTEXT - 1, -1, -1):
+            here, byte = self.columns[column], bytes_of[column]
+            run = np.searchsorted(here.start, at, side="right") - 1
+            inside = here.byte[run] == byte
+            at = np.where(inside, here.to[run] + at - here.start[run], 0)
+            known = np.where(inside, known + 1, 0)
+            out = np.flatnonzero(~inside)
+            if len(out):
+                at[out], known[out] = self._nearest(here, column, rows[out], byte[out], run[out])
+            length[:, column] = known
+            offset = OFFSETS - 1 - column
+            if offset >= 0:
+                found = here.least[np.searchsorted(here.stretch, at, side="right") - 1]
+                smallest[:, offset] = np.where(known >= LENGTH, found, NOBODY)
+        return length, smallest
+
+    def _nearest(
+        self, here: Column, column: int, rows: np.ndarray, byte: np.ndarray, run: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """From places in runs of other bytes to the nearer end of a run of their byte: place
+        in the next order and agreement, 0 where there is no such run."""
+        runs = len(here.start)
+        after = np.searchsorted(here.key, byte.astype(np.int64) * runs + run)
+        last = np.r_[here.start[1:], here.start[-1] + 1]  # the last run's end does not matter below
+        at, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for side, sample in ((after, here.head), (after - 1, here.tail)):
+            there = np.clip(side, 0, runs - 1)
+            other = here.by_byte[there]
+            fits = (side >= 0) & (side < runs) & (here.byte[other] == byte)
+            fits = np.flatnonzero(fits)
+            other = other[fits]
+            agree = _agree(rows[fits], self.rows[sample[other]], column)
+            better = agree > known[fits]
+            place = here.to[other]
+            if sample is here.tail:  # a run before another one: its length is known
+                place = place + last[other] - here.start[other] - 1
+            at[fits[better]], known[fits[better]] = place[better], agree[better]
+        return at, known
+
+
+def smallest_ids(rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The smallest id that has each string, by context and offset of the anchor in the string."""
+    return RunIndex(rows, ids, offsets).stream(rows)[1]
 
 
 def _removals(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each batch (document, anchor's place, offsets of strings to remove)."""
-    batches = table.column("batch").to_pylist()
+    """Of a bucket: for each batch the offsets, as bits, of each context's strings to remove."""
+    bucket, batches = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
     lists = [
-        _unpacked(*[table.column(c)[i].as_py() for c in ("packed", "different", "places")])
+        _unpacked(*[table.column(c)[i].as_py() for c in ("packed", "different")])
         for i in range(table.num_rows)
     ]
     rows = np.concatenate([x[0] for x in lists])
@@ -354,45 +480,60 @@ def _removals(table: pa.Table) -> pa.Table:
     both = np.concatenate([rows, offsets], axis=1)
     key = np.ascontiguousarray(both).view(np.dtype((np.void, both.shape[1]))).ravel()
     order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    first, group = np.flatnonzero(new), np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     least = np.minimum.reduceat(ids[order], first)
-    smallest = smallest_ids(rows[order[first]], least, offsets[order[first]])
-    bits = np.uint32(1) << np.arange(OFFSETS, dtype=np.uint32)
-    at, out = 0, []
-    for batch, (own, own_ids, own_offsets, context, doc, place, later) in zip(batches, lists):
-        of = group[at : at + len(own)]
-        at += len(own)
-        span = np.arange(OFFSETS)
-        every = (span >= own_offsets[:, :1]) & (span <= own_offsets[:, 1:])
-        gone = every & (smallest[of] < own_ids[:, None])
-        masks = [np.where(x, bits, np.uint32(0)).sum(axis=1, dtype=np.uint32) for x in (gone, every)]
-        mask = np.where(later > 0, masks[1][context], masks[0][context])
-        keep = mask > 0
-        if keep.any():
-            arrays = [x[keep] for x in (doc, place, mask)]
-            out.append((batch, *[np.ascontiguousarray(x).tobytes() for x in arrays]))
-    columns = list(zip(*out)) or [[], [], [], []]
-    return pa.table(
-        [pa.array(columns[0], pa.int32()), *[_binary(list(c)) for c in columns[1:]]],
-        names=["batch", "doc", "place", "mask"],
+    index = RunIndex(rows[order[first]], least, offsets[order[first]])
+    masks = []
+    for own, own_ids, own_offsets in lists:
+        smallest = index.stream(own)[1]
+        masks.append(_bits(_within(own_offsets) & (smallest < own_ids[:, None])).tobytes())
+    return pa.table({
+        "batch": pa.array(batches, pa.int32()), "bucket": pa.array([bucket] * len(lists), pa.int64()),
+        "masks": _binary(masks),
+    })
+
+
+def _within(offsets: np.ndarray) -> np.ndarray:
+    """Which offsets lie in each range."""
+    span = np.arange(OFFSETS)
+    return (span >= offsets[:, :1]) & (span <= offsets[:, 1:])
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as one number each."""
+    return np.where(flags, np.uint32(1) << np.arange(OFFSETS, dtype=np.uint32), np.uint32(0)).sum(
+        axis=1, dtype=np.uint32
     )
 
 
-def _cut(with_kept: bool):
+def _strings_to_remove(
+    batch: Batch, told: pa.Table, buckets: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place of the anchor, offsets as bits) of a batch, by document."""
+    is_answer = told.column("masks").is_valid()
+    found = _contexts(batch, told.filter(pc.invert(is_answer)), buckets)
+    if found is None:
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint32)
+    answers = told.filter(is_answer)
+    by_bucket = {
+        b: np.frombuffer(m.as_py(), np.uint32)
+        for b, m in zip(answers.column("bucket").to_pylist(), answers.column("masks"))
+    }
+    parts = [by_bucket[int(found.bucket[a])] for a, _ in found.cuts()]
+    gone = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    # a later document loses all strings of a context that an earlier one has
+    mask = np.where(found.later, _bits(_within(found.offsets))[found.context], gone[found.context])
+    keep = np.flatnonzero(mask)
+    keep = keep[np.argsort(found.doc[keep], kind="stable")]
+    return found.doc[keep], found.at[keep].astype(np.int64), mask[keep]
+
+
+def _cut(with_kept: bool, buckets: int):
     """Of a batch: what each document loses."""
 
-    def run(docs: pa.Table, removals: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         batch = Batch(docs)
-        kinds = (("doc", np.int32), ("place", np.int32), ("mask", np.uint32))
-        doc, place, mask = [
-            np.concatenate([np.frombuffer(x.as_py(), kind) for x in removals.column(name)])
-            if removals.num_rows else np.empty(0, kind)
-            for name, kind in kinds
-        ]
-        order = np.argsort(doc, kind="stable")
-        doc, place, mask = doc[order], place[order].astype(np.int64), mask[order]
+        doc, place, mask = _strings_to_remove(batch, told, buckets)
         ends = np.searchsorted(doc, np.arange(len(batch.order) + 1))
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "spans", "kept_sha256", "kept")}
         for i in range(len(batch.order)):
@@ -445,15 +586,13 @@ def remove_repeats(
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "batch int, keys binary, hot binary")
     contexts = (
         rows.groupBy("batch").cogroup(shared.groupBy("batch"))
-        .applyInArrow(_context_lists(buckets),
-                      "bucket long, batch int, different int, places int, packed binary")
+        .applyInArrow(_context_lists(buckets), "bucket long, batch int, different int, packed binary")
     )
-    removals = contexts.groupBy("bucket").applyInArrow(
-        _removals, "batch int, doc binary, place binary, mask binary"
-    )
+    answers = contexts.groupBy("bucket").applyInArrow(_removals, "batch int, bucket long, masks binary")
+    told = shared.unionByName(answers, allowMissingColumns=True)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    cut = rows.groupBy("batch").cogroup(removals.groupBy("batch")).applyInArrow(
-        _cut(with_kept),
+    cut = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
+        _cut(with_kept, buckets),
         f"doc {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, "
         "kept_sha256 string, kept binary",
     )

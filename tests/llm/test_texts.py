@@ -157,6 +157,89 @@ def test_passages_of_odd_rows(odd_docs, no_docs):
     assert run_length_dedup.remove_repeats(no_docs).count() == 0
 
 
+def contexts_of_passages(rng, passages, variants, changes):
+    """Different rows of bytes: changed copies of a few passages."""
+    width = run_length_dedup.CONTEXT
+    base = rng.integers(97, 101, (passages, run_length_dedup.ROW)).astype(np.uint8)
+    rows = base[rng.integers(0, passages, variants)].copy()
+    for row in rows:
+        row[rng.integers(0, width, rng.integers(0, changes + 1))] = rng.integers(97, 123)
+    rows[:, width:] = 0
+    return np.unique(rows, axis=0)
+
+
+def test_matching_statistics_by_brute_force():
+    rng = np.random.default_rng(1)
+    width, offsets = run_length_dedup.CONTEXT, run_length_dedup.OFFSETS
+    rows = contexts_of_passages(rng, 4, 150, 2)
+    ids = rng.integers(0, 40, len(rows))
+    allowed = np.sort(rng.integers(0, offsets, (len(rows), 2)), axis=1).astype(np.uint8)
+    asked = np.concatenate([rows, contexts_of_passages(rng, 3, 40, 3), rows[::4].copy()])
+    asked[-20:, 40] = 255  # a byte that no run has
+    length, smallest = run_length_dedup.RunIndex(rows, ids, allowed).stream(asked)
+    for i, pattern in enumerate(asked):
+        for column in range(width):
+            equal = rows[:, column:width] == pattern[column:width]
+            agree = np.where(equal.all(axis=1), width - column, (~equal).argmax(axis=1))
+            assert length[i, column] == agree.max()
+            offset = offsets - 1 - column
+            if offset >= 0:
+                fits = (agree >= 50) & (allowed[:, 0] <= offset) & (offset <= allowed[:, 1])
+                assert smallest[i, offset] == (ids[fits].min() if fits.any() else run_length_dedup.NOBODY)
+
+
+def test_index_size_follows_the_runs():
+    """Contexts that differ in their first byte add a run each, others one in most columns."""
+    rng = np.random.default_rng(2)
+    width, offsets = run_length_dedup.CONTEXT, run_length_dedup.OFFSETS
+
+    def index(rows):
+        rows[:, width:] = 0
+        every = np.tile(np.array([[0, offsets - 1]], np.uint8), (len(rows), 1))
+        return run_length_dedup.RunIndex(rows, np.arange(len(rows)), every)
+
+    def alike(n):
+        rows = np.repeat(rng.integers(97, 123, (1, run_length_dedup.ROW)).astype(np.uint8), n, axis=0)
+        rows[:, 0] = np.arange(n)
+        return index(rows)
+
+    few, many = alike(20), alike(200)
+    assert few.size <= width + offsets + 2 * 20 and many.size <= width + offsets + 2 * 200
+    strange = index(rng.integers(97, 123, (200, run_length_dedup.ROW)).astype(np.uint8))
+    assert strange.size > 40 * many.size
+
+
+def test_a_passage_of_all_documents_is_one_context_a_batch(spark):
+    """What leaves a batch does not grow with the places that a passage has."""
+    import pyarrow as pa
+
+    passage = "".join(random.Random(3).choices("abcdefgh ", k=130))
+    texts = [f"{passage}{i:05d}" for i in range(600)]
+    tables = [
+        pa.table({"doc": range(n), "id": range(n), "tag": range(n), "body": [t.encode() for t in texts[:n]],
+                  "batch": pa.array([0] * n, pa.int32())})
+        for n in (60, 600)
+    ]
+    sizes = []
+    for docs in tables:
+        lists = run_length_dedup._anchor_lists(1)(docs)
+        shared = run_length_dedup._shared(lists.select(["bucket", "batch", "keys", "docs"]))
+        contexts = run_length_dedup._context_lists(1)(docs, shared)
+        sizes.append(sum(contexts.column("different").to_pylist()))
+    assert sizes[1] - sizes[0] <= 3 * 540  # the ends that differ, not 3 anchors a text more
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(df, batch_bytes=1 << 14, bucket_bytes=1 << 14) == passages_by_brute_force(rows)
+
+
+def test_ten_thousand_equal_rows(spark):
+    text = "".join(random.Random(9).choices("abcdefgh ", k=120))
+    rows = [(7, text)] * 10_000 + [(8, "x" + text), (3, text[:70])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = run_length_dedup.remove_repeats(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in found} == {(7, 70, 10_000), (8, 120, 1), (3, 0, 1)}
+
+
 # --- secrets ------------------------------------------------------------------
 
 PATTERNS = (

@@ -77,8 +77,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_text(docs))
-    return coded.select("doc_id", "ids", "decoded")
+    return sentencepiece_codec.encode_and_decode(docs).select("doc_id", "ids", "decoded")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from statline.llm.common import bytes_of, column_of, gathered, text_slices
 from statline.llm.vocabulary import MARK, MODEL, Vocabulary, distinct_words, load, words_of
 
-TEXT_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 19  # bytes, ids: of whole rows
-LONGEST, AT_ONCE = 64, 1 << 17  # bytes of a word, and of words, that are looked at side by side
+TEXT_AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 18  # bytes, ids: of whole rows
+LONGEST, AT_ONCE = 64, 1 << 16  # bytes of a word, and of words, that are looked at side by side
 
 
 class DoubleArrayTrie:
@@ -300,35 +300,56 @@ class Codec:
 
 
 def _mapped(
-    docs: DataFrame, source: str, name: str, kind: T.DataType, model: str, size: int,
-    make: Callable[[Codec], Callable[[pa.Array], pa.Array]],
+    docs: DataFrame, source: str, added: dict[str, T.DataType], model: str, size: int,
+    make: Callable[[Codec], Callable[[pa.Array], list[pa.Array]]],
 ) -> DataFrame:
     codec = Codec(load(model))  # Spark broadcasts what is large in a function
-    if name != source:
-        docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+    docs = docs.drop(*[name for name in added if name != source])
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, added.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = make(codec)
+        columns = make(codec)
         for batch in text_slices(batches, source, 4096, size):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, column(batch.column(source))], names=[*batch.schema.names, name]
+                [*batch.columns, *columns(batch.column(source))], names=[*batch.schema.names, *added]
             )
 
     return docs.mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
 def encode_text(
     docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL
 ) -> DataFrame:
     """``docs`` with the array ``ids`` of piece ids of ``text``."""
-    kind = T.ArrayType(T.IntegerType())
-    return _mapped(docs, text, ids, kind, model, TEXT_AT_ONCE, lambda codec: codec.encode_column)
+    return _mapped(
+        docs, text, {ids: IDS}, model, TEXT_AT_ONCE, lambda codec: lambda c: [codec.encode_column(c)]
+    )
 
 
 def decode_ids(
     docs: DataFrame, ids: str = "ids", decoded: str = "decoded", model: str = MODEL
 ) -> DataFrame:
     """``docs`` with the string ``decoded`` of the ids; ids must be of the model."""
-    kind = T.StringType()
-    return _mapped(docs, ids, decoded, kind, model, IDS_AT_ONCE, lambda codec: codec.decode_column)
+    return _mapped(
+        docs, ids, {decoded: T.StringType()}, model, IDS_AT_ONCE,
+        lambda codec: lambda c: [codec.decode_column(c)],
+    )
+
+
+def encode_and_decode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str = MODEL
+) -> DataFrame:
+    """As :func:`encode_text`, then :func:`decode_ids`, with one way to Python and back."""
+
+    def make(codec: Codec) -> Callable[[pa.Array], list[pa.Array]]:
+        def columns(texts: pa.Array) -> list[pa.Array]:
+            coded = codec.encode_column(texts)
+            return [coded, codec.decode_column(coded)]
+
+        return columns
+
+    added = {ids: IDS, decoded: T.StringType()}
+    return _mapped(docs, text, added, model, TEXT_AT_ONCE, make)

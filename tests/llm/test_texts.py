@@ -88,6 +88,28 @@ def test_codec_round_trip_and_counts(docs):
         assert r["decoded"] == r["text"] and counted[r["doc_id"]] == (len(r["ids"]),)
 
 
+def test_both_ways_at_once(spark, docs, odd_docs, no_docs):
+    """The same ids and texts as by word and by two passes; nulls among ids decode to nothing."""
+    codec = sentencepiece_codec.Codec(vocabulary.load())
+    for df in (docs.limit(80), odd_docs):
+        once = sentencepiece_codec.encode_and_decode(df)
+        twice = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_text(df))
+        rows = once.collect()
+        assert once.columns == twice.columns
+        assert sorted(map(repr, rows)) == sorted(map(repr, twice.collect()))
+        for r in rows:
+            if r["text"] is None:
+                assert r["ids"] is None and r["decoded"] is None
+            elif len(r["text"]) < 20_000:
+                assert r["ids"] == codec.encode(r["text"]).tolist()
+                assert r["decoded"] == r["text"]
+    assert sentencepiece_codec.encode_and_decode(no_docs).count() == 0
+    ids = [[5, None, 900], [], None, [codec.vocabulary.bytes_ids[0xC3]], [codec.vocabulary.bytes_ids[b] for b in b"\xe2\x96\x81a"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "n int, ids array<int>")
+    got = {r["n"]: r["decoded"] for r in sentencepiece_codec.decode_ids(df).collect()}
+    assert got == {i: None if x is None else codec.decode([y for y in x if y is not None]) for i, x in enumerate(ids)}
+
+
 def test_tokens_of_odd_rows(odd_docs, no_docs):
     coded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_text(odd_docs)).collect()
     assert len(coded) == odd_docs.count()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statline.llm.common import table
 from statline.llm.curriculum_mix import training_rows
 from statline.llm.secret_scan import redact_secrets
-from statline.llm.sentencepiece_codec import decode_ids, encode_text
+from statline.llm.sentencepiece_codec import encode_and_decode
 from statline.llm.simhash_dedup import one_of_each
 from statline.llm.toxicity import without_toxic
 
@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and what they decode to."""
-    coded = decode_ids(encode_text(docs.select("doc_id", "lang", "source", "text")))
+    coded = encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), "decoded")
 
 

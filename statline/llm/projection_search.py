@@ -25,7 +25,7 @@ Defined results: rows whose id or vector is null, or whose vector is zero or hol
 a null or non-finite component, take no part; vectors shorter than the longest
 count as ending in zeros; a query's own id is no candidate; rows repeated with the
 same id and vector are one candidate. With fewer candidates than k all are
-returned, whatever the test; an empty table gives an empty result. Only the two
+returned, as the test holds nothing back before k are found; an empty table gives an empty result. Only the two
 named columns are read.
 """
 
@@ -211,9 +211,8 @@ def nearest(
     facts = whole.agg(F.max(square), F.max(F.size("v")), F.count(F.lit(1))).first()
     if not facts[2]:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    everyone = facts[2] <= k  # then the test must not hold back anyone
     project = Projection(facts[1], float(np.sqrt(facts[0])))
-    limit = chi_square_quantile(SURE, DIMS) if not everyone else np.inf
+    limit = chi_square_quantile(SURE, DIMS)
     splits = _medians(project.rows(sample_of(whole, SAMPLE)), DEPTH)
 
     def region_of(points: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ Rows are grouped by region first and then, by a hash of the id, into as many
 blocks as the region's count needs; a region of equal vectors that holds a third
 of all rows is many blocks. A block is one row: its vectors, packed, and what its
 index says about them. Query blocks meet data blocks in an equality join over a
-grid, as descriptions only; those that a bound cannot rule out then meet whole.
+grid, as descriptions only; those that a bound cannot rule out then meet whole, a
+data block with many query blocks at once.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from statline.llm.common import checkpointed
 
 BLOCK, QUERY_BLOCK, GRID = 2048, 256, 256
+AT_ONCE = 64  # query blocks that meet a data block in one task
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, component: Callable[[Column], Column]) -> DataFrame:
@@ -87,21 +91,30 @@ def candidate_pairs(queries: DataFrame, data: DataFrame, possible: Column) -> Da
 
 
 def search(pairs: DataFrame, queries: DataFrame, data: DataFrame, find: Callable, schema: str) -> DataFrame:
-    """``find(query block, data block)``, two dicts of the packed columns, for every pair."""
-    names = [c for c in data.columns if c not in ("region", "part")]
-    q_names = [c for c in queries.columns if c not in ("q_region", "q_part")]
-    met = (
-        pairs.join(queries, ["q_region", "q_part"]).join(data, ["region", "part"])
-        .select(*q_names, *names)
-    )
+    """``find(query block, data block)``, two blocks' packed columns in one dict, for every pair.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = {n: batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}
-                yield find(row)
-
-    return met.mapInArrow(run, schema)
+    A data block is sent to a task once for every ``AT_ONCE`` query blocks or so, and these
+    pass by it one after the other; which of them go together follows from their hash.
+    """
+    groups = max(1, math.ceil(queries.count() / AT_ONCE))
+    group = F.pmod(F.xxhash64("q_region", "q_part"), F.lit(groups)).cast("int")
+    keys = ["region", "part", "q_group"]
+    met = pairs.withColumn("q_group", group)
+    asked = met.join(queries, ["q_region", "q_part"]).drop("q_region", "q_part")
+    wanted = met.select(*keys).distinct().join(data, ["region", "part"])
+    wanted = wanted.toDF(*wanted.columns)  # columns of its own, beside those of the pairs
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        if not some.num_rows or not block.num_rows:
+            return nothing.empty_table()
+        held = block.drop_columns(keys).to_pylist()[0]
+        rows = some.drop_columns(keys)
+        # one at a time: a block's packed columns are copied on the way
+        parts = [find({**rows.slice(i, 1).to_pylist()[0], **held}) for i in range(rows.num_rows)]
+        return pa.Table.from_batches(parts)
+
+    nothing = to_arrow_schema(T.StructType.fromDDL(schema))
+    return asked.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:

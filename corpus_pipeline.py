@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is stored as Parquet and read again for the next one.
+
+Every stage takes any rows: an empty table gives an empty result, columns beyond those
+of documents stay whatever their names (but in the last stage), and very long texts
+are handled whole. What becomes of null and empty texts, ties and repeated rows is
+said at each stage.
 """
 
 from __future__ import annotations
@@ -24,29 +29,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it is fitted on these documents' labels."""
+    """Documents that the classifier rejects go; it is fitted on these documents' labels.
+
+    A null or empty text is scored by the bias alone, and repeated rows alike; a score of
+    exactly 0.5 rejects.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each group stays: fingerprints of three-word shingles link
-    at 3 or fewer differing bits. Null and empty texts are one group."""
+    at 3 or fewer differing bits.
+
+    Null and empty texts are one group. Of repeated rows one stays; rows of one id with
+    other contents are told apart by a hash of these. A null id comes first.
+    """
     return one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are masked, and ``n_chars`` follows."""
+    """Every document stays; secrets in its text are masked, and ``n_chars`` follows.
+
+    A null text stays null, with null ``n_chars``. Spans that overlap share a mask.
+    """
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that the mix makes over a document, in training order."""
+    """A row for each pass that the mix makes over a document, in training order.
+
+    A document that the mix takes in part is there whole. Null and empty texts have no
+    words and are not taken. A null source is one of its own, the last. Documents at one
+    position come in any order.
+    """
     return training_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, and what they decode to."""
+    """Piece ids of each text, and what they decode to; null for a null text."""
     coded = encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), "decoded")
 

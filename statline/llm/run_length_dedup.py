@@ -20,8 +20,8 @@ match of neighbours gets one byte longer; only where runs meet are the contexts
 sampled there compared. Neighbours that match for 50 bytes hold the same string: of
 each such stretch the index keeps the start and the smallest id (:class:`RunIndex`).
 
-Matching statistics. The contexts of every batch are streamed against the index, all
-side by side, from their last byte to the first: inside a run of its byte a context
+Matching statistics. A bucket's contexts are streamed against the index, all side by
+side, from their last byte to the first: inside a run of its byte a context
 follows the run, elsewhere it goes on from the sampled end of the nearer run of its
 byte, by comparing bytes. Where its longest match reaches 50 bytes, the stretch it
 stands in tells the smallest id that has the string.
@@ -367,6 +367,11 @@ class Column:
 NOBODY = np.iinfo(np.int64).max
 
 
+def _part_of(start: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` places the part it lies in, for as long as a column is looked at."""
+    return np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.r_[start, n]))
+
+
 class RunIndex:
     """Run-length transform of different contexts, with samples at run ends.
 
@@ -377,7 +382,7 @@ class RunIndex:
     """
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
-        n = len(rows)
+        self.n = n = len(rows)
         self.rows, self.columns = rows, [None] * CONTEXT
         columns = np.ascontiguousarray(rows.T)
         order, match = np.arange(n), np.zeros(n, np.int64)
@@ -413,29 +418,25 @@ class RunIndex:
         """Runs and stretches that are kept."""
         return sum(len(c.start) + (0 if c.stretch is None else len(c.stretch)) for c in self.columns)
 
-    def stream(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of any contexts: how far each agrees with the index from each column on, at most,
-        and the smallest id that has the string at each offset of the anchor."""
-        n = len(rows)
-        length = np.zeros((n, CONTEXT), np.int64)
-        smallest = np.full((n, OFFSETS), NOBODY)
-        at, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    def stream(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """Of any contexts, column by column from the last: (column, how far each agrees with
+        the index from there on, at most, the smallest id that has the string there)."""
+        at, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         bytes_of = np.ascontiguousarray(rows.T)
         for column in range(CONTEXT - 1, -1, -1):
             here, byte = self.columns[column], bytes_of[column]
-            run = np.searchsorted(here.start, at, side="right") - 1
+            run = _part_of(here.start, self.n)[at]
             inside = here.byte[run] == byte
-            at = np.where(inside, here.to[run] + at - here.start[run], 0)
             known = np.where(inside, known + 1, 0)
+            at = at + (here.to - here.start)[run]  # right inside of runs
             out = np.flatnonzero(~inside)
             if len(out):
                 at[out], known[out] = self._nearest(here, column, rows[out], byte[out], run[out])
-            length[:, column] = known
-            offset = OFFSETS - 1 - column
-            if offset >= 0:
-                found = here.least[np.searchsorted(here.stretch, at, side="right") - 1]
-                smallest[:, offset] = np.where(known >= LENGTH, found, NOBODY)
-        return length, smallest
+            least = None
+            if here.stretch is not None:
+                least = here.least[_part_of(here.stretch, self.n)[at]]
+                least = np.where(known >= LENGTH, least, NOBODY)
+            yield column, known, least
 
     def _nearest(
         self, here: Column, column: int, rows: np.ndarray, byte: np.ndarray, run: np.ndarray
@@ -463,7 +464,11 @@ class RunIndex:
 
 def smallest_ids(rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The smallest id that has each string, by context and offset of the anchor in the string."""
-    return RunIndex(rows, ids, offsets).stream(rows)[1]
+    smallest = np.empty((len(rows), OFFSETS), np.int64)
+    for column, _, least in RunIndex(rows, ids, offsets).stream(rows):
+        if least is not None:
+            smallest[:, OFFSETS - 1 - column] = least
+    return smallest
 
 
 def _removals(table: pa.Table) -> pa.Table:
@@ -480,13 +485,16 @@ def _removals(table: pa.Table) -> pa.Table:
     both = np.concatenate([rows, offsets], axis=1)
     key = np.ascontiguousarray(both).view(np.dtype((np.void, both.shape[1]))).ravel()
     order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    first, group = np.flatnonzero(new), np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
     least = np.minimum.reduceat(ids[order], first)
-    index = RunIndex(rows[order[first]], least, offsets[order[first]])
-    masks = []
+    smallest = smallest_ids(rows[order[first]], least, offsets[order[first]])
+    masks, at = [], 0
     for own, own_ids, own_offsets in lists:
-        smallest = index.stream(own)[1]
-        masks.append(_bits(_within(own_offsets) & (smallest < own_ids[:, None])).tobytes())
+        found = smallest[group[at : at + len(own)]]
+        at += len(own)
+        masks.append(_bits(_within(own_offsets) & (found < own_ids[:, None])).tobytes())
     return pa.table({
         "batch": pa.array(batches, pa.int32()), "bucket": pa.array([bucket] * len(lists), pa.int64()),
         "masks": _binary(masks),

@@ -38,10 +38,15 @@ class FieldingWinShares:
         return self._scopes[year]
 
     def close(self) -> None:
-        """Clears the store of the session, where this is what ``keep`` stands for."""
+        """Clears the store of the session, where this is what ``keep`` stands for.
+
+        Frames asked for before are of no use then; asked for again, they are stored anew.
+        """
         if self.keep is durable:
             store_of(self.tables.teams.sparkSession).clear()
-            self.__init__(self.tables, self.keep)
+            for name in [n for n in vars(self) if isinstance(vars(self)[n], DataFrame)]:
+                del vars(self)[name]  # the stages this object remembers
+            self._scopes.clear()
 
     # --- stored totals: one pass over each base table -----------------------
 

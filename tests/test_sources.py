@@ -5,7 +5,7 @@ import pytest
 from build import CARD, by, plays, table
 from pyspark.sql import functions as F
 
-from statline import Tables, range_by_age, standard_pitching
+from statline import FieldingWinShares, Tables, range_by_age, standard_pitching
 from statline.constants import POSITIONS
 from statline.operators.pitching import events_in_years
 from statline.operators.ratings import position_slots
@@ -190,6 +190,19 @@ def test_a_session_has_one_store(spark):
     assert d.store_of(spark) is d.store_of(spark.range(1).sparkSession)
 
 
+def test_reports_share_the_sessions_stages_until_closed(spark, stored):
+    one, other = (
+        FieldingWinShares(Tables.from_directory(spark, stored, declared=True)) for _ in range(2)
+    )
+    assert one.codes.count() > 0
+    held = sum(map(len, d.store_of(spark).stages.values()))
+    assert other.codes.count() > 0 and sum(map(len, d.store_of(spark).stages.values())) == held
+    one.close()
+    assert not d.store_of(spark).stages
+    assert one.codes.count() > 0  # stored anew
+    one.close()
+
+
 def test_sample_people_keys_are_unique(spark):
     people = SampleTables(spark, SF_DIR).people
     assert len(by(people, "key_retro")) == 125

@@ -396,9 +396,93 @@ VIEWS: dict[str, View] = {
 }
 
 
-def select(name: str, quote: str, ref) -> str:
+def _codes_by_number() -> str:
+    """Event codes of the play numbers 0 to 99, as an array."""
+    return f"array({','.join(str(next(c for top, c in EVENT_BANDS if m < top)) for m in range(100))})"
+
+
+def _coded(expr: str) -> str:
+    """An expression of plays on the event code instead of the play number's bands."""
+    for codes in ((3, 18, 20, 21, 22, 23), (20, 21, 22, 23), (20, 21, 22), (21, 22, 23), (4, 6, 8),
+                  (3, 6, 8), (22, 23), (6, 8), (4,), (20,), (21,), (22,)):
+        expr = expr.replace(_is(*codes), f"(code in ({','.join(map(str, codes))}))")
+    return expr
+
+
+# The same plays as Spark derives them. What an order says alone is derived before lines meet
+# it, so that bounds on seasons reach the orders; the event code is looked up once a play. One
+# play's code then stays far below the 8,000 bytes beyond which the JVM only interprets it.
+SPARK_VIEWS: dict[str, View] = {
+    **VIEWS,
+    "fx_game0": View(
+        "{orders} o", {"hm": "o_custkey % 25", "aw": _AWAY}, ("orders",),
+        keep="o_orderkey, o_orderdate",
+    ),
+    "fx_game": View(
+        "{fx_game0} g",
+        {
+            "game_id": f"{_team('hm')} || {_ymd('o_orderdate')} "
+            "|| cast(o_orderkey % 10 as varchar(1))",
+            "home": _team("hm"),
+            "away": _team("aw"),
+        },
+        ("fx_game0",),
+        keep="o_orderkey",
+    ),
+    "fx_line": View(
+        "{lineitem} l join {fx_game} g on l.l_orderkey = g.o_orderkey",
+        {
+            "qty": VIEWS["fx_play"].columns["qty"],
+            "k": VIEWS["fx_play"].columns["k"],
+            "arm": VIEWS["fx_play3"].columns["arm"],
+        },
+        ("lineitem", "fx_game"),
+        keep="l_linenumber, l_partkey, l_suppkey, game_id, home, away",
+    ),
+    "fx_line2": View(
+        "{fx_line} l",
+        {
+            "m": VIEWS["fx_play2"].columns["m"],
+            # a team's id ends in the two digits that its pitchers' ids begin with
+            "side": "'p' || substring(case when l_linenumber % 2 = 1 then away else home end, 2, 2) "
+            "|| 's'",
+            **{n: f"qty % {n[1:]}" for n in ("q3", "q4", "q5", "q20")},
+        },
+        ("fx_line",),
+        keep="l.*",
+    ),
+    "fx_line3": View(
+        "{fx_line2} l",
+        # numbers below zero fall into the first band; none where the number is unknown
+        {"code": f"get({_codes_by_number()}, cast(case when m < 0 then 0 else m end as int))"},
+        ("fx_line2",),
+        keep="l.*",
+    ),
+    "fx_line4": View(
+        "{fx_line3} l",
+        {
+            "ball_out": "code = 2",
+            "homer": "code = 23",
+            "caught": "code = 6",
+        },
+        ("fx_line3",),
+        keep="l.*",
+    ),
+    "fx_events": View(
+        "{fx_line4} p",
+        {
+            **{name: _coded(expr) for name, expr in VIEWS["fx_events"].columns.items()},
+            "game_id": "game_id",
+            "event_cd": "code",
+        },
+        ("fx_line4",),
+    ),
+}
+
+
+def select(name: str, quote: str, ref, views: dict[str, View] = VIEWS) -> str:
     """The SELECT of a view, with ``ref(table)`` naming its inputs."""
-    view = VIEWS[name]
+    view = views[name]
     columns = [f"{expr} AS {quote}{alias}{quote}" for alias, expr in view.columns.items()]
     items = ([view.keep] if view.keep else []) + columns
     sql = f"SELECT {'DISTINCT ' if view.distinct else ''}{', '.join(items)} FROM "
@@ -407,14 +491,14 @@ def select(name: str, quote: str, ref) -> str:
     return sql + (f" GROUP BY {view.group}" if view.group else "")
 
 
-def _closure(names: tuple[str, ...]) -> list[str]:
+def _closure(names: tuple[str, ...], known: dict[str, View] = VIEWS) -> list[str]:
     """Views behind ``names``, inputs first."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
         if name in BASE_TABLES or name in ordered:
             return
-        for need in VIEWS[name].needs:
+        for need in known[name].needs:
             visit(need)
         ordered.append(name)
 
@@ -439,13 +523,14 @@ class SampleTables(Tables):
         self._read: dict[str, DataFrame] = {}
         super().__init__(lambda name: conform(self._view(f"fx_{name}"), name, trimmed=True))
 
-    def _view(self, name: str) -> DataFrame:
-        views = _closure((name,))
-        sql = "WITH " + ", ".join(
-            f"{n} AS ({select(n, '`', lambda t: f'{{{t}}}' if t in BASE_TABLES else t)})"
-            for n in views
-        )
-        used = {n for v in views for n in VIEWS[v].needs if n in BASE_TABLES}
+    def _view(self, name: str, known: dict[str, View] = SPARK_VIEWS) -> DataFrame:
+        views = _closure((name,), known)
+
+        def ref(table: str) -> str:
+            return f"{{{table}}}" if table in BASE_TABLES else table
+
+        sql = "WITH " + ", ".join(f"{n} AS ({select(n, '`', ref, known)})" for n in views)
+        used = {n for v in views for n in known[v].needs if n in BASE_TABLES}
         frames = {n: self._base(n) for n in used}
         return self._spark.sql(f"{sql} SELECT * FROM {name}", **frames)
 

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from statline import standard_pitching
+from statline.operators.pitching import events_in_years
 from statline.sources.sample import VIEWS, SampleTables
 from statline.sources.tables import conform
 
@@ -63,7 +64,9 @@ def test_plays_of_odd_rows(spark, odd):
 
 
 @pytest.mark.parametrize("threshold", ["10m", "-1"])
-@pytest.mark.parametrize("job", [lambda t: standard_pitching(t)])
+@pytest.mark.parametrize("job", [
+    lambda t: events_in_years(t.events, 1996, 1999), lambda t: standard_pitching(t),
+])
 def test_code_of_plays_is_compiled(spark, capsys, job, threshold):
     """The JVM interprets methods beyond 8,000 bytes, which took most of these jobs' time."""
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": threshold}

@@ -9,12 +9,14 @@ same rows (:func:`ctes`).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from statline.constants import POSITIONS
+from statline.sources.durable import Keep
 from statline.sources.tables import Tables, conform
 
 BASE_TABLES = ("lineitem", "orders", "nation", "region")
@@ -480,6 +482,60 @@ SPARK_VIEWS: dict[str, View] = {
 }
 
 
+def _sums_in(expr: str) -> list[str]:
+    """Every sum or count in an expression, as written."""
+    found, at = [], 0
+    while begins := re.compile(r"\b(sum|count)\(").search(expr, at):
+        depth, at = 1, begins.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(expr[at], 0)
+            at += 1
+        found.append(expr[begins.start() : at])
+    return found
+
+
+# The season tables once more, from one grouping of the plays finer than any of theirs: each
+# of their sums is the sum of its parts.
+SEASON_TABLES = ("fx_batting", "fx_pitching", "fx_fielding")
+SEASON_SUMS = {
+    expr: f"sum{i}"
+    for i, expr in enumerate(
+        dict.fromkeys(
+            s for name in SEASON_TABLES for e in VIEWS[name].columns.values() for s in _sums_in(e)
+        )
+    )
+}
+SPARK_VIEWS["fx_season_sums"] = View(
+    "{fx_ps} p",
+    {
+        **_PLAYER_KEYS,
+        "pid": "pid",
+        "slot": "slot",
+        "part": "l_partkey % 7",
+        **{name: expr for expr, name in SEASON_SUMS.items()},
+    },
+    ("fx_ps",),
+    group="year, lg, tm, pid, slot, l_partkey % 7",
+)
+
+
+def _from_sums(expr: str) -> str:
+    for part in sorted(_sums_in(expr), key=len, reverse=True):
+        expr = expr.replace(part, f"sum({SEASON_SUMS[part]})")
+    return expr.replace("l_partkey % 7", "part")
+
+
+FROM_SUMS: dict[str, View] = {
+    name: View(
+        "{fx_season_sums} s",
+        {column: _from_sums(expr) for column, expr in VIEWS[name].columns.items()},
+        ("fx_season_sums",),
+        group=_from_sums(VIEWS[name].group),
+    )
+    for name in SEASON_TABLES
+}
+
+
 def select(name: str, quote: str, ref, views: dict[str, View] = VIEWS) -> str:
     """The SELECT of a view, with ``ref(table)`` naming its inputs."""
     view = views[name]
@@ -496,7 +552,7 @@ def _closure(names: tuple[str, ...], known: dict[str, View] = VIEWS) -> list[str
     ordered: list[str] = []
 
     def visit(name: str) -> None:
-        if name in BASE_TABLES or name in ordered:
+        if name not in known or name in ordered:
             return
         for need in known[name].needs:
             visit(need)
@@ -527,10 +583,10 @@ class SampleTables(Tables):
         views = _closure((name,), known)
 
         def ref(table: str) -> str:
-            return f"{{{table}}}" if table in BASE_TABLES else table
+            return table if table in known else f"{{{table}}}"
 
         sql = "WITH " + ", ".join(f"{n} AS ({select(n, '`', ref, known)})" for n in views)
-        used = {n for v in views for n in known[v].needs if n in BASE_TABLES}
+        used = {n for v in views for n in known[v].needs if n not in known}
         frames = {n: self._base(n) for n in used}
         return self._spark.sql(f"{sql} SELECT * FROM {name}", **frames)
 
@@ -542,3 +598,44 @@ class SampleTables(Tables):
     @cached_property
     def fielding(self) -> DataFrame:
         return conform(self._view("fx_fielding"), "fielding_c", keep={"pos": "pos"}, trimmed=True)
+
+    def sharing(self, keep: Keep) -> SampleTables:
+        """The same tables, with those of players' seasons from one stored pass over the plays."""
+        return _SharingTables(self, keep)
+
+    @cached_property
+    def _season_sums(self) -> DataFrame:
+        return self._view("fx_season_sums")
+
+
+class _SharingTables(SampleTables):
+    """Season tables that start from sums by player, season and position, stored by ``keep``."""
+
+    def __init__(self, tables: SampleTables, keep: Keep) -> None:
+        super().__init__(tables._spark, tables._path)
+        self._read = dict(tables._read)
+        self._keep = keep
+        self._sums: DataFrame | None = None
+        self._folded: dict[str, DataFrame] = {}
+
+    def _season_table(self, name: str, declared: str, keep: dict[str, str] | None = None) -> DataFrame:
+        sums = self._keep(self._season_sums)  # another frame once the store was cleared
+        if sums is not self._sums:
+            self._sums, self._folded = sums, {}
+            self._read["fx_season_sums"] = sums
+        if name not in self._folded:
+            folded = self._view(f"fx_{name}", FROM_SUMS)
+            self._folded[name] = conform(folded, declared, keep, trimmed=True)
+        return self._folded[name]
+
+    @property
+    def batting(self) -> DataFrame:
+        return self._season_table("batting", "batting")
+
+    @property
+    def pitching(self) -> DataFrame:
+        return self._season_table("pitching", "pitching")
+
+    @property
+    def fielding(self) -> DataFrame:
+        return self._season_table("fielding", "fielding_c", {"pos": "pos"})

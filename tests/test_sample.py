@@ -5,8 +5,10 @@ from datetime import datetime
 
 import pytest
 
+import __spark_entry__ as entry
 from statline import standard_pitching
 from statline.operators.pitching import events_in_years
+from statline.sources.durable import StageStore, store_of
 from statline.sources.sample import VIEWS, SampleTables
 from statline.sources.tables import conform
 
@@ -80,3 +82,27 @@ def test_code_of_plays_is_compiled(spark, capsys, job, threshold):
             spark.conf.set(k, v)
     over_lines = [size for plan, size in found if "l_linenumber" in plan]
     assert over_lines and max(over_lines) < HUGE
+
+
+@pytest.mark.parametrize("name", ["batting", "pitching", "fielding"])
+def test_season_tables_from_sums_of_odd_rows(spark, odd, tmp_path, name):
+    sample = SampleTables(spark, odd)
+    store = StageStore(str(tmp_path))
+    shared = sample.sharing(store.keep)
+    same_rows(getattr(shared, name), getattr(sample, name))
+    store.clear()
+    same_rows(getattr(shared, name), getattr(sample, name))  # stored anew
+
+
+def test_lines_are_read_for_one_stage_of_a_report(spark, odd, tmp_path):
+    store = store_of(spark)
+    folder, store.folder = store.folder, str(tmp_path)
+    try:
+        report = entry.JOBS["w16_fielding_win_shares"](SampleTables(spark, odd))
+        stages = [s for same in store.stages.values() for s in same]
+        lines = f"{odd}/lineitem.parquet"
+        assert sum(any(lines in name for name, *_ in s.inputs) for s in stages) == 1
+        assert lines not in report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        store.folder = folder
+        store.clear()
